@@ -103,3 +103,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, parts: int = 256, how: str = "left") -> DataFrame:
+    """rows joined with table, which has a row for each key and in weight the number of rows that ask for it.
+
+    Keys with over 1/parts of all the rows are at most parts many; they are broadcast, and their rows don't move.
+    All other keys are joined by a shuffle in which none is hot. table is best staged, as it is read thrice."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    value = [c for c in table.columns if c not in (key, weight)]
+    hot = F.broadcast(table.where(F.col(weight) > total / parts).select(key, F.struct(*value).alias("_hot")))
+    marked = rows.join(hot, key, "left")
+    done = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in value])
+    rest = marked.where("_hot is null").drop("_hot").join(table.where(F.col(weight) <= total / parts).drop(weight), key, how)
+    return done.unionByName(rest.select(*rows.columns, *value))

@@ -7,14 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, packing, secrets
-from .common import read
+from . import chat, decontaminate, media, packing, secrets, simhash, toxicity
+from .common import columns, read
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_digests(read(spark, sf_dir, "documents"))
 
@@ -27,5 +32,16 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS)).drop("cost")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op5_audio_features, op6_decontaminate, op8_pack)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_rows(simhash.near_duplicates(read(spark, sf_dir, "documents")))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = columns(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(rows.unionByName(more), public_tokenizers.path(packing.TOKENIZER))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_toxicity, op5_audio_features, op6_decontaminate, op8_pack, op9_simhash, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_groups, stage, texts
+from .common import documents, lookup, map_groups, stage, texts
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -107,13 +107,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     rows = stage(map_groups(documents(docs, "source", "lang"), _scan, SCAN_SCHEMA).withColumn("row", F.monotonically_increasing_id()))
     found = rows.select("row", "owner", "part", F.explode("found").alias("f")).select("row", "owner", "part", "f.*")
     freq = stage(ownership(found))
-    total = freq.agg(F.sum("n_found")).first()[0] or 0
-    hot = freq.where(F.col("n_found") > total / HOT_PARTS)  # HOT_PARTS rows at most
-    cold = freq.where(F.col("n_found") <= total / HOT_PARTS)
-    marked = found.drop("owner", "part").join(F.broadcast(hot.withColumn("hot", F.lit(True))), "value", "left")
-    names = ("n_repositories", "n_owners")
-    one = lambda d: d.select("row", F.struct("kind", "first", "until", *names, "live").alias("v"))
-    judged = one(marked.where("hot")).unionByName(one(marked.where("hot is null").drop(*names, "n_found", "hot").join(cold, "value")))
+    judged = lookup(found.drop("owner", "part"), freq, "value", "n_found", HOT_PARTS, "inner")
+    judged = judged.select("row", F.struct("kind", "first", "until", "n_repositories", "n_owners", "live").alias("v"))
     kept = judged.where((F.col("v.kind") < 3) | (F.col("v.n_owners") == 1)).groupBy("row").agg(F.collect_list("v").alias("verdicts"))
     return rows.drop("found").join(kept, "row", "left").withColumn("verdicts", F.coalesce("verdicts", F.array().cast("array<struct<kind:int,first:int,until:int,n_repositories:bigint,n_owners:bigint,live:boolean>>"))).drop("row")
 
