@@ -1,11 +1,12 @@
 r"""Toxicity scores by a string-kernel support vector machine with Nyström landmarks.
 
 The kernel of two words counts the letter triples they have in common as subsequences with gaps: a triple that spans s
-letters weighs DECAY ** (s - 3), and spans up to SPAN count, so that `idxiot` or `i.d.i.o.t` stays near `idiot`. It is
-normalised to 1 for equal words. Landmarks are the words of the labelled training rows that tell the classes apart
-best, and no two of them alike. A document is known by its nearest word to each landmark, through the Nyström map
-K_mm ** -1/2; a linear machine with squared hinge loss separates the labels, and a logistic fit on its margin gives the
-score.
+letters weighs DECAY ** (s - 3), and spans up to SPAN count, so that `idxiot` or `i.d.i.o.t` stays near `idiot`; the beginning of
+a word is a letter of its own. It is normalised to 1 for equal words. Landmarks are the words of the labelled training
+rows that tell the classes apart best (a z-score of LEAST_Z or more), and no two of them alike. A document is known by
+its nearest word to each landmark and by how many of its distinct words are near it (per square root of all), through
+the Nyström map K_mm ** -1/2; a linear machine with squared hinge loss separates the labels, and a logistic fit on its
+margin gives the score.
 
 Training uses labelled rows with crc32(doc_id as text) mod 5 not 0, at most TRAIN_ROWS of them by order of a hash (the
 documented bound); words are counted by the executors, and the driver gets TOP words and the rows' landmark features.
@@ -30,19 +31,20 @@ from pyspark.sql import functions as F
 from .common import columns, documents, map_groups, raw_texts, stage
 
 TRAIN_ROWS = 6000
-TOP, LANDMARKS = 300, 40
+TOP, LANDMARKS = 400, 96
+LEAST_Z, ALIKE = 4.0, 0.85
 SPAN, DECAY, LEAST = 5, 0.7, 0.45
 WIDTH, OVERLAP = 24, 8  # longer words are looked at in windows of WIDTH letters
 LEAST_DOCS = 3
 
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 WEIGHTS = np.array([DECAY ** (j - 2) for _, j in GAPS], np.float32)
-#: Letters to 1-26, with look-alike digits and signs as letters; bytes beyond ASCII to 27-31; others are dropped.
+#: Letters to 1-26, with look-alike digits and signs as letters; bytes beyond ASCII to 27-30; others are dropped.
 LOOKALIKE = dict(zip(b"0134578@$!", b"oieastbasi", strict=True))
-CODES = np.array([c - 96 if 97 <= (c := LOOKALIKE.get(b, b + 32 if 65 <= b <= 90 else b)) <= 122 else 27 + b % 5 if b >= 128 else 0 for b in range(256)], np.uint8)
+CODES = np.array([c - 96 if 97 <= (c := LOOKALIKE.get(b, b + 32 if 65 <= b <= 90 else b)) <= 122 else 27 + b % 4 if b >= 128 else 0 for b in range(256)], np.uint8)
 DROPPED = bytes(b for b in range(256) if not CODES[b])
 TABLE = bytes(CODES.tolist())
-DIMS = 1 << 15
+DIMS, BEGIN = 1 << 15, 31
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -50,6 +52,8 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 def words_of(raw: bytes) -> list[bytes]:
     """The words of a text as letter codes, in order; runs of three or more single letters are also one word."""
     out, single = [], []
+    if not raw.isascii():
+        raw = raw.decode().lower().encode()
     for w in raw.split():
         c = w.translate(TABLE, DROPPED)
         if len(c) == 1:
@@ -69,11 +73,12 @@ def words_of(raw: bytes) -> list[bytes]:
 
 def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(words, n) feature ids and weights; a weight is 0 where the word has ended."""
-    letters = np.zeros((len(words), WIDTH + SPAN - 1), np.int32)
-    letters[:, :WIDTH] = np.array(words, f"S{WIDTH}").view(np.uint8).reshape(len(words), WIDTH)
+    letters = np.zeros((len(words), 1 + WIDTH + SPAN - 1), np.int32)
+    letters[:, 0] = BEGIN
+    letters[:, 1 : 1 + WIDTH] = np.array(words, f"S{WIDTH}").view(np.uint8).reshape(len(words), WIDTH)
     ids, weights = [], []
     for (i, j), w in zip(GAPS, WEIGHTS, strict=True):
-        a, b, c = letters[:, : WIDTH - 2], letters[:, i : i + WIDTH - 2], letters[:, j : j + WIDTH - 2]
+        a, b, c = letters[:, : WIDTH - 1], letters[:, i : i + WIDTH - 1], letters[:, j : j + WIDTH - 1]
         ids.append((a << 10) | (b << 5) | c)
         weights.append(np.where(c > 0, w, np.float32(0)))
     return np.concatenate(ids, axis=1), np.concatenate(weights, axis=1)
@@ -96,7 +101,7 @@ def kernel(words: list[bytes], landmarks: np.ndarray, step: int = 512) -> np.nda
 @dataclass
 class Model:
     landmarks: list[bytes]
-    weights: np.ndarray  # of max kernel values, the Nyström map included
+    weights: np.ndarray  # of features, the Nyström map included
     bias: float
 
     def prepare(self) -> None:
@@ -120,13 +125,17 @@ class Model:
         return {w: v for w, v in zip(picked, values, strict=True) if v.max() > LEAST}
 
     def features(self, raws: list[bytes]) -> np.ndarray:
-        """(texts, landmarks): the nearest word's kernel value where it is over LEAST, less LEAST."""
-        out = np.zeros((len(raws), len(self.landmarks)), np.float32)
+        """(texts, 2 x landmarks): by how much the nearest word's kernel value is over LEAST, and the sum of this over
+        the distinct words, per square root of their number."""
+        m = len(self.landmarks)
+        out = np.zeros((len(raws), 2 * m), np.float32)
         sets = [set(words_of(raw)) for raw in raws]
         near = self.near(list(set().union(*sets)))
         for row, own in zip(out, sets, strict=True):
-            for w in near.keys() & own:
-                np.maximum(row, near[w] - LEAST, out=row)
+            found = sorted(near.keys() & own)
+            if found:
+                over = np.maximum(np.stack([near[w] for w in found]) - LEAST, 0)
+                row[:m], row[m:] = over.max(axis=0), over.sum(axis=0) / np.sqrt(len(own))
         return out
 
     def scores(self, raws: list[bytes]) -> np.ndarray:
@@ -147,7 +156,7 @@ def choose(candidates: list[bytes], most: int = LANDMARKS) -> list[bytes]:
         vectors = dense(candidates)
         kept: list[int] = []
         for i, w in enumerate(candidates):
-            if len(kept) < most and (not kept or (vectors[kept] @ vectors[i]).max() < 0.9):
+            if len(kept) < most and (not kept or (vectors[kept] @ vectors[i]).max() < ALIKE):
                 kept.append(i)
                 chosen.append(w)
     return chosen
@@ -197,9 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not n0 or not n1:
         return Model([], np.zeros(0), 0.0)
     counts = map_groups(chosen, seen, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
-    # Log-likelihood-like weight of words that are commoner among toxic rows.
-    rate1, rate0 = (F.col("pos") + 0.5) / (n1 + 1.0), (F.col("n") - F.col("pos") + 0.5) / (n0 + 1.0)
-    best = counts.where(F.col("pos") >= min(LEAST_DOCS, n1)).withColumn("gain", (rate1 - rate0) * F.log(rate1 / rate0)).where(rate1 > 2 * rate0)
+    share, rate1, rate0 = F.col("n") / (n0 + n1), F.col("pos") / n1, (F.col("n") - F.col("pos")) / n0
+    z = (rate1 - rate0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
+    best = counts.where(F.col("pos") >= min(LEAST_DOCS, n1)).withColumn("gain", z).where(F.col("gain") >= LEAST_Z)
     top = [bytes(r["word"]) for r in best.orderBy(F.desc("gain"), "word").limit(TOP).collect()]
     model = Model(choose(top), np.zeros(0), 0.0)
     if not model.landmarks:
@@ -213,9 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     model.prepare()
     values, vectors = np.linalg.eigh(model.vectors.astype(np.float64) @ model.vectors.T)
     nystrom = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
-    w, b = fit_machine(x @ nystrom, np.where(y == 1, 1.0, -1.0))
-    slope, offset = fit_logistic((x @ nystrom) @ w + b, y)
-    return Model(model.landmarks, slope * (nystrom @ w), slope * b + offset)
+    both = np.kron(np.eye(2), nystrom)
+    w, b = fit_machine(x @ both, np.where(y == 1, 1.0, -1.0))
+    slope, offset = fit_logistic((x @ both) @ w + b, y)
+    return Model(model.landmarks, slope * (both @ w), slope * b + offset)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
