@@ -117,3 +117,19 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, parts: int
     done = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in value])
     rest = marked.where("_hot is null").drop("_hot").join(table.where(F.col(weight) <= total / parts).drop(weight), key, how)
     return done.unionByName(rest.select(*rows.columns, *value))
+
+
+def filter_rows(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts (UTF-8, null as empty) keep says stay; no shuffle.
+
+    The columns pass under other names, so that names that clash are no matter."""
+    names = docs.columns
+    at = names.index("text")
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    text = plain.schema[at].name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(batches, text):
+            yield part.filter(pa.array(keep(raw_texts(part, text)), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

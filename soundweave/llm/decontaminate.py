@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, columns, documents, groups, raw_texts, record
+from .common import arrow_schema, columns, documents, filter_rows, groups, raw_texts, record
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -143,3 +143,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield record(rows, arrow)
 
     return documents(docs).mapInArrow(run, schema)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, without any hit word; no shuffle."""
+    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
+    return filter_rows(docs, lambda raws: [not any(scan(raw, automaton(b.value))[1] for b in sent) for raw in raws])

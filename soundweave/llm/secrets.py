@@ -46,7 +46,7 @@ WIDELY = 3
 HOT_PARTS = 256
 
 FOUND = "array<struct<kind: int, first: int, until: int, value: binary, live: boolean>>"
-SCAN_SCHEMA = f"doc_id long, owner string, part string, n_assign long, n_access long, n_hex long, base_sha256 string, found {FOUND}"
+SCAN_SCHEMA = f"doc_id long, text_hash long, owner string, part string, n_assign long, n_access long, n_hex long, base_sha256 string, found {FOUND}"
 
 
 def entropy(value: str) -> float:
@@ -90,7 +90,7 @@ def _scan(batch: pa.RecordBatch) -> dict:
             out[name].append(n[i])
         out["base_sha256"].append(hashlib.sha256(joined([x[:3] for x in base]).encode()).hexdigest())
         out["found"].append([{"kind": k, "first": a, "until": b, "value": hashlib.blake2b(v.encode(), digest_size=16).digest(), "live": k == 3 or looks_live(v)} for k, a, b, v in base + extra_candidates(text, base)])
-    return out | {"doc_id": batch.column("doc_id"), "owner": batch.column("source").cast(pa.string()), "part": batch.column("lang").cast(pa.string())}
+    return out | {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "owner": batch.column("source").cast(pa.string()), "part": batch.column("lang").cast(pa.string())}
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """Per document: counts, base digest, and `verdicts`, an array of (kind, first, until, n_repositories, n_owners, live)
     with the base findings and the tokens judged to be an owner's credential."""
-    rows = stage(map_groups(documents(docs, "source", "lang"), _scan, SCAN_SCHEMA).withColumn("row", F.monotonically_increasing_id()))
+    rows = stage(map_groups(documents(docs, "source", "lang").withColumn("text_hash", F.xxhash64("text")), _scan, SCAN_SCHEMA).withColumn("row", F.monotonically_increasing_id()))
     found = rows.select("row", "owner", "part", F.explode("found").alias("f")).select("row", "owner", "part", "f.*")
     freq = stage(ownership(found))
     judged = lookup(found.drop("owner", "part"), freq, "value", "n_found", HOT_PARTS, "inner")
@@ -125,3 +125,37 @@ def digests(scanned: DataFrame) -> DataFrame:
         count(lambda v: (v["kind"] < 3) & (v["n_owners"] >= WIDELY)).alias("n_shared"),
         count(lambda v: (v["n_owners"] == 1) & v["live"]).alias("n_live"),
     )
+
+
+MASK = "[SECRET]"
+
+
+def masked_text(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with each span, or union of spans that touch or overlap, replaced by MASK."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a > at or not out:
+            out += [text[at:a], MASK]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def mask_secrets(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """docs with all their columns; findings in the texts are masked, and n_chars follows. Rows of one doc_id and text
+    have the same findings, as a verdict depends on values alone."""
+    spans = scanned.where(F.size("verdicts") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.transform("verdicts", lambda v: F.struct(v["first"].alias("first"), v["until"].alias("until"))).alias("_s"))
+    one = spans.groupBy("_d", "_h").agg(F.first("_s").alias("_s"))
+    names = docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    at = names.index("text")
+    text, doc = F.col(f"_{at}"), F.col(f"_{names.index('doc_id')}")
+    keyed = plain.join(one, doc.cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text.cast("string")) == F.col("_h")), "left")
+
+    @F.pandas_udf("string")
+    def masked(texts, spans):
+        return texts.combine(spans, lambda t, s: t if s is None or t is None else masked_text(t, [(x["first"], x["until"]) for x in s]))
+
+    touched = keyed.where("_s is not null").withColumn(f"_{at}", masked(text, F.col("_s")))
+    if "n_chars" in names:
+        touched = touched.withColumn(f"_{names.index('n_chars')}", F.length(text).cast("long"))
+    return keyed.where("_s is null").unionByName(touched).drop("_d", "_h", "_s").toDF(*names)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, documents, map_groups, raw_texts, stage
+from .common import columns, documents, filter_rows, map_groups, raw_texts, stage
 
 TRAIN_ROWS = 6000
 TOP, LANDMARKS = 400, 96
@@ -242,6 +242,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 _models: dict = {}
 
 
+def _sent(spark, model: Model) -> tuple[str, object]:
+    return uuid.uuid4().hex, spark.sparkContext.broadcast((model.landmarks, model.weights, model.bias))
+
+
+def _model(sent: tuple[str, object]) -> Model:
+    """The broadcast model, prepared once a worker."""
+    name, value = sent
+    if name not in _models:
+        _models.clear()
+        _models[name] = Model(*value.value)
+    return _models[name]
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted to be toxic; no shuffle."""
+    sent = _sent(docs.sparkSession, model)
+    return filter_rows(docs, lambda raws: (_model(sent).scores(raws) < 0.5).tolist())
+
+
+_models: dict = {}
+
+
 def _sent(spark, model: Model) -> tuple[str, object]:
     return uuid.uuid4().hex, spark.sparkContext.broadcast((model.landmarks, model.weights, model.bias))
 
