@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, media, packing, secrets, simhash, substring_dedup, toxicity
+from . import chat, decontaminate, lm_score, media, packing, secrets, simhash, substring_dedup, toxicity
 from .common import columns, read
 
 
@@ -19,6 +19,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -47,5 +52,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(rows.unionByName(more), public_tokenizers.path(packing.TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op4_toxicity, op5_audio_features, op6_decontaminate, op8_pack, op9_simhash, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_lm_score, op4_toxicity, op5_audio_features, op6_decontaminate, op8_pack, op9_simhash, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
