@@ -47,7 +47,7 @@ def expanded(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
+def chunked(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     """chunk long, size long (bytes), n long (rows), payload binary; staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,9 +65,9 @@ def chunked(docs: DataFrame) -> DataFrame:
             held, size, made = [], 0, made + 1
             return row
 
-        for part in groups(batches, budget=CHUNK_BYTES // 4):
+        for part in groups(batches, budget=limit // 4):
             now = pa.compute.sum(pa.compute.binary_length(part.column("text"))).as_py() or 0
-            if held and size + now > CHUNK_BYTES:
+            if held and size + now > limit:
                 yield out()
             held.append(pa.record_batch([part.column("doc_id"), part.column("text").cast(pa.string())], names=["doc_id", "text"]))
             size += now

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, lm_score, media, packing, secrets, simhash, substring_dedup, toxicity
+from . import chat, decontaminate, lm_score, media, packing, secrets, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import columns, read
 
 
@@ -37,6 +37,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS)).drop("cost")
 
@@ -52,5 +56,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(rows.unionByName(more), public_tokenizers.path(packing.TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_lm_score, op4_toxicity, op5_audio_features, op6_decontaminate, op8_pack, op9_simhash, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_lm_score, op4_toxicity, op5_audio_features, op6_decontaminate, op7_suffix_dedup, op8_pack, op9_simhash, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
