@@ -20,6 +20,7 @@ repeated rows each give a row; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -42,8 +43,11 @@ WEIGHTS = np.array([DECAY ** (j - 2) for _, j in GAPS], np.float32)
 #: Letters to 1-26, with look-alike digits and signs as letters; bytes beyond ASCII to 27-30; others are dropped.
 LOOKALIKE = dict(zip(b"0134578@$!", b"oieastbasi", strict=True))
 CODES = np.array([c - 96 if 97 <= (c := LOOKALIKE.get(b, b + 32 if 65 <= b <= 90 else b)) <= 122 else 27 + b % 4 if b >= 128 else 0 for b in range(256)], np.uint8)
-DROPPED = bytes(b for b in range(256) if not CODES[b])
-TABLE = bytes(CODES.tolist())
+#: A code as a byte that is no white space.
+SHIFT = 64
+TABLE = bytes(c + SHIFT if c else 32 for c in CODES.tolist())
+DROPPED = bytes(b for b in range(256) if not CODES[b] and not bytes([b]).isspace())
+SPELLED = re.compile(rb"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 DIMS, BEGIN = 1 << 15, 31
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -51,23 +55,17 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 def words_of(raw: bytes) -> list[bytes]:
     """The words of a text as letter codes, in order; runs of three or more single letters are also one word."""
-    out, single = [], []
     if not raw.isascii():
         raw = raw.decode().lower().encode()
-    for w in raw.split():
-        c = w.translate(TABLE, DROPPED)
-        if len(c) == 1:
-            single.append(c)
-            continue
-        if len(single) > 2:
-            out.append(b"".join(single))
-        single.clear()
-        if len(c) > WIDTH:
-            out += [c[i : i + WIDTH] for i in range(0, len(c) - OVERLAP, WIDTH - OVERLAP)]
-        elif len(c) > 2:
-            out.append(c)
-    if len(single) > 2:
-        out.append(b"".join(single))
+    line = raw.translate(TABLE, DROPPED)
+    words = line.split()
+    out = [w for w in words if 2 < len(w) <= WIDTH]
+    for w in words:
+        if len(w) > WIDTH:
+            out += [w[i : i + WIDTH] for i in range(0, len(w) - OVERLAP, WIDTH - OVERLAP)]
+    for m in SPELLED.finditer(line):
+        w = b"".join(m[0].split())
+        out += [w[i : i + WIDTH] for i in range(0, max(1, len(w) - OVERLAP), WIDTH - OVERLAP)]
     return out
 
 
@@ -75,7 +73,8 @@ def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(words, n) feature ids and weights; a weight is 0 where the word has ended."""
     letters = np.zeros((len(words), 1 + WIDTH + SPAN - 1), np.int32)
     letters[:, 0] = BEGIN
-    letters[:, 1 : 1 + WIDTH] = np.array(words, f"S{WIDTH}").view(np.uint8).reshape(len(words), WIDTH)
+    codes = np.array(words, f"S{WIDTH}").view(np.uint8).reshape(len(words), WIDTH)
+    letters[:, 1 : 1 + WIDTH] = np.where(codes, codes - SHIFT, 0)
     ids, weights = [], []
     for (i, j), w in zip(GAPS, WEIGHTS, strict=True):
         a, b, c = letters[:, : WIDTH - 1], letters[:, i : i + WIDTH - 1], letters[:, j : j + WIDTH - 1]
@@ -84,18 +83,40 @@ def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids, axis=1), np.concatenate(weights, axis=1)
 
 
+def merged(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, value) of the normalised sparse vectors, each feature once a row."""
+    ids, weights = triples(words)
+    rows, at = np.nonzero(weights)
+    key, place = np.unique(rows * DIMS + ids[rows, at], return_inverse=True)
+    value = np.bincount(place, weights[rows, at], len(key))
+    row = key // DIMS
+    length = np.sqrt(np.bincount(row, value * value, len(words)))
+    return row, key % DIMS, (value / length[row]).astype(np.float32)
+
+
 def dense(words: list[bytes]) -> np.ndarray:
     """(words, DIMS) normalised feature vectors, for few words."""
     out = np.zeros((len(words), DIMS), np.float32)
-    for row, ids, weights in zip(out, *triples(words), strict=True):
-        np.add.at(row, ids, weights)
-        row /= np.sqrt((row * row).sum()) or 1
+    row, feature, value = merged(words)
+    out[row, feature] = value
     return out
 
 
-def kernel(words: list[bytes], landmarks: np.ndarray, step: int = 512) -> np.ndarray:
+def kernel(words: list[bytes], landmarks: np.ndarray, step: int = 1024) -> np.ndarray:
     """(words, landmarks) normalised kernel values; landmarks as dense vectors."""
-    return np.concatenate([dense(words[i : i + step]) @ landmarks.T for i in range(0, len(words), step)]) if words else np.zeros((0, len(landmarks)), np.float32)
+    used = np.flatnonzero(landmarks.any(axis=0))  # only features that some landmark has matter
+    column = np.full(DIMS, -1)
+    column[used] = np.arange(len(used))
+    small = np.ascontiguousarray(landmarks[:, used].T)
+    out = [np.zeros((0, len(landmarks)), np.float32)]
+    for i in range(0, len(words), step):
+        part = words[i : i + step]
+        row, feature, value = merged(part)
+        have = column[feature] >= 0
+        table = np.zeros((len(part), len(used)), np.float32)
+        table[row[have], column[feature[have]]] = value[have]
+        out.append(table @ small)
+    return np.concatenate(out)
 
 
 @dataclass
@@ -107,6 +128,14 @@ class Model:
     def prepare(self) -> None:
         self.vectors = dense(self.landmarks)
         self.bound = self.vectors.max(axis=0)
+        # Landmarks that are alike share a bound, which is closer than that of all.
+        leaders: list[int] = []
+        alike = self.vectors @ self.vectors.T
+        for i in range(len(self.landmarks)):
+            if not leaders or alike[i, leaders].max() < 0.3:
+                leaders.append(i)
+        own = alike[:, leaders].argmax(axis=1)
+        self.bounds = [self.vectors[own == k].max(axis=0) for k in range(len(leaders))]
 
     def near(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
         """Of distinct words, those whose kernel with some landmark is over LEAST, with all their values."""
@@ -118,9 +147,15 @@ class Model:
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             ids, w = triples(part)
-            # Repeated triples make a vector longer, never shorter: this is over the exact value.
-            upper = (self.bound[ids] * w).sum(axis=1) / np.sqrt(np.maximum((w * w).sum(axis=1), 1e-9))
-            picked += [part[k] for k in np.flatnonzero(upper > LEAST).tolist()]
+            # Repeated triples make a vector longer, never shorter: these are over the exact values.
+            length = np.sqrt(np.maximum((w * w).sum(axis=1), 1e-9))
+            some = np.flatnonzero((self.bound[ids] * w).sum(axis=1) > LEAST * length)
+            ids, w, length = ids[some], w[some], length[some]
+            hit = np.zeros(len(some), bool)
+            for bound in self.bounds:
+                left = np.flatnonzero(~hit)
+                hit[left] = (bound[ids[left]] * w[left]).sum(axis=1) > LEAST * length[left]
+            picked += [part[k] for k in some[hit].tolist()]
         values = kernel(picked, self.vectors)
         return {w: v for w, v in zip(picked, values, strict=True) if v.max() > LEAST}
 
