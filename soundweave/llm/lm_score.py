@@ -80,31 +80,35 @@ def contexts(classes: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Over the first axis: words lie along the second, so that sums run over whole rows."""
+    x = x - x.max(axis=0)
+    return x - np.log(np.exp(x).sum(axis=0))
 
 
 def forward(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hidden, log-probabilities of the high parts, of the low parts given the target's high part)."""
+    """(hidden, log-probabilities of the high parts, of the low parts given the target's high part), a column a word."""
     total = p["bias"] + p["embed"][0][near[:, 0]]
     for i in range(1, 2 * SIDE):
         total += p["embed"][i][near[:, i]]
-    hidden = np.tanh(total)
-    return hidden, _log_softmax(hidden @ p["high"] + p["high_bias"]), _log_softmax(hidden @ p["low"] + p["low_bias"][target // LOW])
+    hidden = np.tanh(np.ascontiguousarray(total.T))
+    low = p["low"].T @ hidden
+    low += np.ascontiguousarray(p["low_bias"].T)[:, target // LOW]
+    return hidden, _log_softmax(p["high"].T @ hidden + p["high_bias"][:, None]), _log_softmax(low)
 
 
 def log_probs(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray) -> np.ndarray:
     _, high, low = forward(p, near, target)
-    rows = np.arange(len(target))
-    return high[rows, target // LOW] + low[rows, target % LOW]
+    words = np.arange(len(target))
+    return high[target // LOW, words] + low[target % LOW, words]
 
 
 def _scatter(n: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of the rows by index, (n, columns)."""
+    index = index.astype(np.int16)  # sorted by radix
     order = np.argsort(index, kind="stable")
     ranked = index[order]
     new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    out = np.zeros((n, rows.shape[1]), np.float32)
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
     out[ranked[new]] = np.add.reduceat(rows[order], new, axis=0)
     return out
 
@@ -112,16 +116,16 @@ def _scatter(n: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def gradient(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Of the mean negative log-probability, flat."""
     hidden, high, low = forward(p, near, target)
-    n, rows = len(target), np.arange(len(target))
+    n, words = len(target), np.arange(len(target))
     d_high, d_low = np.exp(high), np.exp(low)
-    d_high[rows, target // LOW] -= 1
-    d_low[rows, target % LOW] -= 1
+    d_high[target // LOW, words] -= 1
+    d_low[target % LOW, words] -= 1
     d_high /= n
     d_low /= n
-    d_total = (d_high @ p["high"].T + d_low @ p["low"].T) * (1 - hidden * hidden)
+    d_total = np.ascontiguousarray(((p["high"] @ d_high + p["low"] @ d_low) * (1 - hidden * hidden)).T)
     g = {
         "embed": np.stack([_scatter(CLASSES + 1, near[:, i], d_total) for i in range(2 * SIDE)]), "bias": d_total.sum(axis=0),
-        "high": hidden.T @ d_high, "high_bias": d_high.sum(axis=0), "low": hidden.T @ d_low, "low_bias": _scatter(HIGH, target // LOW, d_low),
+        "high": hidden @ d_high.T, "high_bias": d_high.sum(axis=1), "low": hidden @ d_low.T, "low_bias": _scatter(HIGH, target // LOW, np.ascontiguousarray(d_low.T)),
     }
     return np.concatenate([g[k].ravel() for k in SHAPES]).astype(np.float32)
 
