@@ -176,7 +176,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i modulo 2**64 for i below n (base odd); kept for the next call."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 16, n + n // 8)
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = _powers[base] = (np.cumprod(up), np.cumprod(down))

@@ -29,14 +29,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import MESSAGE, answers, bits, bounds, chunked, compress, compressed, expand, expanded, flags, key_messages, mix, order_ids, powers, prefix_hash, smaller_elsewhere, total, unpack, window_hash, with_answers
+from .chunks import MESSAGE, answers, bits, bounds, chunked, compress, compressed, expand, expanded, flags, key_messages, mix, order_ids, powers, prefix_hash, smaller_elsewhere, total, unpack, with_answers
 from .common import arrow_schema, map_groups
 
 SIZE, GRAM = 50, 16
 ANCHOR_BITS = 40
 HOT = 2048
 CHUNK = 2 << 20
-SHARD_BYTES = 8 << 20  # of text for each shard
+SHARD_BYTES = 4 << 20  # of text for each shard
+BLOCK_BYTES = 1 << 19  # hashed at once
 BASE, BASE_CHECK = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 REPEATED, OFTEN, RUNS, STRINGS = range(4)  # kinds of answers
 
@@ -48,7 +49,7 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     raw = text.tobytes() + b"\0" * 8
     n = max(0, len(text) - GRAM + 1)
     eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    return mix(eight[:n] * np.uint64(BASE) + mix(eight[8 : 8 + n])) >> np.uint64(64 - ANCHOR_BITS)
+    return mix(eight[:n] * np.uint64(BASE) + mix(eight[8 : 8 + n]))
 
 
 def least_in_windows(values: np.ndarray, size: int) -> np.ndarray:
@@ -90,7 +91,8 @@ class Chunk:
         stop = np.flatnonzero(np.append(change, True))
         self.count = stop[np.searchsorted(stop, self.start, "right")] - self.start
         self.doc = np.searchsorted(self.ends, self.start, "right")
-        self.anchor = anchors[self.start]
+        # The least hashes are small numbers; mixed again, they spread evenly over the shards.
+        self.anchor = mix(anchors[self.start] ^ np.uint64(BASE_CHECK)) >> np.uint64(64 - ANCHOR_BITS)
 
     def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchors in order, whether each is in two documents of this chunk, each run's place among them)."""
@@ -111,11 +113,7 @@ class Chunk:
     def classes(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the picked runs: (one of each distinct run with the least doc_id, in order of anchor and hash; the least
         doc_id of each; each picked run's place among them)."""
-        hashes = []
-        start, end = self.start[picked], self.start[picked] + self.count[picked] + SIZE - 1
-        for base in (BASE, BASE_CHECK):
-            prefix = prefix_hash(self.text.astype(np.uint64) + np.uint64(1), base)
-            hashes.append(mix((prefix[end] - prefix[start]) * powers(base, len(prefix))[1][start]))
+        hashes = hashes_of(self.text, self.start[picked], self.count[picked] + SIZE - 1)
         order = np.lexsort((self.order[self.doc[picked]], self.count[picked], hashes[1], hashes[0], self.anchor[picked]))
         columns = [x[order] for x in (self.anchor[picked], *hashes, self.count[picked])]
         new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) if len(order) else np.zeros(0, bool)
@@ -128,9 +126,8 @@ class Chunk:
         """Of the strings in the picked runs: (keys, checks and least doc_ids of distinct ones in order; starts; places)."""
         starts = spread(self.start[picked], self.count[picked])
         ids = np.repeat(self.order[self.doc[picked]], self.count[picked])
-        values = self.text.astype(np.uint64) + np.uint64(1)
-        key = window_hash(prefix_hash(values, BASE), starts, SIZE, BASE)
-        check = (window_hash(prefix_hash(values, BASE_CHECK), starts, SIZE, BASE_CHECK) >> np.uint64(32)).astype(np.uint32)
+        key, check = hashes_of(self.text, starts, np.full(len(starts), SIZE))
+        check = (check >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((ids, check, key))
         k, c = key[order], check[order]
         new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(k) else np.zeros(0, bool)
@@ -139,6 +136,22 @@ class Chunk:
         return k[new], c[new], ids[order][new], starts, place, ids
 
 
+def hashes_of(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each substring; starts ascend. Blocks of the text are hashed in turn, so that memory stays small."""
+    out = [np.zeros(len(start), np.uint64) for _ in range(2)]
+    i = 0
+    while i < len(start):
+        lo = int(start[i])
+        j = max(i + 1, int(np.searchsorted(start, lo + BLOCK_BYTES)))
+        own = start[i:j] - lo
+        values = text[lo : int((start[i:j] + length[i:j]).max())].astype(np.uint64) + np.uint64(1)
+        for have, base in zip(out, (BASE, BASE_CHECK), strict=True):
+            prefix = prefix_hash(values, base)
+            have[i:j] = mix((prefix[own + length[i:j]] - prefix[own]) * powers(base, len(prefix))[1][own])
+        i = j
+    return out
+
+
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... counts[i] numbers for each i."""
     ends = np.cumsum(counts)
@@ -255,7 +268,7 @@ class Suffixes:
         return same
 
 
-def least_equals(text: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, doc: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+def least_equals(text: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, doc: np.ndarray, step: int = 1 << 17) -> np.ndarray:
     """For the strings of runs (in order of anchor) whether an equal string of another run has a smaller doc_id.
 
     Whole groups are sorted together, about step strings at a time."""
@@ -325,9 +338,7 @@ def judged_runs(blobs: list[bytes]) -> list[bytes]:
     del read[:]
     length = count + SIZE - 1
     start = np.cumsum(length) - length
-    prefix = [prefix_hash(text.astype(np.uint64) + np.uint64(1), b) for b in (BASE, BASE_CHECK)]
-    hashes = [(p[start + length] - p[start]) * powers(b, len(p))[1][start] for p, b in zip(prefix, (BASE, BASE_CHECK), strict=True)]
-    del prefix
+    hashes = hashes_of(text, start, length)
     order = np.lexsort((doc, length, hashes[1], hashes[0], anchor))
     columns = [x[order] for x in (anchor, *hashes, length)]
     new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) if len(order) else np.zeros(0, bool)
