@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, lm_score, media, packing, secrets, simhash, substring_dedup, suffix_dedup, toxicity
+from . import chat, decontaminate, lm_score, media, oracles, packing, secrets, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import columns, read
 
 
@@ -53,8 +53,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = columns(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
-    return chat.conversation_digests(rows.unionByName(more), public_tokenizers.path(packing.TOKENIZER))
+    return chat.conversation_digests(rows.unionByName(more), public_tokenizers.path(packing.TOKENIZER)).drop("n_tokens", "n_loss_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_lm_score, op4_toxicity, op5_audio_features, op6_decontaminate, op7_suffix_dedup, op8_pack, op9_simhash, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING, "op6_decontaminate": oracles.DECONTAMINATE, "op7_suffix_dedup": oracles.SUFFIX, "op10_chat_format": oracles.CHAT}
