@@ -220,10 +220,14 @@ def fingerprint_rows(found: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the document with the least doc_id (nulls last), once."""
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_h"), F.lit(True).alias("_stays"))
-    keyed = docs.withColumns({"_h": F.xxhash64(docs["text"].cast("string")), "_d": docs["doc_id"].cast("long")})
-    same = keyed["_d"].eqNullSafe(first["_d"]) & (keyed["_h"] == first["_h"])
-    kept = keyed.join(first, same, "left_semi")
-    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_h"))).where("_n = 1").drop("_d", "_h", "_n")
-
-
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    # One key for the join and for the ranking, so that the texts move once.
+    key = lambda doc, text_hash: {"_d": F.coalesce(doc, F.lit(0)), "_h": text_hash, "_z": doc.isNull()}
+    stays = first.select(*[c.alias(n) for n, c in key(F.col("k.doc_id"), F.col("k.text_hash")).items()])
+    names = docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    doc, text = (F.col(f"_{names.index(n)}") for n in ("doc_id", "text"))
+    keyed = plain.withColumns(key(doc.cast("long"), F.xxhash64(text.cast("string"))))
+    kept = keyed.join(stays, ["_d", "_h", "_z"], "left_semi")
+    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_h", "_z").orderBy(F.lit(0))))
+    return once.where("_n = 1").drop("_d", "_h", "_z", "_n").toDF(*names)
