@@ -130,14 +130,16 @@ def digests(scanned: DataFrame) -> DataFrame:
 MASK = "[SECRET]"
 
 
-def masked_text(text: str, spans: list[tuple[int, int]]) -> str:
+def masked_text(text: F.Column, spans: F.Column) -> F.Column:
     """The text with each span, or union of spans that touch or overlap, replaced by MASK."""
-    out, at = [], 0
-    for a, b in sorted(spans):
-        if a > at or not out:
-            out += [text[at:a], MASK]
-        at = max(at, b)
-    return "".join(out) + text[at:]
+    start = F.struct(F.lit("").alias("out"), F.lit(-1).alias("at"))
+
+    def step(done: F.Column, x: F.Column) -> F.Column:
+        at, end = F.greatest(done["at"], F.lit(0)), F.greatest(done["at"], x["until"])
+        new = F.concat(done["out"], F.substring(text, at + 1, x["first"] - at), F.lit(MASK))
+        return F.struct(F.when(x["first"] > done["at"], new).otherwise(done["out"]).alias("out"), end.alias("at"))
+
+    return F.aggregate(F.sort_array(spans), start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
 
 
 def mask_secrets(docs: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -149,13 +151,11 @@ def mask_secrets(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
     at = names.index("text")
     text, doc = F.col(f"_{at}"), F.col(f"_{names.index('doc_id')}")
-    keyed = plain.join(one, doc.cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text.cast("string")) == F.col("_h")), "left")
-
-    @F.pandas_udf("string")
-    def masked(texts, spans):
-        return texts.combine(spans, lambda t, s: t if s is None or t is None else masked_text(t, [(x["first"], x["until"]) for x in s]))
-
-    touched = keyed.where("_s is not null").withColumn(f"_{at}", masked(text, F.col("_s")))
+    key = lambda d: F.coalesce(d, F.lit(0))
+    right = one.select(key(F.col("_d")).alias("_k"), F.col("_d").isNull().alias("_z"), "_h", "_s")
+    left = plain.withColumns({"_k": key(doc.cast("long")), "_z": doc.cast("long").isNull(), "_h": F.xxhash64(text.cast("string"))})
+    out = left.join(right, ["_k", "_z", "_h"], "left").withColumn(f"_{at}", F.when(F.col("_s").isNull(), text).otherwise(masked_text(text.cast("string"), F.col("_s"))))
     if "n_chars" in names:
-        touched = touched.withColumn(f"_{names.index('n_chars')}", F.length(text).cast("long"))
-    return keyed.where("_s is null").unionByName(touched).drop("_d", "_h", "_s").toDF(*names)
+        i = names.index("n_chars")
+        out = out.withColumn(f"_{i}", F.when(F.col("_s").isNull(), F.col(f"_{i}")).otherwise(F.length(f"_{at}").cast(docs.dtypes[i][1])))
+    return out.drop("_k", "_z", "_h", "_s").toDF(*names)
