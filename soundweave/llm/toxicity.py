@@ -4,9 +4,10 @@ The kernel of two words counts the letter triples they have in common as subsequ
 letters weighs DECAY ** (s - 3), and spans up to SPAN count, so that `idxiot` or `i.d.i.o.t` stays near `idiot`; the beginning of
 a word is a letter of its own. It is normalised to 1 for equal words. Landmarks are the words of the labelled training
 rows that tell the classes apart best (a z-score of LEAST_Z or more), and no two of them alike. A document is known by
-its nearest word to each landmark and by how many of its distinct words are near it (per square root of all), through
-the Nyström map K_mm ** -1/2; a linear machine with squared hinge loss separates the labels, and a logistic fit on its
-margin gives the score.
+how near its nearest word is to each landmark, whether it is the same, and how many of its distinct words are near (per
+square root of all), through the Nyström map K_mm ** -1/2; a linear machine with squared hinge loss separates the labels, and a logistic fit on its
+margin gives the score. Landmarks that are in toxic rows only are added to the training rows alone and with a letter
+inserted.
 
 Training uses labelled rows with crc32(doc_id as text) mod 5 not 0, at most TRAIN_ROWS of them by order of a hash (the
 documented bound); words are counted by the executors, and the driver gets TOP words and the rows' landmark features.
@@ -34,9 +35,13 @@ from .common import columns, documents, filter_rows, map_groups, raw_texts, stag
 TRAIN_ROWS = 6000
 TOP, LANDMARKS = 400, 96
 LEAST_Z, ALIKE = 4.0, 0.85
-SPAN, DECAY, LEAST = 5, 0.7, 0.45
+SPAN, DECAY = 6, 0.9
+LEAST, SURE = 0.45, 0.6  # kernel values between which nearness grows from 0 to 1
+SAME = 0.8  # and from which sameness does, up to 1
+FEW = 100  # a text counts as having so many distinct words at least
 WIDTH, OVERLAP = 24, 8  # longer words are looked at in windows of WIDTH letters
 LEAST_DOCS = 3
+ALTERED, CERTAIN = 2, 0.95  # forms of a landmark added to training, if so large a share of its rows is toxic
 
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 WEIGHTS = np.array([DECAY ** (j - 2) for _, j in GAPS], np.float32)
@@ -48,7 +53,7 @@ SHIFT = 64
 TABLE = bytes(c + SHIFT if c else 32 for c in CODES.tolist())
 DROPPED = bytes(b for b in range(256) if not CODES[b] and not bytes([b]).isspace())
 SPELLED = re.compile(rb"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
-DIMS, BEGIN = 1 << 15, 31
+DIMS, BEGIN, PARTS = 1 << 15, 31, 3
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -71,13 +76,14 @@ def words_of(raw: bytes) -> list[bytes]:
 
 def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(words, n) feature ids and weights; a weight is 0 where the word has ended."""
-    letters = np.zeros((len(words), 1 + WIDTH + SPAN - 1), np.int32)
+    wide = max(3, max(map(len, words)))
+    letters = np.zeros((len(words), wide + SPAN), np.int32)
     letters[:, 0] = BEGIN
-    codes = np.array(words, f"S{WIDTH}").view(np.uint8).reshape(len(words), WIDTH)
-    letters[:, 1 : 1 + WIDTH] = np.where(codes, codes - SHIFT, 0)
+    codes = np.array(words, f"S{wide}").view(np.uint8).reshape(len(words), wide)
+    letters[:, 1 : 1 + wide] = np.where(codes, codes - SHIFT, 0)
     ids, weights = [], []
     for (i, j), w in zip(GAPS, WEIGHTS, strict=True):
-        a, b, c = letters[:, : WIDTH - 1], letters[:, i : i + WIDTH - 1], letters[:, j : j + WIDTH - 1]
+        a, b, c = letters[:, : wide - 1], letters[:, i : i + wide - 1], letters[:, j : j + wide - 1]
         ids.append((a << 10) | (b << 5) | c)
         weights.append(np.where(c > 0, w, np.float32(0)))
     return np.concatenate(ids, axis=1), np.concatenate(weights, axis=1)
@@ -144,6 +150,7 @@ class Model:
         if not hasattr(self, "bound"):
             self.prepare()
         picked: list[bytes] = []
+        words = sorted(words, key=len)  # the matrices are as wide as the longest word
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             ids, w = triples(part)
@@ -160,17 +167,21 @@ class Model:
         return {w: v for w, v in zip(picked, values, strict=True) if v.max() > LEAST}
 
     def features(self, raws: list[bytes]) -> np.ndarray:
-        """(texts, 2 x landmarks): by how much the nearest word's kernel value is over LEAST, and the sum of this over
-        the distinct words, per square root of their number."""
+        return self.features_of([set(words_of(raw)) for raw in raws])
+
+    def features_of(self, sets: list[set[bytes]]) -> np.ndarray:
+        """(texts, 3 x landmarks): how near the nearest word is (0 at LEAST, 1 from SURE on), how much the same (0 at SAME, 1
+        at 1), and the sum of nearness over the distinct words, per square root of their number (FEW at least)."""
         m = len(self.landmarks)
-        out = np.zeros((len(raws), 2 * m), np.float32)
-        sets = [set(words_of(raw)) for raw in raws]
+        out = np.zeros((len(sets), PARTS * m), np.float32)
         near = self.near(list(set().union(*sets)))
         for row, own in zip(out, sets, strict=True):
             found = sorted(near.keys() & own)
             if found:
-                over = np.maximum(np.stack([near[w] for w in found]) - LEAST, 0)
-                row[:m], row[m:] = over.max(axis=0), over.sum(axis=0) / np.sqrt(len(own))
+                values = np.stack([near[w] for w in found])
+                over = np.clip((values - LEAST) / (SURE - LEAST), 0, 1)
+                row[:m], row[m : 2 * m] = over.max(axis=0), np.clip((values.max(axis=0) - SAME) / (1 - SAME), 0, 1)
+                row[2 * m :] = over.sum(axis=0) / np.sqrt(max(len(own), FEW))
         return out
 
     def scores(self, raws: list[bytes]) -> np.ndarray:
@@ -197,18 +208,34 @@ def choose(candidates: list[bytes], most: int = LANDMARKS) -> list[bytes]:
     return chosen
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with squared hinge loss (y in -1, 1), by accelerated gradient steps."""
-    n = len(y)
-    a = np.hstack([x, np.ones((n, 1))])
-    rate = 1 / (2 * np.linalg.norm(a.T @ a / n, 2) + reg)
-    w = v = np.zeros(a.shape[1])
-    keep = np.append(np.ones(x.shape[1]), 0)
-    for t in range(steps):
-        slack = np.maximum(0, 1 - y * (a @ v))
-        new = v - rate * (-2 * a.T @ (y * slack) / n + reg * keep * v)
-        v = new + t / (t + 3) * (new - w)
-        w = new
+def altered(word: bytes, rng: np.random.Generator, times: int = ALTERED) -> list[bytes]:
+    """The word, and some forms with one letter more inside it."""
+    out = [word]
+    for _ in range(times):
+        at = int(rng.integers(1, len(word)))
+        out.append((word[:at] + bytes([SHIFT + int(rng.integers(1, 27))]) + word[at:])[:WIDTH])
+    return out
+
+
+def fit_machine(x: np.ndarray, y: np.ndarray, reg: float = 3e-4, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine with squared hinge loss (y in -1, 1), by Newton steps over the rows within
+    the margin, halved until the loss falls."""
+    a = np.hstack([x, np.ones((len(y), 1))])
+    ridge = reg * np.append(np.ones(x.shape[1]), 1e-6)
+    loss = lambda w: (np.maximum(0, 1 - y * (a @ w)) ** 2).mean() + (ridge * w * w).sum()
+    w = np.zeros(a.shape[1])
+    now = loss(w)
+    for _ in range(steps):
+        near = a[y * (a @ w) < 1]
+        own = y[y * (a @ w) < 1]
+        hess = near.T @ near / len(y) + np.diag(ridge + 1e-12)
+        step = np.linalg.solve(hess, near.T @ own / len(y)) - w
+        size = 1.0
+        while size > 1e-4 and (new := loss(w + size * step)) > now:
+            size /= 2
+        if size <= 1e-4 or now - new < 1e-9:
+            break
+        w, now = w + size * step, new
     return w[:-1], float(w[-1])
 
 
@@ -244,7 +271,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     share, rate1, rate0 = F.col("n") / (n0 + n1), F.col("pos") / n1, (F.col("n") - F.col("pos")) / n0
     z = (rate1 - rate0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
     best = counts.where(F.col("pos") >= min(LEAST_DOCS, n1)).withColumn("gain", z).where(F.col("gain") >= LEAST_Z)
-    top = [bytes(r["word"]) for r in best.orderBy(F.desc("gain"), "word").limit(TOP).collect()]
+    picked = best.orderBy(F.desc("gain"), "word").limit(TOP).collect()
+    top = [bytes(r["word"]) for r in picked]
+    certain = {bytes(r["word"]) for r in picked if r["pos"] >= CERTAIN * r["n"]}
     model = Model(choose(top), np.zeros(0), 0.0)
     if not model.landmarks:
         return Model([], np.zeros(0), 0.0)
@@ -255,11 +284,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     got = map_groups(chosen, featured, "x array<float>, toxic int").toPandas()
     x, y = np.stack(got["x"].to_numpy()).astype(np.float64), got["toxic"].to_numpy()
     model.prepare()
+    rng = np.random.default_rng(0)
+    forms = [f for w in model.landmarks if w in certain for f in altered(w, rng)]
+    if forms:  # a landmark alone, or altered, is toxic as well
+        x, y = np.concatenate([x, model.features_of([{f} for f in forms])]), np.append(y, np.ones(len(forms), int))
     values, vectors = np.linalg.eigh(model.vectors.astype(np.float64) @ model.vectors.T)
     nystrom = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
-    both = np.kron(np.eye(2), nystrom)
+    both = np.kron(np.eye(PARTS), nystrom)
     w, b = fit_machine(x @ both, np.where(y == 1, 1.0, -1.0))
-    slope, offset = fit_logistic((x @ both) @ w + b, y)
+    own = slice(0, len(got))  # the rows themselves
+    slope, offset = fit_logistic((x[own] @ both) @ w + b, y[own])
     return Model(model.landmarks, slope * (both @ w), slope * b + offset)
 
 
@@ -315,17 +349,4 @@ def _model(sent: tuple[str, object]) -> Model:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, with all their columns, that aren't predicted to be toxic; no shuffle."""
     sent = _sent(docs.sparkSession, model)
-    names = {c.lower() for c in docs.columns}
-    flag = next(f"toxic_{i}" for i in range(len(names) + 1) if f"toxic_{i}" not in names)
-
-    @F.pandas_udf("boolean")
-    def clean(text):
-        import pandas as pd
-
-        out: list[bool] = []
-        raws = [(t or "").encode() for t in text]
-        for i in range(0, len(raws), 256):
-            out += (_model(sent).scores(raws[i : i + 256]) < 0.5).tolist()
-        return pd.Series(out, dtype=bool)
-
-    return docs.withColumn(flag, clean(docs["text"].cast("string"))).where(F.col(flag)).drop(flag)
+    return filter_rows(docs, lambda raws: (_model(sent).scores(raws) < 0.5).tolist())
