@@ -7,10 +7,11 @@ doc_id. Every document byte may start such a string, so only suffixes that can m
    documents send their distinct anchors to shards, which answer which of them occur in two documents or more.
 2. Consecutive strings with one anchor are a run. Each chunk sends the bytes of its distinct runs with such an anchor,
    and their least doc_id, to the anchor's shard. Of equal runs there the least doc_id decides. All suffixes of
-   different runs with one anchor are sorted: a merge sort whose comparison finds the common extension of two suffixes
-   by binary search over prefix polynomial hashes, in log2(SIZE) steps, and then looks at one byte. Neighbours whose
-   extension reaches SIZE are equal strings; this is verified byte by byte, and a group in which a collision shows is
-   sorted by its bytes instead. Each string gets the least doc_id of its equals.
+   different runs with one anchor are sorted: by their first 8 bytes as a number, and those that share them by a merge
+   sort whose comparison finds the common extension of two suffixes by binary search over prefix polynomial hashes, in
+   log2(SIZE) steps at most, and then looks at one byte. Neighbours with one hash over SIZE bytes are equal strings;
+   this is verified byte by byte, and a group in which a collision shows is sorted by its bytes instead. Each string
+   gets the least doc_id of its equals.
 3. Each chunk removes the strings that a smaller doc_id has.
 
 Anchors of HOT chunks or more would bring too much to one shard; the strings of their runs are exchanged by 96-bit
@@ -35,6 +36,7 @@ from .common import arrow_schema, map_groups
 SIZE, GRAM = 50, 16
 ANCHOR_BITS = 40
 HOT = 2048
+LONG = 2 * (SIZE - GRAM)  # a run of more strings repeats its anchor
 CHUNK = 2 << 20
 SHARD_BYTES = 4 << 20  # of text for each shard
 BLOCK_BYTES = 1 << 19  # hashed at once
@@ -169,7 +171,9 @@ class Suffixes:
         self.prefix = prefix_hash(text.astype(np.uint64) + np.uint64(1), BASE)
         self.down = powers(BASE, len(self.prefix))[1]
         raw = text.tobytes()
-        self.first = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))[starts].astype(np.uint64)
+        eight = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
+        self.first, self.second = eight[starts].astype(np.uint64), eight[starts + 8].astype(np.uint64)
+        self.whole = (self.prefix[starts + SIZE] - self.prefix[starts]) * self.down[starts]
 
     def extension(self, a: np.ndarray, b: np.ndarray, known: int = 0) -> np.ndarray:
         """The common extension of suffixes at a and b (places in the text), SIZE at most, by binary search."""
@@ -181,17 +185,17 @@ class Suffixes:
         return low
 
     def less(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether suffix x is below suffix y, whether they are equal)."""
-        p, q = self.first[x], self.first[y]
-        below, equal = p < q, p == q
-        tied = np.flatnonzero(equal)
+        """(whether suffix x is below suffix y, whether they are equal), for suffixes that share their first 8 bytes."""
+        equal = self.whole[x] == self.whole[y]
+        below = np.zeros(len(x), bool)
+        other = np.flatnonzero(~equal)
+        p, q = self.second[x[other]], self.second[y[other]]
+        below[other] = p < q
+        tied = other[p == q]
         if len(tied):
             a, b = self.starts[x[tied]], self.starts[y[tied]]
-            n = self.extension(a, b, 8)
-            whole = n >= SIZE
-            at = np.minimum(n, SIZE - 1)
-            below[tied] = ~whole & (self.text[a + at] < self.text[b + at])
-            equal[tied] = whole
+            at = np.minimum(self.extension(a, b, 16), SIZE - 1)
+            below[tied] = self.text[a + at] < self.text[b + at]
         return below, equal
 
     def ranks(self, items: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray, or_equal: bool) -> np.ndarray:
@@ -209,12 +213,14 @@ class Suffixes:
         return left - base
 
     def sort(self) -> np.ndarray:
-        """The order of the suffixes. groups must not descend; runs are merged only where a group spans both."""
+        """The order of the suffixes: by group and the first 8 bytes as a number, then a merge sort of those that share
+        both; runs are merged only where such a class spans both."""
         n = len(self.starts)
-        order = np.arange(n)
+        order = np.lexsort((self.first, self.groups))
         if n < 2:
             return order
-        new = np.append(True, self.groups[1:] != self.groups[:-1])
+        g, f = self.groups[order], self.first[order]
+        new = np.append(True, (g[1:] != g[:-1]) | (f[1:] != f[:-1]))
         number = np.cumsum(new) - 1
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], n)
@@ -244,14 +250,11 @@ class Suffixes:
         """For each place of the order whether its suffix equals the one before, verified byte by byte; groups in which
         hashes and bytes disagree are put in order of their bytes, in place."""
         x, y = order[:-1], order[1:]
-        same_group = self.groups[x] == self.groups[y]
         a, b = self.starts[x], self.starts[y]
         claimed = np.zeros(len(order), bool)
-        claimed[1:] = same_group & (self.first[x] == self.first[y])
+        claimed[1:] = (self.groups[x] == self.groups[y]) & (self.whole[x] == self.whole[y])
         at = np.flatnonzero(claimed)
-        claimed[at] = self.extension(a[at - 1], b[at - 1], 8) >= SIZE
-        at = np.flatnonzero(claimed)
-        wrong = at[~self.same_bytes(a[at - 1], b[at - 1])]
+        wrong = at[~same_at(self.text, a[at - 1], b[at - 1])]
         for g in np.unique(self.groups[order[wrong]]).tolist():
             places = np.flatnonzero(self.groups[order] == g)
             raw = {i: self.text[self.starts[i] : self.starts[i] + SIZE].tobytes() for i in order[places].tolist()}
@@ -260,36 +263,65 @@ class Suffixes:
             claimed[places] = [False] + [raw[i] == raw[j] for i, j in zip(ranked[:-1], ranked[1:], strict=True)]
         return claimed
 
-    def same_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        same = np.ones(len(a), bool)
-        eight = np.ndarray((len(self.text) - 7,), "<u8", self.text.tobytes(), strides=(1,))
-        for k in [*range(0, SIZE - 8, 8), SIZE - 8]:
-            same &= eight[a + k] == eight[b + k]
-        return same
+
+def same_at(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the SIZE bytes at a and at b are the same, byte by byte."""
+    same = np.ones(len(a), bool)
+    eight = np.ndarray((len(text) - 7,), "<u8", text.tobytes(), strides=(1,))
+    for k in [*range(0, SIZE - 8, 8), SIZE - 8]:
+        same &= eight[a + k] == eight[b + k]
+    return same
+
+
+def distinct_strings(text: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of distinct strings of one run, each string's place among them)."""
+    starts = np.arange(count)
+    h = hashes_of(text, starts, np.full(count, SIZE))
+    order = np.lexsort((starts, h[1], h[0]))
+    new = np.append(True, (h[0][order][1:] != h[0][order][:-1]) | (h[1][order][1:] != h[1][order][:-1]))
+    first = np.empty(count, np.int64)
+    first[order] = order[new][np.cumsum(new) - 1]
+    first = np.where(same_at(text, starts, first), first, starts)
+    return np.unique(first, return_inverse=True)
 
 
 def least_equals(text: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, doc: np.ndarray, step: int = 1 << 17) -> np.ndarray:
     """For the strings of runs (in order of anchor) whether an equal string of another run has a smaller doc_id.
 
-    Whole groups are sorted together, about step strings at a time."""
+    Whole groups are sorted together, about step strings at a time. A run is long where one substring comes again and
+    again (a repeated word); its strings repeat as well, and only distinct ones of each such run are sorted."""
     out = np.zeros(int(count.sum()), bool)
-    ends = np.cumsum(count)
+    begin = np.cumsum(count) - count
+    thin = {i: distinct_strings(text[start[i] : start[i] + count[i] + SIZE - 1], int(count[i])) for i in np.flatnonzero(count > LONG).tolist()}
+    sizes = count.copy()
+    for i, (own, _) in thin.items():
+        sizes[i] = len(own)
+    ends = np.cumsum(sizes)
     new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(anchor))
     i = 0
     while i < len(new):
-        a, base = new[i], ends[new[i]] - count[new[i]]
-        j = max(i + 1, int(np.searchsorted(ends[np.append(new[1:], len(ends)) - 1], base + step, "right")))
-        b = new[j] if j < len(new) else len(anchor)
+        a, base = new[i], ends[new[i]] - sizes[new[i]]
+        j = max(i + 1, int(np.searchsorted(ends[last - 1], base + step, "right")))
+        b = last[j - 1]
         lo, hi = start[a], start[b - 1] + count[b - 1] + SIZE - 1
-        found = Suffixes(text[lo:hi], spread(start[a:b], count[a:b]) - lo, np.repeat(anchor[a:b], count[a:b]))
+        places = spread(start[a:b] - lo, sizes[a:b])
+        for k, (own, _) in thin.items():
+            if a <= k < b:
+                places[ends[k] - sizes[k] - base : ends[k] - base] = start[k] - lo + own
+        found = Suffixes(text[lo:hi], places, np.repeat(anchor[a:b], sizes[a:b]))
         order = found.sort()
         claimed = found.equal_neighbours(order)
-        ids = np.repeat(doc[a:b], count[a:b])[order]
+        ids = np.repeat(doc[a:b], sizes[a:b])[order]
         cuts = np.flatnonzero(~claimed)
         least = np.minimum.reduceat(ids, cuts)[np.cumsum(~claimed) - 1] if len(ids) else ids
-        own = np.empty(len(order), bool)
-        own[order] = least < ids
-        out[base : ends[b - 1]] = own
+        told = np.empty(len(order), bool)
+        told[order] = least < ids
+        plain = np.array([k not in thin for k in range(a, b)], bool)
+        runs = np.flatnonzero(plain) + a
+        out[spread(begin[runs], count[runs])] = told[spread(ends[runs] - sizes[runs] - base, sizes[runs])]
+        for k in (np.flatnonzero(~plain) + a).tolist():
+            out[begin[k] : begin[k] + count[k]] = told[ends[k] - sizes[k] - base : ends[k] - base][thin[k][1]]
         i = j
     return out
 
