@@ -93,3 +93,8 @@ def mora_range(df: DataFrame, least: int | None, most: int | None) -> DataFrame:
     if least is not None:
         df = df.where(F.col("mora_count") >= least)
     return df.where(F.col("mora_count") <= most) if most is not None else df
+
+
+def entries_of(index: Index, surfaces: DataFrame) -> DataFrame:
+    """The lexicon rows of the given surfaces (column surface)."""
+    return index.lexicon.join(surfaces.select("surface").distinct(), "surface", "left_semi")

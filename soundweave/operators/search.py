@@ -188,7 +188,7 @@ def search(
     normal = index.lexicon.groupBy(F.col("surface").alias("query_text")).agg(F.min("normalized").alias("query_normal"))
     # Texts of queries that are words themselves are known by their normal form too.
     asked = queries.select(F.col("text").alias("query_text")).distinct().join(normal, "query_text")
-    rows = rows.join(F.broadcast(asked), "query_text", "left").where((F.col("surface") != F.col("query_text")) & ~F.col("surface").eqNullSafe(F.col("query_normal")))
+    rows = rows.join(asked, "query_text", "left").where((F.col("surface") != F.col("query_text")) & ~F.col("surface").eqNullSafe(F.col("query_normal")))
     if exclude_same_reading:
         rows = rows.where(F.col("reading") != F.col("query_reading"))
     four = lambda n: P.round4(F.col(f"c_{n}"))
