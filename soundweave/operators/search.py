@@ -185,9 +185,12 @@ def search(
     rows = sounds.join(words, ["mora_count", "phon"]).withColumn("raw_score", total_score(w))
     if min_score > 0:
         rows = rows.where(F.col("raw_score") >= min_score)
-    normal = index.lexicon.groupBy(F.col("surface").alias("query_text")).agg(F.min("normalized").alias("query_normal"))
-    # Texts of queries that are words themselves are known by their normal form too.
-    asked = queries.select(F.col("text").alias("query_text")).distinct().join(normal, "query_text")
+    # A query's own word is left out in its normal form too.
+    if "normalized" in queries.columns:
+        asked = queries.select(F.col("text").alias("query_text"), F.col("normalized").alias("query_normal")).distinct()
+    else:
+        normal = index.lexicon.groupBy(F.col("surface").alias("query_text")).agg(F.min("normalized").alias("query_normal"))
+        asked = queries.select(F.col("text").alias("query_text")).distinct().join(normal, "query_text")
     rows = rows.join(asked, "query_text", "left").where((F.col("surface") != F.col("query_text")) & ~F.col("surface").eqNullSafe(F.col("query_normal")))
     if exclude_same_reading:
         rows = rows.where(F.col("reading") != F.col("query_reading"))
@@ -241,21 +244,26 @@ def compare(pairs: DataFrame) -> DataFrame:
 
 
 def read_texts(texts: DataFrame, lexicon: DataFrame, longest: int = 12) -> DataFrame:
-    """texts (text_id, text) with a reading: kana as katakana, other text by the longest known surface from the left;
-    characters that aren't known are skipped."""
-    clean = texts.withColumn("text", F.trim("text"))
-    kana = F.col("text").rlike("^[\\u3041-\\u3096\\u30A1-\\u30FAー]+$")
-    direct = clean.where(kana).withColumn("reading", P.to_katakana(F.col("text")))
-    other = clean.where(~kana)
-    at = other.select("text_id", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")))).alias("at"))
+    """texts (text_id, text) with reading and normalized. Kana are read as they are. Other text is cut into the longest
+    known surfaces from the left, kana between them standing for themselves; characters that aren't known are skipped in
+    the reading and stay in the normal form."""
+    kana_only, one_kana = "^[\\u3041-\\u3096\\u30A1-\\u30FAー]+$", "^[\\u3041-\\u3096\\u30A1-\\u30FAー]$"
+    clean = texts.select("text_id", F.trim("text").alias("text"))
+    at = clean.select("text_id", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")))).alias("at"))
     piece = at.select("text_id", "text", "at", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("size")).where(F.col("at") + F.col("size") - 1 <= F.length("text"))
     piece = piece.withColumn("surface", F.substring("text", F.col("at"), F.col("size")))
-    known = lexicon.groupBy("surface").agg(F.min_by("reading", F.struct("cost", "reading")).alias("found"))
-    alone = F.when((F.col("size") == 1) & F.col("surface").rlike("[\\u3041-\\u3096\\u30A1-\\u30FAー]"), P.to_katakana(F.col("surface")))
-    best = piece.join(known, "surface", "left").withColumn("found", F.coalesce("found", alone)).where("found is not null")
-    best = best.groupBy("text_id", "at").agg(F.max(F.struct("size", "found")).alias("b"))
-    steps = best.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("at", "b.size", "b.found"))).alias("steps"))
-    start = F.struct(F.lit(1).alias("next"), F.lit("").alias("reading"))
-    walk = F.aggregate("steps", start, lambda s, x: F.when(x["at"] >= s["next"], F.struct((x["at"] + x["size"]).alias("next"), F.concat(s["reading"], x["found"]).alias("reading"))).otherwise(s))
-    read = other.join(steps, "text_id", "left").select("text_id", "text", F.coalesce(walk["reading"], F.lit("")).alias("reading"))
-    return direct.select("text_id", "text", "reading").unionByName(read)
+    known = lexicon.groupBy("surface").agg(F.min_by(F.struct("reading", "normalized"), F.struct("cost", "reading", "normalized")).alias("found"))
+    plain = F.struct(F.when(F.col("surface").rlike(one_kana), P.to_katakana(F.col("surface"))).otherwise("").alias("reading"), F.col("surface").alias("normalized"))
+    best = piece.join(known, "surface", "left").withColumn("found", F.coalesce("found", F.when(F.col("size") == 1, plain))).where("found is not null")
+    best = best.groupBy("text_id", "text", "at").agg(F.max(F.struct("size", "found")).alias("b"))
+    steps = best.groupBy("text_id", "text").agg(F.sort_array(F.collect_list(F.struct("at", "b.size", "b.found"))).alias("steps"))
+    start = F.struct(F.lit(1).alias("next"), F.lit("").alias("reading"), F.lit("").alias("normalized"))
+
+    def walk(s: Column, x: Column) -> Column:
+        taken = F.struct((x["at"] + x["size"]).alias("next"), F.concat(s["reading"], x["found"]["reading"]).alias("reading"), F.concat(s["normalized"], x["found"]["normalized"]).alias("normalized"))
+        return F.when(x["at"] >= s["next"], taken).otherwise(s)
+
+    walked = steps.withColumn("w", F.aggregate("steps", start, walk))
+    read = clean.join(walked.select("text_id", "text", "w"), ["text_id", "text"], "left")
+    reading = F.when(F.col("text").rlike(kana_only), P.to_katakana(F.col("text"))).otherwise(F.coalesce("w.reading", F.lit("")))
+    return read.select("text_id", "text", reading.alias("reading"), F.coalesce("w.normalized", F.col("text")).alias("normalized"))

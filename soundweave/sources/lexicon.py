@@ -60,9 +60,28 @@ def complete(entries: DataFrame) -> DataFrame:
     return entries.withColumns({"reading": fill("reading"), "normalized": fill("normalized")})
 
 
+def _unpacked(batches):
+    """Lines of xz files, in blocks; Spark's own readers have no such codec."""
+    import io
+    import lzma
+
+    import pyarrow as pa
+
+    for batch in batches:
+        for data in batch.column("content").to_pylist():
+            with lzma.open(io.BytesIO(data), "rt", encoding="utf-8") as lines:
+                while block := lines.readlines(1 << 20):
+                    rows = [x.rstrip("\n").rpartition("\t") for x in block if "\t" in x]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([int(r[2]) for r in rows], pa.int64())], names=["surface", "documents"])
+
+
 def read_frequencies(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """(surface, documents) and the corpus size from a tab-separated table with a [TOTAL] row."""
-    rows = spark.read.csv(path, sep="\t", schema="surface string, documents long", quote="")
+    """(surface, documents) and the corpus size from a tab-separated table, plain or packed (.xz), with a [TOTAL] row."""
+    schema = "surface string, documents long"
+    if path.endswith(".xz"):
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_unpacked, schema)
+    else:
+        rows = spark.read.csv(path, sep="\t", schema=schema, quote="")
     total = rows.where(F.col("surface") == TOTAL_ROW).agg(F.max("documents")).first()[0]
     if total is None:
         raise ValueError(f"{path} has no {TOTAL_ROW} row")

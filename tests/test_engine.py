@@ -1,3 +1,4 @@
+import lzma
 import math
 import random
 import struct
@@ -213,6 +214,13 @@ def test_readings_of_kanji(sounds):
     assert got == {"手首と電車": "テクビトデンシャ", "てくび": "テクビ", "abc": "", "空": "ソラ"}
 
 
+def test_normal_forms(spark):
+    words = spark.createDataFrame([("引っ越し", "ヒッコシ", "引越し", 5), ("屋", "ヤ", "屋", 5), ("引", "イン", "引", 1)], "surface string, reading string, normalized string, cost int")
+    texts = spark.createDataFrame([(1, "引っ越し屋さん"), (2, "ヤ"), (3, "")], "text_id long, text string")
+    got = {r["text_id"]: (r["reading"], r["normalized"]) for r in S.read_texts(texts, words).collect()}
+    assert got == {1: ("ヒッコシヤサン", "引越し屋さん"), 2: ("ヤ", "ヤ"), 3: ("", "")}
+
+
 def check_chain(row, moras):
     at = 0
     for s in row["segments"]:
@@ -276,6 +284,9 @@ def test_frequency_table(spark, tmp_path):
     (tmp_path / "f.tsv").write_text("犬\t45\n[TOTAL]\t1000\n")
     counts, total = lexicon.read_frequencies(spark, str(tmp_path / "f.tsv"))
     assert total == 1000 and [tuple(r) for r in counts.collect()] == [("犬", 45)]
+    (tmp_path / "f.tsv.xz").write_bytes(lzma.compress("犬\t45\n[TOTAL]\t1000\na\tb\t7\n".encode()))
+    counts, total = lexicon.read_frequencies(spark, str(tmp_path / "f.tsv.xz"))
+    assert total == 1000 and sorted(map(tuple, counts.collect())) == [("a\tb", 7), ("犬", 45)]
     (tmp_path / "g.tsv").write_text("犬\t45\n")
     with pytest.raises(ValueError):
         lexicon.read_frequencies(spark, str(tmp_path / "g.tsv"))
