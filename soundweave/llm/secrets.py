@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -68,11 +69,16 @@ def base_findings(text: str) -> list[tuple[int, int, int, str]]:
 
 def extra_candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Long tokens with lower-case and upper-case letters and digits that look live and touch no base finding."""
-    out = []
+    out, starts, reach = [], [], []  # base findings by start, and how far those up to each reach
+    for a, b in sorted((a, b) for _, a, b, _ in base):
+        starts.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))
     for m in TOKEN.finditer(text):
         v = m[0]
-        if any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v) and all(m.end() <= a or m.start() >= b for _, a, b, _ in base) and looks_live(v):
-            out.append((3, m.start(), m.end(), v))
+        if any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v):
+            before = bisect_left(starts, m.end())
+            if (not before or reach[before - 1] <= m.start()) and looks_live(v):
+                out.append((3, m.start(), m.end(), v))
     return out
 
 

@@ -62,6 +62,14 @@ def test_base_findings_match_a_slow_scan(spark):
         assert [(a, b) for k, a, b, _ in found if k == 2] == [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
 
 
+def test_extra_tokens_touch_no_base_finding():
+    token = "q9Zk3LmP0xVt7RbWc2Ns5Yd8"
+    text = f"token={token} {token} {'a1' * 20} x{token}" + f" secret: {token}/{token}" * 3 + f" {token}"
+    base = secrets.base_findings(text)
+    want = [m.span() for m in secrets.TOKEN.finditer(text) if all(m.end() <= a or m.start() >= b for _, a, b, _ in base) and any(c.isupper() for c in m[0])]
+    assert [(a, b) for _, a, b, _ in secrets.extra_candidates(text, base)] == want and len(want) == 3
+
+
 def test_ownership_separates_copied_from_owned(spark):
     own, shared = "q9Zk3LmP0xVt7RbWc2Ns5Yd8", "Jw4Tz8Qm1Xc6Vb9Nk3Lp7Rs2"
     rows = [(i, f"see {shared} here", "en", f"src{i}") for i in range(4)] + [(10, f"use {own}.", "en", "src1"), (11, f"{own} again", "fr", "src1"), (12, None, None, None), (13, "password=q8Rt5Zx1Lm4W", "en", None)]
