@@ -53,6 +53,9 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--min-mora", type=int, default=lexicon.MIN_MORA)
     build.add_argument("--max-mora", type=int, default=lexicon.MAX_MORA)
     add("info", "about an index")
+    web = add("serve", "answer over HTTP")
+    web.add_argument("--host", default="127.0.0.1")
+    web.add_argument("--port", type=int, default=8000)
     return top
 
 
@@ -87,6 +90,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         show(own.compare([(a.a, a.b)]), "pair")
     elif a.command == "pronounce":
         show(own.pronounce(a.text).orderBy("query_id"))
+    elif a.command == "serve":
+        from .server import serve
+
+        serve(own, a.host, a.port)
     else:
         show(own.info().orderBy(F.col("name")), "name")
     return 0

@@ -352,3 +352,22 @@ def test_streams_get_the_same_values(spark, tmp_path):
     query.stop()
     got = {r["reading"]: r for r in spark.sql("SELECT * FROM heard").collect()}
     assert got["チョコビ"]["similarity"] == 0.8083 and got["ラーメン"]["mora_count"] == 4 and got[None]["distance"] is None
+
+
+def test_http_answers(sounds):
+    from soundweave.server import Service
+
+    ask = Service(sounds).respond
+    status, body = ask("/api/similar", {"q": "チクビ", "limit": "2"})
+    assert status == 200 and [r["word"] for r in body["results"]] == ["手首", "仕組み"] and body["query"]["mora_count"] == 3 and not body["below_floor"]
+    assert ask("/api/similar", {"q": "ザザザザ"})[1]["below_floor"]
+    assert [r["word"] for r in ask("/api/similar", {"q": "チクビ", "min_mora": "5", "max_mora": "5", "min_score": "0"})[1]["results"]] == ["チョコボール"]
+    assert ask("/api/phrase", {"q": "チョコビラーメン", "limit": "1"})[1]["results"][0]["text"] == "手首ラーメン"
+    graph = ask("/api/phrase/lattice", {"q": "チクビ"})[1]
+    assert graph["nodes"] and {e["source"] for e in graph["edges"]} & {None}
+    assert ask("/api/compare", {"a": "チクビ", "b": "チョコビ"})[1]["distance"] == 1.15
+    assert ask("/api/align", {"a": "k a", "b": "g a"})[1]["distance"] == 0.14
+    assert len(ask("/api/phonemes", {})[1]["phonemes"]) == 37 and ask("/api/info", {})[1]["count"] == "18"
+    for path, given in (("/api/similar", {}), ("/api/similar", {"q": "ア", "candidates": "0"}), ("/api/similar", {"q": "ア", "limit": "-1"}), ("/api/phrase", {"q": "ア", "limit": "51"}), ("/api/similar", {"q": "ア", "min_mora": "3", "max_mora": "2"}), ("/api/similar", {"q": "ア", "categories": "x"})):
+        assert ask(path, given)[0] == 400
+    assert ask("/api/nothing", {})[0] == 404 and ask("/", {})[0] == 404
