@@ -15,7 +15,7 @@ Scoring reads each whole text once, without a shuffle; of a word, an upper bound
 looked up first, and the exact kernel is computed only where the bound is over LEAST.
 
 Defined cases: a null or empty text has no word and scores like one without insults; labels that are null don't count,
-and of several for one doc_id the largest does; without both labels every score is 0; a null doc_id is not held out;
+of several for one doc_id the largest does, and of several texts for one the least is learned from; without both labels every score is 0; a null doc_id is not held out;
 repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -256,7 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = known.where("toxic in (0, 1) and id is not null").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     plain = documents(docs)
-    chosen = stage(plain.join(F.broadcast(sample), plain["doc_id"] == sample["id"]).select("doc_id", "text", "toxic"))  # rows many at most, for one row a doc_id
+    rows_of = plain.join(F.broadcast(sample), plain["doc_id"] == sample["id"])  # rows many at most
+    chosen = stage(rows_of.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))  # one row a doc_id
 
     def seen(batch: pa.RecordBatch) -> dict:
         sets = [set(words_of(raw)) for raw in raw_texts(batch)]
