@@ -6,6 +6,8 @@ the SIDE after it (a class of its own stands beyond either end), by position, ar
 softmax gives the class's high part and another, with a bias that the high part chooses, its low part. A document's
 score is the sum of the conditional log-probabilities of its words, each predicted with itself masked.
 
+Texts are hashed once: `hashed` stages two bytes a word, which the rounds and the scores then read.
+
 Training is in numpy and covers every word of every document: in each of ROUNDS rounds every task starts from the same
 weights, takes Adagrad steps over its own documents, and gives back its weights with its number of words. These are
 averaged by a shuffle over the weights' positions, so what is gathered grows with the input while the driver only gets
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, groups, map_groups, raw_texts
+from .common import documents, groups, map_groups, raw_texts, stage
 
 HIGH, LOW = 16, 32
 CLASSES, EDGE = HIGH * LOW, HIGH * LOW  # the class EDGE is beyond the ends of a text
@@ -161,13 +163,23 @@ def learn(flat: np.ndarray, texts: Iterator[np.ndarray], rate: float = RATE) ->
     return flat, n
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    spark, plain, flat = docs.sparkSession, documents(docs), initial()
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id and classes (16-bit numbers, a word each), staged."""
+    return stage(map_groups(documents(docs), lambda b: {"doc_id": b.column("doc_id"), "classes": [classes_of(raw).astype("<i2").tobytes() for raw in raw_texts(b)]}, "doc_id long, classes binary"), "none")
+
+
+def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(c, "<i2").astype(np.int32) for c in batch.column("classes").to_pylist()]
+
+
+def train(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights, from hashed rows."""
+    spark, plain, flat = rows.sparkSession, rows.select("classes"), initial()
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found, n = learn(sent.value, (classes_of(raw) for part in groups(batches) for raw in raw_texts(part)))
+            found, n = learn(sent.value, (classes for part in groups(batches, "classes") for classes in unpacked(part)))
             if n:
                 yield pa.record_batch([pa.array([found], pa.list_(pa.float32())), pa.array([n], pa.int64())], names=["weights", "n"])
 
@@ -190,11 +202,10 @@ def text_log_prob(p: dict[str, np.ndarray], classes: np.ndarray) -> float:
     return total
 
 
-def _score_batch(p: dict[str, np.ndarray], raws: list[bytes]) -> tuple[list[int], list[float]]:
+def _score_batch(p: dict[str, np.ndarray], classes: list[np.ndarray]) -> tuple[list[int], list[float]]:
     """Words and log-probabilities; short texts are predicted together."""
-    classes = [classes_of(raw) for raw in raws]
     sizes = [len(c) for c in classes]
-    out = np.zeros(len(raws))
+    out = np.zeros(len(classes))
     some = [i for i, n in enumerate(sizes) if 0 < n <= BLOCK]
     start = 0
     while start < len(some):
@@ -213,12 +224,19 @@ def _score_batch(p: dict[str, np.ndarray], raws: list[bytes]) -> tuple[list[int]
     return sizes, out.tolist()
 
 
-def score(docs: DataFrame, flat: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(flat)
+def score(rows: DataFrame, flat: np.ndarray) -> DataFrame:
+    """SCHEMA, from hashed rows."""
+    sent = rows.sparkSession.sparkContext.broadcast(flat)
 
     def run(batch: pa.RecordBatch) -> dict:
-        sizes, logs = _score_batch(parts(sent.value), raw_texts(batch))
+        sizes, logs = _score_batch(parts(sent.value), unpacked(batch))
         means = [x / n if n else None for x, n in zip(logs, sizes, strict=True)]
         return {"doc_id": batch.column("doc_id"), "n_words": sizes, "log_prob": logs, "mean_log_prob": means, "perplexity": [None if m is None else float(np.exp(-m)) for m in means]}
 
-    return map_groups(documents(docs), run, SCHEMA)
+    return map_groups(rows, run, SCHEMA, "classes")
+
+
+def lm_scores(docs: DataFrame) -> DataFrame:
+    """Trains on docs and scores them."""
+    rows = hashed(docs)
+    return score(rows, train(rows))

@@ -193,7 +193,7 @@ def test_probabilities_add_up_to_one():
 def test_training_beats_no_training_on_other_texts(spark):
     rng = np.random.default_rng(4)
     line = lambda: " ".join(f"a{k} b{k} c{k}" for k in rng.integers(0, 9, 30))
-    flat = lm_score.train(spark.createDataFrame([(i, line()) for i in range(120)], "doc_id long, text string"))
+    flat = lm_score.train(lm_score.hashed(spark.createDataFrame([(i, line()) for i in range(120)], "doc_id long, text string")))
     test = [lm_score.classes_of(line().encode()) for _ in range(20)]
     mean = lambda f: sum(lm_score.text_log_prob(lm_score.parts(f), c) for c in test) / sum(map(len, test))
     assert mean(flat) > mean(lm_score.initial()) + 1
@@ -202,14 +202,14 @@ def test_training_beats_no_training_on_other_texts(spark):
 def test_scores_are_sums_over_words(spark):
     rows = texts()
     flat = lm_score.initial()
-    got = lm_score.score(frame(spark, rows), flat).collect()
+    got = lm_score.score(lm_score.hashed(frame(spark, rows)), flat).collect()
     assert len(got) == len(rows)
     p = lm_score.parts(flat)
     want = sort((d, len(c), round(lm_score.text_log_prob(p, c), 2)) for d, t in rows for c in [lm_score.classes_of((t or "").encode())])
     assert sort((r["doc_id"], r["n_words"], round(r["log_prob"], 2)) for r in got) == want
     assert all(r["mean_log_prob"] is None for r in got if r["n_words"] == 0)
-    assert lm_score.score(empty(spark), flat).count() == 0
-    assert np.allclose(lm_score.train(empty(spark)), flat)
+    assert lm_score.lm_scores(empty(spark)).count() == 0
+    assert np.allclose(lm_score.train(lm_score.hashed(empty(spark))), flat)
 
 
 def test_long_texts_are_scored_in_blocks(monkeypatch):
