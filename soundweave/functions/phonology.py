@@ -30,9 +30,25 @@ def mora_kana(reading: Column) -> Column:
     return F.regexp_extract_all(to_katakana(reading), F.lit(f"({I.MORA_PATTERN})"), 1)
 
 
+_SINGLE = "".join(k for k in I.KANA if len(k) == 1)
+_NONE = "0"  # stands for no consonant until it is removed
+_SINGLE_FIRST = "".join(I.CODE[c] if c else _NONE for k, (c, _) in I.KANA.items() if len(k) == 1)
+_SINGLE_LAST = "".join(I.CODE[v] for k, (_, v) in I.KANA.items() if len(k) == 1)
+
+
+def kana_codes(kana: Column) -> Column:
+    """The codes of one mora. Translations look characters up by hash; a map literal would be searched from its start."""
+    first, second = F.substring(kana, 1, 1), F.substring(kana, 2, 1)
+    glide = F.translate(first, "".join(I.GLIDE_FIRST), "".join(I.CODE[c] for c in I.GLIDE_FIRST.values()))
+    loan = F.translate(first, "".join(I.LOAN_FIRST), "".join(I.CODE[c] for c in I.LOAN_FIRST.values()))
+    small = I.GLIDE_SMALL | I.SMALL_VOWELS
+    pair = F.concat(F.when(second.isin(*I.GLIDE_SMALL), glide).otherwise(loan), F.translate(second, "".join(small), "".join(small.values())))
+    alone = F.replace(F.concat(F.translate(kana, _SINGLE, _SINGLE_FIRST), F.translate(kana, _SINGLE, _SINGLE_LAST)), F.lit(_NONE), F.lit(""))
+    return F.when(F.length(kana) == 2, pair).otherwise(alone)
+
+
 def codes(reading: Column) -> Column:
-    table = literal_map(I.KANA_CODES)
-    return F.array_join(F.transform(mora_kana(reading), lambda k: table[k]), "")
+    return F.array_join(F.transform(mora_kana(reading), kana_codes), "")
 
 
 def mora_codes(code: Column) -> Column:
@@ -61,11 +77,10 @@ def phonemes(reading: Column) -> Column:
 
 def moras(reading: Column) -> Column:
     """array<struct<kana, consonant, vowel, special>>; absent parts are null."""
-    table = literal_map(I.KANA_CODES)
     names = literal_map(I.SYMBOL)
 
     def one(kana: Column) -> Column:
-        c = table[kana]
+        c = kana_codes(kana)
         last = F.substring(c, -1, 1)
         special = last.isin(*I.SPECIAL_CODES)
         return F.struct(

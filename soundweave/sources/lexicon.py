@@ -90,12 +90,21 @@ def read_frequencies(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 def lexicon(entries: DataFrame, frequencies: DataFrame | None = None, total: int | Column | None = None, min_mora: int = MIN_MORA, max_mora: int = MAX_MORA) -> DataFrame:
     """Lexicon rows: filtered, distinct by surface and reading (the first by word_id), with sound, category and
-    familiarity. Filters that need only text come before anything is computed."""
-    plain = complete(entries).where(~F.get("pos", 0).isin(EXCLUDED_POS) & P.is_searchable(F.col("surface")) & P.is_pronounceable(F.col("reading")))
+    familiarity. Document counts come from frequencies, or from entries that carry them (column documents; those of one
+    surface are added up, whichever of them stay). Filters that need only text come before anything is computed."""
+    # One exchange, before the work on readings: sums, ranking and join are all by surface. A fixed number of parts, as
+    # small rows with much work for each would otherwise be merged into one task.
+    context = entries.sparkSession
+    parts = max(context.sparkContext.defaultParallelism, int(context.conf.get("spark.sql.shuffle.partitions")))
+    plain = complete(entries).repartition(parts, "surface")
+    if frequencies is None:
+        counts = F.sum("documents").over(Window.partitionBy("surface")) if "documents" in entries.columns else F.lit(None).cast("long")
+        plain = plain.withColumn("documents", counts)
+    plain = plain.where(~F.get("pos", 0).isin(EXCLUDED_POS) & P.is_searchable(F.col("surface")) & P.is_pronounceable(F.col("reading")))
     sounded = with_sound(plain).where(F.col("mora_count").between(min_mora, max_mora))
     first = F.row_number().over(Window.partitionBy("surface", "reading").orderBy("word_id"))
     one = sounded.withColumn("_n", first).where("_n = 1").drop("_n")
-    counted = one.join(frequencies, "surface", "left") if frequencies is not None else one.withColumn("documents", F.lit(None).cast("long"))
+    counted = one.join(frequencies, "surface", "left") if frequencies is not None else one
     size = total if isinstance(total, Column) else F.lit(total)
     known = counted.withColumn("familiarity", P.familiarity(F.col("documents"), size).cast("float"))
     return known.select("surface", "reading", "normalized", shown_pos(F.col("pos")).alias("pos"), classify(F.col("pos")).alias("category"), "cost", "familiarity", "mora_count", "phon", "codes")
@@ -142,8 +151,5 @@ def frequencies_of(entries: DataFrame) -> DataFrame:
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
-    entries = entries_of(word_counts(docs))
-    total = docs.agg(F.countDistinct("doc_id").alias("total"))
-    frequencies = frequencies_of(entries).join(F.broadcast(total)).withColumnRenamed("total", "_total")  # one row
-    rows = lexicon(entries.drop("documents"), frequencies, F.col("_total"))
-    return rows
+    """The lexicon of the words in a table of texts; the size of the corpus is read first (one number)."""
+    return lexicon(entries_of(word_counts(docs)), total=docs.agg(F.countDistinct("doc_id")).first()[0])

@@ -45,6 +45,10 @@ def test_phonemes(spark):
     assert read(spark, ["チョコビ", "ラーメン", "キッテ", "キェ"], lambda c: P.mora_count(P.codes(c))) == [3, 4, 3, 2]
 
 
+def test_every_kana_has_its_codes(spark):
+    assert read(spark, list(I.KANA), P.codes) == list(I.KANA_CODES.values())
+
+
 def test_moras_have_parts(spark):
     (rows,) = read(spark, ["ギュンッア"], P.moras)
     assert [tuple(r) for r in rows] == [("ギュ", "gy", "u", None), ("ン", None, None, "N"), ("ッ", None, None, "Q"), ("ア", None, "a", None)]
