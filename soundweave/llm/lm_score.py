@@ -1,12 +1,22 @@
 r"""Language-model scores by masked pseudo-likelihood.
 
-Words [^\x20\x09-\x0D]+, A-Z lower-cased, are hashed to CLASSES classes (HIGH x LOW), so that no vocabulary has to be
-kept or sent. A network predicts every word's class from both sides: the embeddings of the SIDE classes before it and
-the SIDE after it (a class of its own stands beyond either end), by position, are added and passed through tanh; one
-softmax gives the class's high part and another, with a bias that the high part chooses, its low part. A document's
+Words [^\x20\x09-\x0D]+, A-Z lower-cased, are predicted in two steps, p(class | sides) p(word | class). A document's
 score is the sum of the conditional log-probabilities of its words, each predicted with itself masked.
 
-Texts are hashed once: `hashed` stages two bytes a word, which the rounds and the scores then read.
+Classes: words are hashed to CLASSES classes (HIGH x LOW). A network predicts every word's class from both sides: the
+embeddings of the SIDE classes before it and the SIDE after it (a class of its own stands beyond either end), by
+position, are added and passed through tanh; one softmax gives the class's high part and another, with a bias that the
+high part chooses, its low part.
+
+Words: the vocabulary is every distinct word of the corpus with its exact count. Of a class with n other occurrences
+of t words, a word with m other ones has (m + t * spelled) / (n + t): Witten-Bell backing off to `spelled`, a byte-pair
+model of all words' letters, as a part of what the class's words have by it (the words of the corpus exactly, all other
+strings an equal part a class). A word that occurs nowhere else is told by its letters alone. The sides bear on the
+class only: within one, a word's probability is that of its count.
+
+Texts are hashed once: `hashed` stages classes, and by blocks of BLOCK_BYTES the distinct words (64-bit hashes), how often
+each occurs and how it spells. `vocabulary` splits these by ranges of hashes into shards of SHARD words at most, whose
+number follows the input, adds up the counts in each and gives them back to the blocks; no machine holds all words.
 
 Training is in numpy and covers every word of every document: in each of ROUNDS rounds every task starts from the same
 weights, takes Adagrad steps over its own documents, and gives back its weights with its number of words. These are
@@ -26,20 +36,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, groups, map_groups, raw_texts, stage
+from .common import arrow_schema, documents, groups, map_groups, raw_texts, record, stage
 
 HIGH, LOW = 16, 32
 CLASSES, EDGE = HIGH * LOW, HIGH * LOW  # the class EDGE is beyond the ends of a text
 SIDE, DIM = 2, 16
 ROUNDS, BATCH, RATE = 2, 2048, 0.08
 BLOCK = 1 << 16
+BLOCK_BYTES, SHARD = 1 << 22, 1 << 22
 
+SPACE = 32
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+PLAIN = bytes(SPACE if b in b" \t\n\v\f\r" else LOWER[b] for b in range(256))
 SHAPES = {"embed": (2 * SIDE, CLASSES + 1, DIM), "bias": (DIM,), "high": (DIM, HIGH), "high_bias": (HIGH,), "low": (DIM, LOW), "low_bias": (HIGH, LOW)}
 SCHEMA = "doc_id long, n_words long, log_prob double, mean_log_prob double, perplexity double"
+HASHED = "doc_id long, classes binary, places binary, block long, words binary, times binary, spelled binary"  # the last three in a block's first row
 
 
 class _Classes(dict):
@@ -163,9 +178,125 @@ def learn(flat: np.ndarray, texts: Iterator[np.ndarray], rate: float = RATE) ->
     return flat, n
 
 
+def letter_pairs(docs: DataFrame) -> np.ndarray:
+    """(256, 256) natural logarithms: the byte after a byte in a word, SPACE standing before and after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << 16, np.int64)
+        for part in groups(batches):
+            raw = np.frombuffer(b" %b " % b" ".join(raw_texts(part)).translate(PLAIN), np.uint8)
+            for i in range(0, len(raw) - 1, 1 << 20):
+                own = raw[i : i + (1 << 20) + 1].astype(np.int32)
+                found += np.bincount((own[:-1] << 8) + own[1:], minlength=1 << 16)
+        found[(SPACE << 8) + SPACE] = 0
+        at = np.flatnonzero(found)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], names=["pair", "n"])
+
+    pairs = np.full(1 << 16, 0.5)  # for pairs that no word has
+    for pair, n in documents(docs).select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n")).toLocalIterator():
+        pairs[pair] += n
+    pairs[(SPACE << 8) + SPACE] = 0
+    pairs = pairs.reshape(256, 256)
+    with np.errstate(divide="ignore"):
+        return np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def spellings(words: list[bytes], pairs: np.ndarray) -> np.ndarray:
+    """Log-probabilities of words, not none, as strings of bytes."""
+    raw = np.frombuffer(b" %b " % b" ".join(words), np.uint8)
+    starts = np.flatnonzero(raw == SPACE)[:-1]
+    return np.add.reduceat(pairs[raw[:-1], raw[1:]].astype(np.float64), starts).astype(np.float32)
+
+
+class _Places(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id and classes (16-bit numbers, a word each), staged."""
-    return stage(map_groups(documents(docs), lambda b: {"doc_id": b.column("doc_id"), "classes": [classes_of(raw).astype("<i2").tobytes() for raw in raw_texts(b)]}, "doc_id long, classes binary"), "none")
+    """HASHED rows, staged: a word's class (16 bits) and its place (32 bits) among its block's distinct words."""
+    pairs, arrow = letter_pairs(docs), arrow_schema(docs.sparkSession, HASHED)
+    sent = docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def block_of(part: pa.RecordBatch, block: int) -> dict:
+        places = _Places()
+        own = []
+        for raw in raw_texts(part):
+            words = raw.translate(LOWER).split()
+            own.append(np.fromiter(map(places.__getitem__, words), "<u4", len(words)))
+        words, rest = list(places), [None] * (len(own) - 1)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words))
+        classes = (hashes % np.uint64(CLASSES)).astype("<i2")
+        times = np.zeros(len(words), np.int64)
+        for x in own:
+            np.add.at(times, x, 1) if len(x) < len(words) >> 4 else np.add(times, np.bincount(x, minlength=len(words)), out=times)
+        return {
+            "doc_id": part.column("doc_id"), "classes": [classes[x].tobytes() for x in own], "places": [x.tobytes() for x in own], "block": [block] * len(own),
+            "words": [hashes.tobytes(), *rest], "times": [times.astype("<u4").tobytes(), *rest], "spelled": [(spellings(words, sent.value) if words else hashes).astype("<f4").tobytes(), *rest],
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, part in enumerate(groups(batches, budget=BLOCK_BYTES)):
+            yield record(block_of(part, first + i), arrow)
+
+    return stage(documents(docs).mapInArrow(run, HASHED))
+
+
+COUNTED = "block long, shard int, counts binary, totals array<double>"  # a shard's totals in a row of their own
+
+
+def count_shard(table: pa.Table) -> pa.Table:
+    """From rows (block, shard, words, times, spelled) of one shard, COUNTED rows: the corpus's count of each word, and
+    by class the sums of occurrences, of words and of how they spell."""
+    words, times, spelled = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("words", "<u8"), ("times", "<u4"), ("spelled", "<f4")))
+    distinct, first, at = np.unique(words, return_index=True, return_inverse=True)
+    n = np.bincount(at, times, len(distinct))
+    classes = (distinct % np.uint64(CLASSES)).astype(np.int64)
+    totals = [np.bincount(classes, x, CLASSES) for x in (n, np.ones(len(n)), np.exp(spelled[first].astype(np.float64)))]
+    cuts = np.cumsum([len(x) // 8 for x in table.column("words").to_pylist()])[:-1]
+    counts = [x.astype("<u8").tobytes() for x in np.split(n[at], cuts)]
+    none, shard = [None] * len(counts), table.column("shard").to_pylist()
+    return pa.table([pa.array([*table.column("block").to_pylist(), None], pa.int64()), pa.array([*shard, shard[0]], pa.int32()), pa.array([*counts, None], pa.binary()), pa.array([*none, np.concatenate(totals)], pa.list_(pa.float64()))], names=["block", "shard", "counts", "totals"])
+
+
+def vocabulary(rows: DataFrame, most: int = SHARD) -> tuple[DataFrame, np.ndarray]:
+    """(block, shard, counts) with counts in the order of the words' hashes, and (3, CLASSES) totals of the corpus."""
+    shards = 1 + (rows.agg(F.sum(F.length("words"))).first()[0] or 0) // (8 * most)
+    shards = max(shards, rows.sparkSession.sparkContext.defaultParallelism)
+    width = np.uint64((1 << 64) // shards + 1)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *blobs in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "times", "spelled")), strict=True):
+                words, times, spelled = (np.frombuffer(x, k) for x, k in zip(blobs, ("<u8", "<u4", "<f4"), strict=True))
+                order = np.argsort(words)
+                words, times, spelled = words[order], times[order], spelled[order]
+                shard = (words // width).astype(np.int32)
+                own = np.unique(shard)
+                cuts = np.searchsorted(shard, own)[1:]
+                parts = [[x.tobytes() for x in np.split(v, cuts)] for v in (words, times, spelled)] if len(own) else [[], [], []]
+                yield pa.record_batch([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["block", "shard", "words", "times", "spelled"])
+
+    apart = rows.where("words is not null").select("block", "words", "times", "spelled").mapInArrow(split, "block long, shard int, words binary, times binary, spelled binary")
+    counted = stage(apart.repartition(shards, "shard").groupBy("shard").applyInArrow(count_shard, COUNTED))
+    totals = np.zeros(3 * CLASSES)
+    for at, x in counted.where("block is null").select(F.posexplode("totals").alias("at", "x")).groupBy("at").agg(F.sum("x")).collect():  # 3 * CLASSES rows
+        totals[at] = x
+    return counted.where("block is not null").select("block", "shard", "counts"), totals.reshape(3, CLASSES)
+
+
+def word_log_probs(counts: np.ndarray, classes: np.ndarray, spelled: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Of each word given its class, with one occurrence of it masked."""
+    n, t, known = totals
+    others, n, t = counts - 1.0, n[classes] - 1, t[classes] - (counts == 1)
+    share = np.log(known + max(0.0, 1 - known.sum()) / CLASSES)  # of a class's strings
+    rest = np.minimum(spelled.astype(np.float64) - share[classes], 0)
+    size = np.log(np.maximum(n + t, 1))
+    with np.errstate(divide="ignore"):
+        backed = np.where(n > 0, np.log(t) - size + rest, rest)
+        return np.logaddexp(np.log(others) - size, backed)
 
 
 def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -225,18 +356,50 @@ def _score_batch(p: dict[str, np.ndarray], classes: list[np.ndarray]) -> tuple[l
 
 
 def score(rows: DataFrame, flat: np.ndarray) -> DataFrame:
-    """SCHEMA, from hashed rows."""
+    """SCHEMA, from hashed rows, of the classes alone."""
     sent = rows.sparkSession.sparkContext.broadcast(flat)
 
     def run(batch: pa.RecordBatch) -> dict:
         sizes, logs = _score_batch(parts(sent.value), unpacked(batch))
-        means = [x / n if n else None for x, n in zip(logs, sizes, strict=True)]
-        return {"doc_id": batch.column("doc_id"), "n_words": sizes, "log_prob": logs, "mean_log_prob": means, "perplexity": [None if m is None else float(np.exp(-m)) for m in means]}
+        return {"doc_id": batch.column("doc_id")} | _rated(sizes, logs)
 
     return map_groups(rows, run, SCHEMA, "classes")
 
 
+def _rated(sizes: list[int], logs: list[float]) -> dict:
+    means = [x / n if n else None for x, n in zip(logs, sizes, strict=True)]
+    return {"n_words": sizes, "log_prob": logs, "mean_log_prob": means, "perplexity": [None if m is None else float(np.exp(-m)) for m in means]}
+
+
+def token_scores(rows: DataFrame, flat: np.ndarray, counted: DataFrame, totals: np.ndarray) -> DataFrame:
+    """SCHEMA, from hashed rows and their vocabulary. A block's rows meet its counts in one task."""
+    spark = rows.sparkSession
+    sent, arrow = spark.sparkContext.broadcast((flat, totals)), arrow_schema(spark, SCHEMA)
+
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        weights, sums = sent.value
+        words, spelled = (next(x for x in docs.column(c).to_pylist() if x is not None) for c in ("words", "spelled"))
+        words, spelled = np.frombuffer(words, "<u8"), np.frombuffer(spelled, "<f4")
+        logs = np.zeros(len(words))
+        if len(words):
+            found = sorted(zip(counts.column("shard").to_pylist(), counts.column("counts").to_pylist(), strict=True))
+            n = np.empty(len(words))
+            n[np.argsort(words)] = np.concatenate([np.frombuffer(x, "<u8") for _, x in found])
+            logs = word_log_probs(n, (words % np.uint64(CLASSES)).astype(np.int64), spelled, sums)
+        out = []
+        for batch in docs.combine_chunks().to_batches():
+            for part in groups(iter([batch]), "classes"):
+                sizes, own = _score_batch(parts(weights), unpacked(part))
+                more = [float(logs[np.frombuffer(x, "<u4")].sum()) for x in part.column("places").to_pylist()]
+                out.append(record(_rated(sizes, [a + b for a, b in zip(own, more, strict=True)]) | {"doc_id": part.column("doc_id")}, arrow))
+        return pa.Table.from_batches(out, arrow)
+
+    tasks = max(2 * spark.sparkContext.defaultParallelism, 1 + (rows.agg(F.sum(F.length("classes"))).first()[0] or 0) // (1 << 23))
+    own = rows.select("doc_id", "classes", "places", "block", "words", "spelled").repartition(tasks, "block")
+    return own.groupBy("block").cogroup(counted.repartition(tasks, "block").groupBy("block")).applyInArrow(run, SCHEMA)
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Trains on docs and scores them."""
     rows = hashed(docs)
-    return score(rows, train(rows))
+    return token_scores(rows, train(rows), *vocabulary(rows))

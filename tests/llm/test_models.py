@@ -217,3 +217,32 @@ def test_long_texts_are_scored_in_blocks(monkeypatch):
     whole = lm_score.text_log_prob(p, classes)
     monkeypatch.setattr(lm_score, "BLOCK", 700)
     assert abs(lm_score.text_log_prob(p, classes) - whole) < 1e-2
+
+
+def test_words_of_one_class_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2000)  # many blocks
+    rng = np.random.default_rng(3)
+    common = [f"w{i}" for i in range(40)]
+    of = lambda w: int(lm_score.classes_of(w.encode())[0])
+    rare = next(w for w in (f"zq{i}xj" for i in range(100000)) if of(w) == of("w7"))
+    rows = [(i, " ".join(rng.choice(common, 60))) for i in range(200)] + [(900, "w1 w2 w7 w3 w4"), (901, f"w1 w2 {rare} w3 w4"), (902, " "), (None, "w7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(docs).collect()}
+    assert len(got) == len(rows) and got[902]["log_prob"] == 0 and got[902]["perplexity"] is None
+    assert got[900]["log_prob"] > got[901]["log_prob"] + 5
+    staged = lm_score.hashed(docs)
+    counted, totals = lm_score.vocabulary(staged, 50)
+    words = [w for _, t in rows for w in t.split()]
+    want = np.bincount([of(w) for w in words], minlength=lm_score.CLASSES)
+    assert totals[0].tolist() == want.tolist() and totals[1].tolist() == np.bincount([of(w) for w in set(words)], minlength=lm_score.CLASSES).tolist()
+    assert counted.select("block").distinct().count() > 5
+
+
+def test_word_probabilities_add_up_within_a_class():
+    counts, classes = np.array([5, 1, 3]), np.zeros(3, np.int64)
+    totals = np.zeros((3, lm_score.CLASSES))
+    spelled = np.log(np.array([0.1, 0.05, 0.02]))
+    totals[:, 0] = 10, 3, 0.17  # one more word's occurrence, the masked one, is the class's tenth
+    totals[2, 1:] = 0.83 / (lm_score.CLASSES - 1)
+    logs = lm_score.word_log_probs(counts + 1, classes, spelled, totals)  # each with the masked one added
+    assert abs(np.exp(logs).sum() - 1) < 1e-9
