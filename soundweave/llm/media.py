@@ -157,41 +157,53 @@ def tensors(mel: np.ndarray) -> tuple[pa.Array, list[tuple[float, float]]]:
     return pa.ExtensionArray.from_storage(kind, storage), [(a * ms, b * ms) for a, b in spans]
 
 
-def arrow_features(raw: bytes) -> bytes:
-    """An Arrow IPC stream with columns begin_ms, end_ms and log_mel, for storage in a binary column."""
-    column, spans = tensors(log_mel(decode_wav(encode_wav(payload_of(raw)))[1]))
+def arrow_features(media: bytes) -> bytes:
+    """An Arrow IPC stream of a WAV file's segments with columns begin_ms, end_ms and log_mel, for storage in a binary
+    column; the schema's metadata has the number of frames and the mean and deviation of the whole signal."""
+    mel = log_mel(decode_wav(media)[1])
+    column, spans = tensors(mel)
     batch = pa.record_batch([pa.array([a for a, _ in spans], pa.float64()), pa.array([b for _, b in spans], pa.float64()), column], names=["begin_ms", "end_ms", "log_mel"])
+    shown = ",".join(f"{v:.3f}" for v in (*mel.mean(axis=0, dtype=np.float64), *mel.std(axis=0, dtype=np.float64)))
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
+    with pa.ipc.new_stream(sink, batch.schema.with_metadata({"frames": str(len(mel)), "logmel": shown})) as writer:
+        writer.write_batch(batch.replace_schema_metadata({"frames": str(len(mel)), "logmel": shown}))
     return sink.getvalue()
 
 
-def describe(raw: bytes) -> dict:
-    media = encode_wav(payload_of(raw))
+def describe(n_bytes: int, media: bytes, features: bytes) -> dict:
+    """The digests of a stored row, all read back from it. Tensors are digested in thousandths, spans in milliseconds."""
     _, back = decode_wav(media)
-    mel = log_mel(back)
-    spans = segments(mel)
-    mean, spread = mel.mean(axis=0, dtype=np.float64), mel.std(axis=0, dtype=np.float64)
-    shown = ",".join(f"{v:.3f}" for v in (*mean, *spread))
+    with pa.ipc.open_stream(features) as stream:
+        table = stream.read_all()
+    own = {k.decode(): v.decode() for k, v in table.schema.metadata.items()}
+    begin, end = (table[c].to_numpy() for c in ("begin_ms", "end_ms"))
+    cells = table["log_mel"].combine_chunks().storage.flatten().to_numpy()
+    digest = hashlib.sha256(np.round(cells * 1000).astype("<i4").tobytes()).hexdigest()
+    spans = hashlib.sha256(",".join(f"{a:g}-{b:g}" for a, b in zip(begin.tolist(), end.tolist(), strict=True)).encode()).hexdigest()
+    voiced = round(float((end - begin).sum()) * RATE * UP / (1000 * HOP * DOWN))
     return {
-        "n_bytes": len(raw), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-64:]),
-        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "n_frames": len(mel), "n_segments": len(spans),
-        "feature": f"frames={len(mel)};segments={len(spans)};voiced={sum(b - a for a, b in spans)};logmel={shown}",
+        "n_bytes": n_bytes, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-64:]),
+        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "n_frames": int(own["frames"]), "n_segments": table.num_rows,
+        "feature": f"frames={own['frames']};segments={table.num_rows};voiced={voiced};logmel={own['logmel']};spans={spans};tensors={digest}",
     }
 
 
 def _describe_batch(batch: pa.RecordBatch) -> dict:
-    rows = [describe(raw) for raw in raw_texts(batch)]
+    rows = [describe(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "media", "features")), strict=True)]
     return {"doc_id": batch.column("doc_id")} | {k: [r[k] for r in rows] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments")}
 
 
 def audio_digests(docs: DataFrame) -> DataFrame:
-    """One row per document: the stored form's digests and a summary of its features. No shuffle."""
-    return map_groups(documents(docs), _describe_batch, SCHEMA)
+    """One row per document: digests of the stored form, its spans and tensors. No shuffle."""
+    return map_groups(audio_features(docs), _describe_batch, SCHEMA, "media")
+
+
+def _stored(batch: pa.RecordBatch) -> dict:
+    raw = raw_texts(batch)
+    media = [encode_wav(payload_of(r)) for r in raw]
+    return {"doc_id": batch.column("doc_id"), "n_bytes": [len(r) for r in raw], "media": media, "features": [arrow_features(m) for m in media]}
 
 
 def audio_features(docs: DataFrame) -> DataFrame:
-    """The operator's own output: doc_id, the WAV file and the Arrow stream of its segment tensors."""
-    make = lambda b: {"doc_id": b.column("doc_id"), "media": [encode_wav(payload_of(r)) for r in raw_texts(b)], "features": [arrow_features(r) for r in raw_texts(b)]}
-    return map_groups(documents(docs), make, "doc_id long, media binary, features binary")
+    """The operator's own output: doc_id, the text's bytes, the WAV file and the Arrow stream of its segment tensors."""
+    return map_groups(documents(docs), _stored, "doc_id long, n_bytes long, media binary, features binary")

@@ -206,6 +206,19 @@ def test_segments_have_hysteresis_and_one_shape(spark):
     assert all(a < b for a, b in zip(table["begin_ms"].to_pylist(), table["end_ms"].to_pylist()))
 
 
+def test_features_are_those_of_the_stored_tensors(spark):
+    docs = frame(spark, [(1, "some text " * 90), (2, "AZ" * 300 + "\x00" * 700 + "~" * 500), (3, None)])
+    stored = {r["doc_id"]: r for r in media.audio_features(docs).collect()}
+    for r in media.audio_digests(docs).collect():
+        mel = media.log_mel(media.decode_wav(bytes(stored[r["doc_id"]]["media"]))[1])
+        spans = media.segments(mel)
+        cells = np.round(np.stack([media.pooled(mel, s) for s in spans]) * 1000).astype("<i4")
+        ms = 1000 * media.HOP * media.DOWN / (media.RATE * media.UP)
+        assert (r["n_frames"], r["n_segments"]) == (len(mel), len(spans)) and f"voiced={sum(b - a for a, b in spans)};" in r["feature"]
+        assert r["feature"].endswith(";tensors=" + hashlib.sha256(cells.tobytes()).hexdigest())
+        assert ";spans=" + hashlib.sha256(",".join(f"{a * ms:g}-{b * ms:g}" for a, b in spans).encode()).hexdigest() + ";" in r["feature"]
+
+
 def check_packing(rows, got):
     from tokenizers import Tokenizer
 
