@@ -3,8 +3,8 @@ r"""Secret scans with corpus-wide ownership frequency.
 Each whole text is scanned once. Base findings are leftmost and non-overlapping per kind (assign, access, hex; see
 BASE). Besides them, long mixed tokens are candidates. Each candidate is known by a hash of its value, and the hashes
 are aggregated over the corpus: in how many distinct repositories and by how many distinct owners a value occurs. A
-value of WIDELY owners or more is an example that was copied; a value of one owner that looks live (entropy, no
-placeholder) is a credential. Tokens judged so become findings of kind `owned`; base findings stay whatever the
+value of WIDELY owners or more is an example that was copied; a value of fewer owners that looks live (entropy, no
+placeholder) is a credential, in however many repositories. Tokens judged so become findings of kind `owned`; base findings stay whatever the
 verdict and are counted by it (n_shared, n_live).
 
 An owner is `source`; a repository is one language's part of a source (`source`/`lang`). Spans are those of the whole
@@ -115,7 +115,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     freq = stage(ownership(found))
     judged = lookup(found.drop("owner", "part"), freq, "value", "n_found", HOT_PARTS, "inner")
     judged = judged.select("row", F.struct("kind", "first", "until", "n_repositories", "n_owners", "live").alias("v"))
-    kept = judged.where((F.col("v.kind") < 3) | (F.col("v.n_owners") == 1)).groupBy("row").agg(F.collect_list("v").alias("verdicts"))
+    kept = judged.where((F.col("v.kind") < 3) | (F.col("v.n_owners") < WIDELY)).groupBy("row").agg(F.collect_list("v").alias("verdicts"))
     return rows.drop("found").join(kept, "row", "left").withColumn("verdicts", F.coalesce("verdicts", F.array().cast("array<struct<kind:int,first:int,until:int,n_repositories:bigint,n_owners:bigint,live:boolean>>"))).drop("row")
 
 
@@ -129,7 +129,7 @@ def digests(scanned: DataFrame) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"),
         count(lambda v: v["kind"] == 3).alias("n_owned"),
         count(lambda v: (v["kind"] < 3) & (v["n_owners"] >= WIDELY)).alias("n_shared"),
-        count(lambda v: (v["n_owners"] == 1) & v["live"]).alias("n_live"),
+        count(lambda v: (v["n_owners"] < WIDELY) & v["live"]).alias("n_live"),
     )
 
 

@@ -82,6 +82,19 @@ def test_ownership_separates_copied_from_owned(spark):
     assert got[13]["spans"] == "assign:0:21" and got[13]["n_assign"] == 1 and got[13]["n_live"] == 1
 
 
+def test_live_values_of_two_owners_are_owned(spark):
+    token, widely = "q9Zk3LmP0xVt7RbWc2Ns5Yd8", "Jw4Tz8Qm1Xc6Vb9Nk3Lp7Rs2"
+    rows = [(i, f"see {token} here", "en", f"src{i}") for i in range(2)] + [(10 + i, f"text {i} {widely}", "en", f"src{i}") for i in range(3)] + [(20 + i, "password=q8Rt5Zx1Lm4W", "en", f"src{i}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    scanned = secrets.scan_secrets(docs)
+    got = {r["doc_id"]: r for r in secrets.digests(scanned).collect()}
+    assert [got[i]["spans"] for i in range(2)] == [f"owned:4:{4 + len(token)}"] * 2
+    assert [got[10 + i]["n_owned"] for i in range(3)] == [0] * 3
+    assert [got[20 + i]["n_live"] for i in range(2)] == [1] * 2
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(docs, scanned).collect()}
+    assert masked[0] == masked[1] == "see [SECRET] here"
+
+
 def test_secrets_cases(spark):
     rows = texts() + [(900 + i, t) for i, t in enumerate(SECRETS)] + [(900, SECRETS[0])]
     got = secrets.digests(secrets.scan_secrets(frame(spark, rows))).collect()
