@@ -380,8 +380,11 @@ def search_floor(spark, sf_dir):
 
 @register()
 def read_texts(spark, sf_dir):
+    """Every surface of the lexicon, before the last surface of as many moras."""
     index = index_of(spark, sf_dir)
-    texts = index.lexicon.groupBy("mora_count").agg(F.min("surface").alias("a"), F.max("surface").alias("b")).select(F.col("mora_count").cast("long").alias("text_id"), F.concat("a", "b").alias("text"))
+    ends = index.lexicon.groupBy("mora_count").agg(F.max("surface").alias("b"))  # a row a length
+    words = index.lexicon.select("mora_count", "surface").distinct().join(F.broadcast(ends), "mora_count")
+    texts = words.select(F.xxhash64("surface", "mora_count").alias("text_id"), F.concat("surface", "b").alias("text"))
     return S.read_texts(texts, index.lexicon)
 
 
