@@ -243,6 +243,40 @@ def compare(pairs: DataFrame) -> DataFrame:
     )
 
 
+def nearest_vectors(rows: DataFrame, asked: Column, keep: int, size: int = BLOCK) -> DataFrame:
+    """query_id, vec_id, dot from rows (vec_id, q of whole numbers): for each row that is asked the keep rows of greatest
+    dot product, ties by vec_id. One pass over the rows for a block of size queries; each batch gives its best."""
+    queries, out = rows.where(asked).select("vec_id", "q"), None
+    schema = "query_id long, vec_id long, dot long"
+
+    def pass_of(block: list) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(([r[0] for r in block], np.array([list(r[1]) for r in block], np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors = sent.value
+            for batch in batches:
+                if batch.num_rows:
+                    own = batch.column("vec_id").cast(pa.int64()).to_numpy()
+                    dots = np.array(batch.column("q").to_pylist(), np.int64) @ vectors.T
+                    for k, query in enumerate(ids):
+                        best = np.lexsort((own, -dots[:, k]))[:keep]
+                        yield pa.record_batch([pa.array([query] * len(best), pa.int64()), pa.array(own[best]), pa.array(dots[best, k])], names=["query_id", "vec_id", "dot"])
+
+        return rows.select("vec_id", "q").mapInArrow(run, schema)
+
+    block: list = []
+    for row in queries.toLocalIterator():
+        block.append(row)
+        if len(block) == size:
+            found, block = pass_of(block), []
+            out = found if out is None else out.unionByName(found)
+    if block or out is None:
+        found = pass_of(block) if block else rows.sparkSession.createDataFrame([], schema)
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dot"), "vec_id"))
+    return out.withColumn("_n", place).where(F.col("_n") <= keep).drop("_n")
+
+
 def read_texts(texts: DataFrame, lexicon: DataFrame, longest: int = 12) -> DataFrame:
     """texts (text_id, text) with reading and normalized. Kana are read as they are. Other text is cut into the longest
     known surfaces from the left, kana between them standing for themselves; characters that aren't known are skipped in
