@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,12 +94,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def original_offsets(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The byte spans in the original text of spans of words."""
-    starts, ends, inside = [], [], False
-    for i, b in enumerate(raw.translate(TABLE) + b" "):
-        if (b != 32) != inside:
-            (ends if inside else starts).append(i)
-            inside = not inside
-    return [(starts[a], ends[b - 1]) for a, b in spans]
+    inside = np.frombuffer(b" " + raw.translate(TABLE) + b" ", np.uint8) != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])  # a word's start and end in turn
+    return [(int(edges[2 * a]), int(edges[2 * b - 1])) for a, b in spans]
 
 
 def blocks(benchmark: DataFrame, budget: int = BLOCK_BYTES) -> Iterator[tuple]:
@@ -117,9 +115,9 @@ def blocks(benchmark: DataFrame, budget: int = BLOCK_BYTES) -> Iterator[tuple]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """SCHEMA, with spans: hit words as [begin, end) indexes. One scan of the texts for each block of items; no shuffle."""
+    """SCHEMA, with spans: hit words as [first, until) indexes and as [begin, end) bytes of the original text. One scan of the texts for each block of items; no shuffle."""
     spark = docs.sparkSession
-    schema = SCHEMA + ", spans array<struct<first: int, until: int>>"
+    schema = SCHEMA + ", spans array<struct<first: int, until: int, begin: long, end: long>>"
     arrow = arrow_schema(spark, schema)
     sent = [spark.sparkContext.broadcast(b) for b in blocks(benchmark)]
 
@@ -139,7 +137,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows["n_items"].append(len(items))
                 rows["items_sha256"].append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
                 rows["contaminated"].append(bool(spans))
-                rows["spans"].append([{"first": a, "until": b} for a, b in spans])
+                places = original_offsets(raw, spans) if spans else []
+                rows["spans"].append([{"first": a, "until": b, "begin": x, "end": y} for (a, b), (x, y) in zip(spans, places, strict=True)])
             yield record(rows, arrow)
 
     return documents(docs).mapInArrow(run, schema)

@@ -166,6 +166,14 @@ def test_offsets_lead_back_to_the_original():
     assert decontaminate.words_of(raw)[1:4] == [b"the", b"cat", "née".encode()]
 
 
+def test_contamination_gives_original_offsets(spark):
+    text = "é So: THE cat, née; sat -- 3 mats!"
+    items = spark.createDataFrame([(1, "the cat née"), (2, "3 MATS")], "item_id long, text string")
+    got = decontaminate.contamination(frame(spark, [(1, text), (2, "clean")]), items).collect()
+    spans = {r["doc_id"]: [text.encode()[x["begin"] : x["end"]].decode() for x in r["spans"]] for r in got}
+    assert spans == {1: ["THE cat, née", "3 mats"], 2: []}
+
+
 def test_media_round_trip_and_digests(spark):
     rows = texts()
     got = media.audio_digests(frame(spark, rows)).collect()
