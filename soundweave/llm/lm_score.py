@@ -1,37 +1,40 @@
 r"""Language-model scores by masked pseudo-likelihood.
 
-Words [^\x20\x09-\x0D]+, A-Z lower-cased, are predicted in two steps, p(class | sides) p(word | class). A document's
-score is the sum of the conditional log-probabilities of its words, each predicted with itself masked.
+Words [^\x20\x09-\x0D]+, A-Z lower-cased, are predicted from both sides; a document's score is the sum of the conditional
+log-probabilities of its words, each with itself masked.
 
-Classes: words are hashed to CLASSES classes (HIGH x LOW). A network predicts every word's class from both sides: the
-embeddings of the SIDE classes before it and the SIDE after it (a class of its own stands beyond either end), by
-position, are added and passed through tanh; one softmax gives the class's high part and another, with a bias that the
-high part chooses, its low part.
+Vocabulary: every distinct word is counted over the whole corpus, exactly. The LEAVES - 1 most frequent words have a leaf
+of their own in a Huffman tree over these counts; one more leaf stands for all other words, of which a word with m other
+occurrences has (m + t * s) / (n + t), where the others occur n times as t distinct words and s is the word's share by
+spelling (a byte-pair model of all words' letters, less what the leaves' words have). So each string has a probability
+and all of them add up to one; a word that occurs nowhere else is told by its letters.
 
-Words: the vocabulary is every distinct word of the corpus with its exact count. Of a class with n other occurrences
-of t words, a word with m other ones has (m + t * spelled) / (n + t): Witten-Bell backing off to `spelled`, a byte-pair
-model of all words' letters, as a part of what the class's words have by it (the words of the corpus exactly, all other
-strings an equal part a class). A word that occurs nowhere else is told by its letters alone. The sides bear on the
-class only: within one, a word's probability is that of its count.
+Network: the embeddings of the SIDE words before a word and the SIDE after it (a leaf beyond either end), scaled by
+distance, are added and passed through tanh; every inner node of the tree on the way to the word's leaf decides by a
+logistic unit of its own. Before training a node decides as the counts do, so training starts at the unigram model.
 
-Texts are hashed once: `hashed` stages classes, and by blocks of BLOCK_BYTES the distinct words (64-bit hashes), how often
-each occurs and how it spells. `vocabulary` splits these by ranges of hashes into shards of SHARD words at most, whose
-number follows the input, adds up the counts in each and gives them back to the blocks; no machine holds all words.
+What is gathered: `hashed` stages texts as places in blocks of BLOCK_BYTES, and by block the distinct words (64-bit
+hashes), how often each occurs and how it spells. `vocabulary` splits these by ranges of hashes into shards of SHARD words
+at most, whose number follows the input, adds up the counts in each and gives them back to the blocks; no machine holds
+all words. The leaves' words (the bound LEAVES) are all that the driver gets of them.
 
 Training is in numpy and covers every word of every document: in each of ROUNDS rounds every task starts from the same
-weights, takes Adagrad steps over its own documents, and gives back its weights with its number of words. These are
-averaged by a shuffle over the weights' positions, so what is gathered grows with the input while the driver only gets
-one set of weights (some 130 kB). A lost task is trained again from the same start.
-
-Defined cases: a null or blank text has no words and log_prob 0, and a null mean; a corpus without words leaves the
-initial weights; repeated rows each count and each give a row; an empty table gives an empty result; other columns are
-ignored. Texts of any length are read whole, in blocks of BLOCK words with their neighbours. How rows lie in
+weights, takes Adagrad steps over its own documents, and gives back the change of each row of weights with the number of
+times it was used. A row's new weights are the mean over tasks by that number; the sums are made block by block as
+messages stream in, so the driver only gets one set of weights (some 6 MB). A lost task is trained again from the same
+start.
+
+Defined cases: a null or blank text has no words and log_prob 0, and a null mean; repeated rows each count and each give
+a row; an empty table gives an empty result; other columns are ignored. Words that tie in frequency are ordered by hash.
+Texts of any length are read whole; one over BLOCK_BYTES is a block of its own and is predicted BATCH words at a time. How rows lie in
 partitions changes scores slightly, as it does for any training by parts.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,142 +43,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, documents, groups, map_groups, raw_texts, record, stage
+from .chunks import spread
+from .common import arrow_schema, documents, groups, raw_texts, record, stage
 
-HIGH, LOW = 16, 32
-CLASSES, EDGE = HIGH * LOW, HIGH * LOW  # the class EDGE is beyond the ends of a text
-SIDE, DIM = 2, 16
-ROUNDS, BATCH, RATE = 2, 2048, 0.08
-BLOCK = 1 << 16
+LEAVES = 1 << 15
+SIDE, DIM = 2, 16  # the last place of a hidden row is 1
+ROUNDS, BATCH, RATE = 2, 4096, 0.3
 BLOCK_BYTES, SHARD = 1 << 22, 1 << 22
+ROWS = 512  # of weights in a message
+OFFSETS = np.array([i for i in range(-SIDE, SIDE + 1) if i])
 
 SPACE = 32
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 PLAIN = bytes(SPACE if b in b" \t\n\v\f\r" else LOWER[b] for b in range(256))
-SHAPES = {"embed": (2 * SIDE, CLASSES + 1, DIM), "bias": (DIM,), "high": (DIM, HIGH), "high_bias": (HIGH,), "low": (DIM, LOW), "low_bias": (HIGH, LOW)}
 SCHEMA = "doc_id long, n_words long, log_prob double, mean_log_prob double, perplexity double"
-HASHED = "doc_id long, classes binary, places binary, block long, words binary, times binary, spelled binary"  # the last three in a block's first row
-
-
-class _Classes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        c = self[word] = xxhash.xxh64_intdigest(word) % CLASSES
-        return c
-
-
-_classes = _Classes()
-
-
-def classes_of(raw: bytes) -> np.ndarray:
-    words = raw.translate(LOWER).split()
-    return np.fromiter(map(_classes.__getitem__, words), np.int32, len(words))
-
-
-def initial(seed: int = 7) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return np.concatenate([rng.normal(0, 0 if "bias" in k else 0.1, int(np.prod(s))) for k, s in SHAPES.items()]).astype(np.float32)
-
-
-def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
-    """Views of the weights by name."""
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = flat[at : at + n].reshape(s)
-        at += n
-    return out
-
-
-def contexts(classes: np.ndarray) -> np.ndarray:
-    """(words, 2 * SIDE) neighbours of every word of one text."""
-    padded = np.full(len(classes) + 2 * SIDE, EDGE, np.int32)
-    padded[SIDE : SIDE + len(classes)] = classes
-    places = [i for i in range(2 * SIDE + 1) if i != SIDE]
-    return np.stack([padded[i : i + len(classes)] for i in places], axis=1)
+HASHED = "block long, doc_ids array<long>, sizes array<long>, places binary, words binary, times binary, spelled binary"
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    """Over the first axis: words lie along the second, so that sums run over whole rows."""
-    x = x - x.max(axis=0)
-    return x - np.log(np.exp(x).sum(axis=0))
-
-
-def forward(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hidden, log-probabilities of the high parts, of the low parts given the target's high part), a column a word."""
-    total = p["bias"] + p["embed"][0][near[:, 0]]
-    for i in range(1, 2 * SIDE):
-        total += p["embed"][i][near[:, i]]
-    hidden = np.tanh(np.ascontiguousarray(total.T))
-    low = p["low"].T @ hidden
-    low += np.ascontiguousarray(p["low_bias"].T)[:, target // LOW]
-    return hidden, _log_softmax(p["high"].T @ hidden + p["high_bias"][:, None]), _log_softmax(low)
-
-
-def log_probs(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray) -> np.ndarray:
-    _, high, low = forward(p, near, target)
-    words = np.arange(len(target))
-    return high[target // LOW, words] + low[target % LOW, words]
-
-
-def _scatter(n: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows by index, (n, columns)."""
-    index = index.astype(np.int16)  # sorted by radix
-    order = np.argsort(index, kind="stable")
-    ranked = index[order]
-    new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[ranked[new]] = np.add.reduceat(rows[order], new, axis=0)
-    return out
-
-
-def gradient(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Of the mean negative log-probability, flat."""
-    hidden, high, low = forward(p, near, target)
-    n, words = len(target), np.arange(len(target))
-    d_high, d_low = np.exp(high), np.exp(low)
-    d_high[target // LOW, words] -= 1
-    d_low[target % LOW, words] -= 1
-    d_high /= n
-    d_low /= n
-    d_total = np.ascontiguousarray(((p["high"] @ d_high + p["low"] @ d_low) * (1 - hidden * hidden)).T)
-    g = {
-        "embed": np.stack([_scatter(CLASSES + 1, near[:, i], d_total) for i in range(2 * SIDE)]), "bias": d_total.sum(axis=0),
-        "high": hidden @ d_high.T, "high_bias": d_high.sum(axis=1), "low": hidden @ d_low.T, "low_bias": _scatter(HIGH, target // LOW, np.ascontiguousarray(d_low.T)),
-    }
-    return np.concatenate([g[k].ravel() for k in SHAPES]).astype(np.float32)
-
-
-def learn(flat: np.ndarray, texts: Iterator[np.ndarray], rate: float = RATE) -> tuple[np.ndarray, int]:
-    """Adagrad over the words of the texts in order, BATCH words a step; (weights, number of words)."""
-    flat = flat.copy()
-    p, squares = parts(flat), np.full(len(flat), 1e-6, np.float32)
-    nears, targets, held, n = [], [], 0, 0
-
-    def step() -> None:
-        nonlocal nears, targets, held
-        near, target = np.concatenate(nears), np.concatenate(targets)
-        for i in range(0, len(target), BATCH):
-            g = gradient(p, near[i : i + BATCH], target[i : i + BATCH])
-            np.add(squares, g * g, out=squares)
-            np.subtract(flat, rate * g / np.sqrt(squares), out=flat)
-        nears, targets, held = [], [], 0
-
-    for classes in texts:
-        for i in range(0, len(classes), BLOCK):  # with neighbours on either side
-            a = max(0, i - SIDE)
-            near = contexts(classes[a : i + BLOCK + SIDE])[i - a :][:BLOCK]
-            target = classes[i : i + BLOCK]
-            nears.append(near)
-            targets.append(target)
-            held += len(target)
-            n += len(target)
-            if held >= 8 * BATCH:
-                step()
-    if held:
-        step()
-    return flat, n
+# Letters -----------------------------------------------------------------------------------------------------------
 
 
 def letter_pairs(docs: DataFrame) -> np.ndarray:
@@ -208,6 +93,9 @@ def spellings(words: list[bytes], pairs: np.ndarray) -> np.ndarray:
     return np.add.reduceat(pairs[raw[:-1], raw[1:]].astype(np.float64), starts).astype(np.float32)
 
 
+# Vocabulary --------------------------------------------------------------------------------------------------------
+
+
 class _Places(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -215,7 +103,8 @@ class _Places(dict):
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """HASHED rows, staged: a word's class (16 bits) and its place (32 bits) among its block's distinct words."""
+    """HASHED rows, staged, one a block: its documents with their numbers of words, each word's place (32 bits) among the
+    block's distinct words, and these."""
     pairs, arrow = letter_pairs(docs), arrow_schema(docs.sparkSession, HASHED)
     sent = docs.sparkSession.sparkContext.broadcast(pairs)
 
@@ -225,16 +114,12 @@ def hashed(docs: DataFrame) -> DataFrame:
         for raw in raw_texts(part):
             words = raw.translate(LOWER).split()
             own.append(np.fromiter(map(places.__getitem__, words), "<u4", len(words)))
-        words, rest = list(places), [None] * (len(own) - 1)
+        every, words = np.concatenate(own), list(places)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words))
-        classes = (hashes % np.uint64(CLASSES)).astype("<i2")
-        times = np.zeros(len(words), np.int64)
-        for x in own:
-            np.add.at(times, x, 1) if len(x) < len(words) >> 4 else np.add(times, np.bincount(x, minlength=len(words)), out=times)
-        return {
-            "doc_id": part.column("doc_id"), "classes": [classes[x].tobytes() for x in own], "places": [x.tobytes() for x in own], "block": [block] * len(own),
-            "words": [hashes.tobytes(), *rest], "times": [times.astype("<u4").tobytes(), *rest], "spelled": [(spellings(words, sent.value) if words else hashes).astype("<f4").tobytes(), *rest],
-        }
+        times = np.bincount(every, minlength=len(words)).astype("<u4")
+        spelled = spellings(words, sent.value).astype("<f4") if words else np.zeros(0, "<f4")
+        blobs = {"places": every, "words": hashes, "times": times, "spelled": spelled}
+        return {"block": [block], "doc_ids": [part.column("doc_id").to_pylist()], "sizes": [list(map(len, own))]} | {k: [x.tobytes()] for k, x in blobs.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -244,25 +129,60 @@ def hashed(docs: DataFrame) -> DataFrame:
     return stage(documents(docs).mapInArrow(run, HASHED))
 
 
-COUNTED = "block long, shard int, counts binary, totals array<double>"  # a shard's totals in a row of their own
+@dataclass
+class Vocabulary:
+    """The leaves' words, most frequent first, as hashes with counts; and of all other words: occurrences, distinct words,
+    and the share of strings that no leaf has by spelling."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    n: float
+    t: float
+    rest: float
+
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.hashes)
+        self.ranked = self.hashes[self.order]
 
+    def ids(self, words: np.ndarray) -> np.ndarray:
+        """The leaf of each hash; 0 is that of all other words."""
+        if not len(self.ranked):
+            return np.zeros(len(words), np.int32)
+        at = np.minimum(np.searchsorted(self.ranked, words), len(self.ranked) - 1)
+        return np.where(self.ranked[at] == words, self.order[at] + 1, 0).astype(np.int32)
 
-def count_shard(table: pa.Table) -> pa.Table:
-    """From rows (block, shard, words, times, spelled) of one shard, COUNTED rows: the corpus's count of each word, and
-    by class the sums of occurrences, of words and of how they spell."""
+    def other_log_probs(self, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Of words without a leaf, given that the word has none, with one occurrence of it masked."""
+        n, t = self.n - 1, self.t - (counts == 1)
+        share = np.minimum(spelled.astype(np.float64) - np.log(self.rest), 0)
+        size = np.log(np.maximum(n + t, 1))
+        with np.errstate(divide="ignore"):
+            backed = np.where(n > 0, np.log(t) - size + share, share)
+            return np.logaddexp(np.log(counts - 1.0) - size, backed)
+
+
+COUNTED = "block long, shard int, counts binary, top array<struct<word: long, n: long, spelled: float>>, n long, t long"
+
+
+def count_shard(table: pa.Table, most: int) -> pa.Table:
+    """From rows (block, shard, words, times, spelled) of one shard, COUNTED rows: by block the corpus's count of each
+    word; and in a row of its own the shard's most frequent words, its occurrences and its distinct words."""
     words, times, spelled = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("words", "<u8"), ("times", "<u4"), ("spelled", "<f4")))
     distinct, first, at = np.unique(words, return_index=True, return_inverse=True)
-    n = np.bincount(at, times, len(distinct))
-    classes = (distinct % np.uint64(CLASSES)).astype(np.int64)
-    totals = [np.bincount(classes, x, CLASSES) for x in (n, np.ones(len(n)), np.exp(spelled[first].astype(np.float64)))]
+    n = np.bincount(at, times, len(distinct)).astype(np.int64)
     cuts = np.cumsum([len(x) // 8 for x in table.column("words").to_pylist()])[:-1]
     counts = [x.astype("<u8").tobytes() for x in np.split(n[at], cuts)]
+    best = np.lexsort((distinct, -n))[:most]
+    top = [{"word": w, "n": k, "spelled": s} for w, k, s in zip(distinct[best].view(np.int64).tolist(), n[best].tolist(), spelled[first[best]].tolist(), strict=True)]
     none, shard = [None] * len(counts), table.column("shard").to_pylist()
-    return pa.table([pa.array([*table.column("block").to_pylist(), None], pa.int64()), pa.array([*shard, shard[0]], pa.int32()), pa.array([*counts, None], pa.binary()), pa.array([*none, np.concatenate(totals)], pa.list_(pa.float64()))], names=["block", "shard", "counts", "totals"])
+    return pa.table([
+        pa.array([*table.column("block").to_pylist(), None], pa.int64()), pa.array([*shard, shard[0]], pa.int32()), pa.array([*counts, None], pa.binary()),
+        pa.array([*none, top], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64()), ("spelled", pa.float32())]))), pa.array([*none, int(n.sum())], pa.int64()), pa.array([*none, len(n)], pa.int64()),
+    ], names=["block", "shard", "counts", "top", "n", "t"])
 
 
-def vocabulary(rows: DataFrame, most: int = SHARD) -> tuple[DataFrame, np.ndarray]:
-    """(block, shard, counts) with counts in the order of the words' hashes, and (3, CLASSES) totals of the corpus."""
+def vocabulary(rows: DataFrame, most: int = SHARD, leaves: int = LEAVES) -> tuple[DataFrame, Vocabulary]:
+    """(block, shard, counts) with counts in the order of the words' hashes, and the corpus's vocabulary."""
     shards = 1 + (rows.agg(F.sum(F.length("words"))).first()[0] or 0) // (8 * most)
     shards = max(shards, rows.sparkSession.sparkContext.defaultParallelism)
     width = np.uint64((1 << 64) // shards + 1)
@@ -280,126 +200,251 @@ def vocabulary(rows: DataFrame, most: int = SHARD) -> tuple[DataFrame, np.ndarra
                 yield pa.record_batch([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["block", "shard", "words", "times", "spelled"])
 
     apart = rows.where("words is not null").select("block", "words", "times", "spelled").mapInArrow(split, "block long, shard int, words binary, times binary, spelled binary")
-    counted = stage(apart.repartition(shards, "shard").groupBy("shard").applyInArrow(count_shard, COUNTED))
-    totals = np.zeros(3 * CLASSES)
-    for at, x in counted.where("block is null").select(F.posexplode("totals").alias("at", "x")).groupBy("at").agg(F.sum("x")).collect():  # 3 * CLASSES rows
-        totals[at] = x
-    return counted.where("block is not null").select("block", "shard", "counts"), totals.reshape(3, CLASSES)
-
-
-def word_log_probs(counts: np.ndarray, classes: np.ndarray, spelled: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Of each word given its class, with one occurrence of it masked."""
-    n, t, known = totals
-    others, n, t = counts - 1.0, n[classes] - 1, t[classes] - (counts == 1)
-    share = np.log(known + max(0.0, 1 - known.sum()) / CLASSES)  # of a class's strings
-    rest = np.minimum(spelled.astype(np.float64) - share[classes], 0)
-    size = np.log(np.maximum(n + t, 1))
-    with np.errstate(divide="ignore"):
-        backed = np.where(n > 0, np.log(t) - size + rest, rest)
-        return np.logaddexp(np.log(others) - size, backed)
+    counted = stage(apart.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda table: count_shard(table, leaves - 1), COUNTED))
+    whole = counted.where("block is null")
+    n, t = whole.agg(F.sum("n"), F.sum("t")).first()
+    best = whole.select(F.explode("top").alias("x")).select("x.*").orderBy(F.desc("n"), "word").limit(leaves - 1).collect()  # the bound
+    hashes, counts = np.array([r["word"] for r in best], np.int64).view(np.uint64), np.array([r["n"] for r in best], np.float64)
+    known = float(np.exp(np.array([r["spelled"] for r in best], np.float64)).sum())
+    found = Vocabulary(hashes, counts, float((n or 0) - counts.sum()), float((t or 0) - len(best)), max(1e-9, 1 - known))
+    return counted.where("block is not null").select("block", "shard", "counts"), found
+
+
+# The tree and the network ------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Tree:
+    """Of each leaf the inner nodes from the root on and the side taken at each (1 or -1), one leaf after another."""
+
+    first: np.ndarray
+    size: np.ndarray
+    nodes: np.ndarray
+    sides: np.ndarray
+    bias: np.ndarray  # of each node: the log of the odds of side 1 by the counts
+
+    @property
+    def leaves(self) -> int:
+        return len(self.size)
+
+
+def huffman(counts: np.ndarray) -> Tree:
+    """The tree of leaves with these counts (a leaf without any counts as one)."""
+    m = len(counts)
+    weight = [max(1.0, float(c)) for c in counts]
+    heap = [(w, i) for i, w in enumerate(weight)]
+    heapq.heapify(heap)
+    parent, side, bias = [0] * (2 * m - 1), [0] * (2 * m - 1), []
+    for node in range(m, 2 * m - 1):
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[x], side[x], parent[y], side[y] = node, -1, node, 1
+        bias.append(np.log(b / a))
+        heapq.heappush(heap, (a + b, node))
+    root = 2 * m - 2
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(2 * m - 1)]
+    for node in range(root - 1, -1, -1):  # a parent has a greater number
+        paths[node] = [*paths[parent[node]], (parent[node] - m, side[node])]
+    flat = [p for own in paths[:m] for p in own]
+    size = np.array([len(p) for p in paths[:m]], np.int64)
+    table = np.array(flat, np.int32).reshape(-1, 2)
+    return Tree(np.cumsum(size) - size, size, table[:, 0].astype(np.uint16), table[:, 1].astype(np.float32), np.array(bias, np.float32))
+
+
+class Network:
+    """Rows of weights: embeddings on the left, on the right (the last of either beyond the text's end), nodes, and the
+    scales of the 2 * SIDE places with the hidden row's bias."""
+
+    def __init__(self, tree: Tree, weights: np.ndarray | None = None):
+        self.tree, m = tree, tree.leaves
+        self.right, self.node, self.dense, self.rows = m + 1, 2 * (m + 1), 2 * (m + 1) + m - 1, 2 * (m + 1) + m - 1 + 2 * SIDE + 1
+        self.weights = self.initial() if weights is None else weights
+
+    def initial(self, seed: int = 7) -> np.ndarray:
+        out = np.zeros((self.rows, DIM), np.float32)
+        out[: self.node] = np.random.default_rng(seed).normal(0, 0.3, (self.node, DIM))
+        out[self.node : self.dense, -1] = self.tree.bias
+        out[self.dense : -1] = 0.5
+        return out
+
+    def forward(self, near: np.ndarray, target: np.ndarray) -> tuple:
+        """(embeddings by place, hidden rows, words' steps down the tree, their places, node rows, hidden rows by step,
+        sums towards the sides taken) of words in their neighbourhoods."""
+        w, scale = self.weights, self.weights[self.dense :]
+        embedded = [np.take(w, near[:, i] + (self.right if i >= SIDE else 0), axis=0) for i in range(2 * SIDE)]
+        total = embedded[0] * scale[0]
+        for e, s in zip(embedded[1:], scale[1:-1], strict=True):
+            total += e * s
+        total += scale[-1]
+        hidden = np.tanh(total)
+        hidden[:, -1] = 1
+        steps = self.tree.size[target]
+        at = spread(self.tree.first[target], steps)
+        rows = np.take(w[self.node : self.dense], self.tree.nodes[at], axis=0)
+        wide = np.repeat(hidden, steps, axis=0)
+        return embedded, hidden, steps, at, rows, wide, np.einsum("ij,ij->i", rows, wide) * self.tree.sides[at]
+
+    def log_probs(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
+        *_, steps, _, _, _, z = self.forward(near, target)
+        out = np.zeros(len(target))
+        some = steps > 0
+        if some.any():
+            logs = np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))
+            out[some] = np.add.reduceat(logs, (np.cumsum(steps) - steps)[some], dtype=np.float64)
+        return out
+
+    def gradient(self, near: np.ndarray, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of the summed negative log-probability: (row numbers, their gradients), no row twice."""
+        embedded, hidden, steps, at, rows, wide, z = self.forward(near, target)
+        if not len(at):
+            return []
+        pull = (-self.tree.sides[at] / (1 + np.exp(np.clip(z, -30, 30))))[:, None]
+        own, d_nodes = _summed(self.tree.nodes[at], wide * pull)
+        out = [(own + self.node, d_nodes)]
+        some = steps > 0
+        d_total = np.zeros_like(hidden)
+        d_total[some] = _segments(rows * pull, (np.cumsum(steps) - steps)[some])
+        d_total *= 1 - hidden * hidden
+        scale = self.weights[self.dense :]
+        for first, places in ((0, range(SIDE)), (self.right, range(SIDE, 2 * SIDE))):
+            own, d = _summed(np.concatenate([near[:, i] for i in places]).astype(np.uint16), np.concatenate([d_total * scale[i] for i in places]))
+            out.append((own + first, d))
+        out.append((np.arange(self.dense, self.rows), np.stack([*[np.einsum("ij,ij->j", e, d_total) for e in embedded], d_total.sum(axis=0)])))
+        return out
+
+
+def _segments(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each start to the next. Two numbers are added as one complex number, which is faster."""
+    pairs = np.ascontiguousarray(rows).view(np.result_type(rows.dtype, np.complex64))
+    return np.add.reduceat(pairs, starts, axis=0).view(rows.dtype)
+
+
+def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct numbers in order, sums of their rows); index of 16 bits, which is sorted by radix."""
+    order = np.argsort(index, kind="stable")
+    ranked = index[order]
+    new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    return ranked[new].astype(np.int64), _segments(np.take(rows, order, axis=0), new)
+
+
+class Texts:
+    """The leaves of a block's words, and what is needed to look up their neighbours: texts lie apart by SIDE edges."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, edge: int):
+        self.words = words
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.places = np.arange(len(words)) + SIDE * (1 + self.doc)
+        self.padded = np.full(len(words) + SIDE * (1 + len(sizes)), edge, np.int32)
+        self.padded[self.places] = words
+
+    def batches(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(the 2 * SIDE neighbours, the words) in order, size words at a time."""
+        for i in range(0, len(self.words), size):
+            yield self.padded[self.places[i : i + size, None] + OFFSETS], self.words[i : i + size]
+
+
+def learn(net: Network, texts: Iterator[Texts], rate: float = RATE) -> np.ndarray:
+    """Adagrad over the words of the texts in order, BATCH words a step; how often each row was used. net is changed."""
+    squares, used = np.full(net.weights.shape, 1e-4, np.float32), np.zeros(net.rows, np.int64)
+    for block in texts:
+        for near, target in block.batches(BATCH):
+            for own, g in net.gradient(near, target):
+                s = np.take(squares, own, axis=0)
+                s += g * g
+                squares[own] = s
+                net.weights[own] = np.take(net.weights, own, axis=0) - rate * g / np.sqrt(s)
+                used[own] += 1
+    return used
 
 
-def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(c, "<i2").astype(np.int32) for c in batch.column("classes").to_pylist()]
+def texts_of(batch: pa.RecordBatch | pa.Table, found: Vocabulary) -> Iterator[Texts]:
+    for sizes, places, words in zip(*(batch.column(c).to_pylist() for c in ("sizes", "places", "words")), strict=True):
+        yield Texts(found.ids(np.frombuffer(words, "<u8"))[np.frombuffer(places, "<u4")], np.array(sizes, np.int64), len(found.hashes) + 1)
 
 
-def train(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights, from hashed rows."""
-    spark, plain, flat = rows.sparkSession, rows.select("classes"), initial()
+CHANGE = "block int, used binary, change binary"  # of ROWS rows of weights: how often used, and by how much changed
+
+
+def changes(before: np.ndarray, after: np.ndarray, used: np.ndarray) -> pa.RecordBatch:
+    at = [i for i in range(0, len(used), ROWS) if used[i : i + ROWS].any()]
+    some = [np.flatnonzero(used[i : i + ROWS]) + i for i in at]
+    counts = [used[i : i + ROWS].astype("<u4").tobytes() for i in at]
+    return pa.record_batch([pa.array([i // ROWS for i in at], pa.int32()), pa.array(counts, pa.binary()), pa.array([(after[k] - before[k]).astype("<f2").tobytes() for k in some], pa.binary())], names=["block", "used", "change"])
+
+
+def mean_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CHANGE rows, one a block, of the mean over tasks by use; one block's sums are all that is held for it."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for block, used, change in zip(*(batch.column(c).to_pylist() for c in ("block", "used", "change")), strict=True):
+            n = np.frombuffer(used, "<u4").astype(np.float64)
+            total, mean = sums.setdefault(block, (np.zeros(len(n)), np.zeros((len(n), DIM))))
+            some = np.flatnonzero(n)
+            total += n
+            mean[some] += n[some, None] * np.frombuffer(change, "<f2").reshape(-1, DIM)
+    for block, (total, mean) in sums.items():
+        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([total.astype("<u4").tobytes()], pa.binary()), pa.array([(mean / np.maximum(total, 1)[:, None]).astype("<f4").tobytes()], pa.binary())], names=["block", "used", "change"])
+
+
+def train(rows: DataFrame, found: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """From hashed rows."""
+    spark, net = rows.sparkSession, Network(huffman(np.append(found.n, found.counts)))
+    plain = rows.select("sizes", "places", "words")
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(flat)
+        sent = spark.sparkContext.broadcast((net.tree, net.weights, found))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found, n = learn(sent.value, (classes for part in groups(batches, "classes") for classes in unpacked(part)))
-            if n:
-                yield pa.record_batch([pa.array([found], pa.list_(pa.float32())), pa.array([n], pa.int64())], names=["weights", "n"])
-
-        local = plain.mapInArrow(run, "weights array<float>, n long")
-        mean = local.select("n", F.posexplode("weights").alias("at", "w")).groupBy("at").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w"))
-        got = mean.toPandas()  # a row a weight
-        if not len(got):
-            break
-        flat = got.sort_values("at")["w"].to_numpy(np.float32)
-    return flat
-
-
-def text_log_prob(p: dict[str, np.ndarray], classes: np.ndarray) -> float:
-    total = 0.0
-    for i in range(0, len(classes), BLOCK):
-        a = max(0, i - SIDE)
-        target = classes[i : i + BLOCK]
-        near = contexts(classes[a : i + BLOCK + SIDE])[i - a :][: len(target)]
-        total += float(log_probs(p, near, target).sum(dtype=np.float64))
-    return total
-
-
-def _score_batch(p: dict[str, np.ndarray], classes: list[np.ndarray]) -> tuple[list[int], list[float]]:
-    """Words and log-probabilities; short texts are predicted together."""
-    sizes = [len(c) for c in classes]
-    out = np.zeros(len(classes))
-    some = [i for i, n in enumerate(sizes) if 0 < n <= BLOCK]
-    start = 0
-    while start < len(some):
-        end, n = start, 0
-        while end < len(some) and (n == 0 or n + sizes[some[end]] <= BLOCK):
-            n += sizes[some[end]]
-            end += 1
-        own = some[start:end]
-        near, target = np.concatenate([contexts(classes[i]) for i in own]), np.concatenate([classes[i] for i in own])
-        cuts = np.cumsum([0, *[sizes[i] for i in own]])[:-1]
-        out[own] = np.add.reduceat(np.concatenate([log_probs(p, near[j : j + 8192], target[j : j + 8192]) for j in range(0, len(target), 8192)]).astype(np.float64), cuts)
-        start = end
-    for i, n in enumerate(sizes):
-        if n > BLOCK:
-            out[i] = text_log_prob(p, classes[i])
-    return sizes, out.tolist()
-
-
-def score(rows: DataFrame, flat: np.ndarray) -> DataFrame:
-    """SCHEMA, from hashed rows, of the classes alone."""
-    sent = rows.sparkSession.sparkContext.broadcast(flat)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        sizes, logs = _score_batch(parts(sent.value), unpacked(batch))
-        return {"doc_id": batch.column("doc_id")} | _rated(sizes, logs)
-
-    return map_groups(rows, run, SCHEMA, "classes")
-
-
-def _rated(sizes: list[int], logs: list[float]) -> dict:
+            tree, weights, own = sent.value
+            local = Network(tree, weights.copy())
+            used = learn(local, (t for batch in batches for t in texts_of(batch, own)))
+            if used.any():
+                yield changes(weights, local.weights, used)
+
+        blocks = -(-net.rows // ROWS)
+        merged = plain.mapInArrow(run, CHANGE).repartition(min(blocks, spark.sparkContext.defaultParallelism), "block").mapInArrow(mean_changes, CHANGE)
+        for block, _, change in merged.toLocalIterator():  # one set of weights
+            own = net.weights[block * ROWS : (block + 1) * ROWS]
+            own += np.frombuffer(change, "<f4").reshape(own.shape)
+    return net
+
+
+# Scores ------------------------------------------------------------------------------------------------------------
+
+
+def word_log_probs(net: Network, texts: Texts, size: int = 2 * BATCH) -> np.ndarray:
+    """Of the leaf of each word."""
+    return np.concatenate([np.zeros(0), *[net.log_probs(near, target) for near, target in texts.batches(size)]])
+
+
+def rated(sizes: list[int], logs: list[float]) -> dict:
     means = [x / n if n else None for x, n in zip(logs, sizes, strict=True)]
     return {"n_words": sizes, "log_prob": logs, "mean_log_prob": means, "perplexity": [None if m is None else float(np.exp(-m)) for m in means]}
 
 
-def token_scores(rows: DataFrame, flat: np.ndarray, counted: DataFrame, totals: np.ndarray) -> DataFrame:
-    """SCHEMA, from hashed rows and their vocabulary. A block's rows meet its counts in one task."""
+def score(rows: DataFrame, counted: DataFrame, found: Vocabulary, net: Network) -> DataFrame:
+    """SCHEMA, from hashed rows, which are the corpus of the vocabulary. A block meets its counts in one task."""
     spark = rows.sparkSession
-    sent, arrow = spark.sparkContext.broadcast((flat, totals)), arrow_schema(spark, SCHEMA)
+    sent, arrow = spark.sparkContext.broadcast((net.tree, net.weights, found)), arrow_schema(spark, SCHEMA)
 
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        weights, sums = sent.value
-        words, spelled = (next(x for x in docs.column(c).to_pylist() if x is not None) for c in ("words", "spelled"))
+    def run(block: pa.Table, counts: pa.Table) -> pa.Table:
+        tree, weights, own = sent.value
+        (words, spelled, places), (texts,) = (block.column(c)[0].as_py() for c in ("words", "spelled", "places")), texts_of(block, own)
         words, spelled = np.frombuffer(words, "<u8"), np.frombuffer(spelled, "<f4")
-        logs = np.zeros(len(words))
-        if len(words):
-            found = sorted(zip(counts.column("shard").to_pylist(), counts.column("counts").to_pylist(), strict=True))
-            n = np.empty(len(words))
-            n[np.argsort(words)] = np.concatenate([np.frombuffer(x, "<u8") for _, x in found])
-            logs = word_log_probs(n, (words % np.uint64(CLASSES)).astype(np.int64), spelled, sums)
-        out = []
-        for batch in docs.combine_chunks().to_batches():
-            for part in groups(iter([batch]), "classes"):
-                sizes, own = _score_batch(parts(weights), unpacked(part))
-                more = [float(logs[np.frombuffer(x, "<u4")].sum()) for x in part.column("places").to_pylist()]
-                out.append(record(_rated(sizes, [a + b for a, b in zip(own, more, strict=True)]) | {"doc_id": part.column("doc_id")}, arrow))
-        return pa.Table.from_batches(out, arrow)
-
-    tasks = max(2 * spark.sparkContext.defaultParallelism, 1 + (rows.agg(F.sum(F.length("classes"))).first()[0] or 0) // (1 << 23))
-    own = rows.select("doc_id", "classes", "places", "block", "words", "spelled").repartition(tasks, "block")
+        n = np.zeros(len(words))
+        n[np.argsort(words)] = np.frombuffer(b"".join(x for _, x in sorted(zip(counts.column("shard").to_pylist(), counts.column("counts").to_pylist(), strict=True))), "<u8")
+        others = np.zeros(len(words))
+        none = own.ids(words) == 0
+        others[none] = own.other_log_probs(n[none], spelled[none])
+        sizes = block.column("sizes")[0].as_py()
+        logs = np.bincount(texts.doc, word_log_probs(Network(tree, weights), texts) + others[np.frombuffer(places, "<u4")], len(sizes))
+        return pa.Table.from_batches([record(rated(sizes, logs.tolist()) | {"doc_id": block.column("doc_ids")[0].as_py()}, arrow)], arrow)
+
+    tasks = max(2 * spark.sparkContext.defaultParallelism, 1 + (rows.agg(F.sum(F.length("places"))).first()[0] or 0) // (1 << 23))
+    own = rows.drop("times").repartition(tasks, "block")
     return own.groupBy("block").cogroup(counted.repartition(tasks, "block").groupBy("block")).applyInArrow(run, SCHEMA)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Trains on docs and scores them."""
     rows = hashed(docs)
-    return token_scores(rows, train(rows), *vocabulary(rows))
+    counted, found = vocabulary(rows)
+    return score(rows, counted, found, train(rows, found))

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import MESSAGE, answers, bits, bounds, chunked, compress, compressed, expand, expanded, flags, key_messages, mix, order_ids, powers, prefix_hash, smaller_elsewhere, total, unpack, with_answers
+from .chunks import MESSAGE, answers, bits, bounds, chunked, compress, compressed, expand, expanded, flags, key_messages, mix, order_ids, powers, prefix_hash, smaller_elsewhere, spread, total, unpack, with_answers
 from .common import arrow_schema, map_groups
 
 SIZE, GRAM = 50, 16
@@ -154,12 +154,6 @@ def hashes_of(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[n
     return out
 
 
-def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i] + 1, ... counts[i] numbers for each i."""
-    ends = np.cumsum(counts)
-    return np.repeat(starts - (ends - counts), counts) + np.arange(int(counts.sum()))
-
-
 # The suffix sort ---------------------------------------------------------------------------------------------------
 
 

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -172,77 +175,116 @@ def test_kernel_is_normalised_and_symmetric():
     assert values[0, 1] > 0.5 > values[0, 2]
 
 
+def network(n=40, seed=0):
+    rng = np.random.default_rng(seed)
+    net = lm_score.Network(lm_score.huffman(rng.integers(1, 90, n)))
+    net.weights = rng.normal(0, 0.5, net.weights.shape)
+    return net
+
+
 def test_gradient_is_that_of_the_loss():
-    flat = lm_score.initial().astype(np.float64) * 3
-    rng = np.random.default_rng(0)
-    near, target = rng.integers(0, 513, (60, 4)).astype(np.int32), rng.integers(0, 512, 60).astype(np.int32)
-    g = lm_score.gradient(lm_score.parts(flat), near, target)
-    loss = lambda f: -lm_score.log_probs(lm_score.parts(f), near, target).mean()
-    for k in [int(near[0, 0]) * 16, len(flat) - 3, len(flat) - 600, *rng.integers(32832, len(flat), 8).tolist()]:
-        step = np.zeros(len(flat))
-        step[k] = 1e-5
-        assert abs(g[k] - (loss(flat + step) - loss(flat - step)) / 2e-5) < 1e-6
+    net, rng = network(), np.random.default_rng(1)
+    near, target = rng.integers(0, 41, (60, 4)).astype(np.int32), rng.integers(0, 40, 60).astype(np.int32)
+    got = np.zeros(net.weights.shape)
+    for own, g in net.gradient(near, target):
+        assert len(set(own.tolist())) == len(own)
+        got[own] += g
+    for r, c in [*zip(rng.integers(0, net.rows, 60).tolist(), rng.integers(0, lm_score.DIM, 60).tolist()), *((net.dense + i, 3) for i in range(5)), (net.node, 15)]:
+        net.weights[r, c] += 1e-5
+        more = net.log_probs(near, target).sum()
+        net.weights[r, c] -= 2e-5
+        less = net.log_probs(near, target).sum()
+        net.weights[r, c] += 1e-5
+        assert abs(got[r, c] + (more - less) / 2e-5) < 1e-4, (r, c)
+
+
+def test_leaves_add_up_to_one_and_start_at_the_counts():
+    net = network()
+    near = np.repeat(np.array([[1, 40, 3, 7]], np.int32), 40, axis=0)
+    assert abs(np.exp(net.log_probs(near, np.arange(40))).sum() - 1) < 1e-9
+    counts = np.array([50, 3, 9, 30, 1, 7])
+    start = lm_score.Network(lm_score.huffman(counts))
+    got = np.exp(start.log_probs(near[:6] % 6, np.arange(6)))
+    assert np.allclose(got, counts / 100, atol=1e-5)
+    one = lm_score.Network(lm_score.huffman(np.array([5.0])))
+    assert one.log_probs(near[:2] * 0, np.zeros(2, np.int32)).tolist() == [0, 0] and one.gradient(near[:2] * 0, np.zeros(2, np.int32)) == []
+
+
+def test_other_words_add_up_to_one():
+    counts, spelled = np.array([5, 1, 3]), np.log(np.array([0.1, 0.05, 0.02]))
+    found = lm_score.Vocabulary(np.zeros(0, np.uint64), np.zeros(0), 10.0, 3.0, 0.17)
+    logs = found.other_log_probs(counts + 1, spelled)  # each with the masked one added, which is the tenth
+    assert abs(np.exp(logs).sum() - 1) < 1e-9
 
 
-def test_probabilities_add_up_to_one():
-    p = lm_score.parts(lm_score.initial())
-    near = np.array([[1, 2, 3, 512]] * lm_score.CLASSES, np.int32)
-    assert abs(np.exp(lm_score.log_probs(p, near, np.arange(lm_score.CLASSES, dtype=np.int32))).sum() - 1) < 1e-4
+def slow_scores(rows, leaves):
+    """Counts by hand, and each word's probability with the untrained weights, which are those of the counts."""
+    words = [[w.encode().translate(lm_score.LOWER) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
+    count = Counter(w for own in words for w in own)
+    h = lambda w: xxhash.xxh64_intdigest(w)
+    top = sorted(count, key=lambda w: (-count[w], np.uint64(h(w)).astype(np.int64)))[: leaves - 1]
+    pairs = Counter()
+    for w in (w for own in words for w in own):
+        pairs.update(zip(b" " + w, w + b" "))
+    after = Counter()
+    for (a, _), n in pairs.items():
+        after[a] += n
+    spell = lambda w: np.prod([(pairs[a, b] + 0.5) / (after[a] + 0.5 * (255 if a == 32 else 256)) for a, b in zip(b" " + w, w + b" ")])
+    n, t, rest = sum(count.values()) - sum(count[w] for w in top), len(count) - len(top), max(1e-9, 1 - sum(map(spell, top)))
+
+    def log_prob(w):
+        if w in top:
+            return np.log(count[w] / (sum(count.values()) + (n == 0)))
+        m, k = count[w] - 1, t - (count[w] == 1)
+        share = min(spell(w) / rest, 1)
+        return np.log(n / sum(count.values())) + np.log((m + k * share) / (n - 1 + k) if n > 1 else share)
+
+    return [(d, len(own), sum(map(log_prob, own))) for (d, _), own in zip(rows, words)]
+
+
+@pytest.mark.parametrize("leaves", [1, 20, 1 << 15])
+def test_scores_are_sums_over_words(spark, monkeypatch, leaves):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2000)  # many blocks
+    rows = texts()
+    staged = lm_score.hashed(frame(spark, rows).repartition(3))
+    counted, found = lm_score.vocabulary(staged, 50, leaves)
+    assert counted.select("block").distinct().count() > 5
+    net = lm_score.train(staged, found, 0)
+    got = lm_score.score(staged, counted, found, net).collect()
+    want = slow_scores(rows, leaves)
+    assert sort((r["doc_id"], r["n_words"], round(r["log_prob"], 1)) for r in got) == sort((d, n, round(x, 1) + 0.0) for d, n, x in want)
+    assert all(r["mean_log_prob"] is None and r["log_prob"] == 0 for r in got if r["n_words"] == 0)
+    assert all(abs(r["perplexity"] - np.exp(-r["log_prob"] / r["n_words"])) < 1e-6 * r["perplexity"] for r in got if r["n_words"])
 
 
-def test_training_beats_no_training_on_other_texts(spark):
+def test_training_tells_words_by_both_sides(spark):
     rng = np.random.default_rng(4)
     line = lambda: " ".join(f"a{k} b{k} c{k}" for k in rng.integers(0, 9, 30))
-    flat = lm_score.train(lm_score.hashed(spark.createDataFrame([(i, line()) for i in range(120)], "doc_id long, text string")))
-    test = [lm_score.classes_of(line().encode()) for _ in range(20)]
-    mean = lambda f: sum(lm_score.text_log_prob(lm_score.parts(f), c) for c in test) / sum(map(len, test))
-    assert mean(flat) > mean(lm_score.initial()) + 1
+    rows = [(i, line()) for i in range(300)] + [(900, "a1 b1 c1"), (901, "a1 b2 c1"), (902, " "), (None, "a1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(docs).collect()}
+    assert len(got) == len(rows) and got[902]["log_prob"] == 0 and got[902]["perplexity"] is None
+    assert got[900]["log_prob"] > got[901]["log_prob"] + 3
+    unigram = np.log(1 / 27)
+    assert np.mean([got[i]["mean_log_prob"] for i in range(300)]) > unigram + 1
 
 
-def test_scores_are_sums_over_words(spark):
-    rows = texts()
-    flat = lm_score.initial()
-    got = lm_score.score(lm_score.hashed(frame(spark, rows)), flat).collect()
-    assert len(got) == len(rows)
-    p = lm_score.parts(flat)
-    want = sort((d, len(c), round(lm_score.text_log_prob(p, c), 2)) for d, t in rows for c in [lm_score.classes_of((t or "").encode())])
-    assert sort((r["doc_id"], r["n_words"], round(r["log_prob"], 2)) for r in got) == want
-    assert all(r["mean_log_prob"] is None for r in got if r["n_words"] == 0)
+def test_empty_table_scores_nothing(spark):
     assert lm_score.lm_scores(empty(spark)).count() == 0
-    assert np.allclose(lm_score.train(lm_score.hashed(empty(spark))), flat)
-
-
-def test_long_texts_are_scored_in_blocks(monkeypatch):
-    p, classes = lm_score.parts(lm_score.initial()), np.random.default_rng(0).integers(0, 512, 5000).astype(np.int32)
-    whole = lm_score.text_log_prob(p, classes)
-    monkeypatch.setattr(lm_score, "BLOCK", 700)
-    assert abs(lm_score.text_log_prob(p, classes) - whole) < 1e-2
+    assert [r["n_words"] for r in lm_score.lm_scores(frame(spark, [(1, None), (2, " ")])).collect()] == [0, 0]
 
 
-def test_words_of_one_class_are_told_apart(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2000)  # many blocks
-    rng = np.random.default_rng(3)
-    common = [f"w{i}" for i in range(40)]
-    of = lambda w: int(lm_score.classes_of(w.encode())[0])
-    rare = next(w for w in (f"zq{i}xj" for i in range(100000)) if of(w) == of("w7"))
-    rows = [(i, " ".join(rng.choice(common, 60))) for i in range(200)] + [(900, "w1 w2 w7 w3 w4"), (901, f"w1 w2 {rare} w3 w4"), (902, " "), (None, "w7")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r for r in lm_score.lm_scores(docs).collect()}
-    assert len(got) == len(rows) and got[902]["log_prob"] == 0 and got[902]["perplexity"] is None
-    assert got[900]["log_prob"] > got[901]["log_prob"] + 5
-    staged = lm_score.hashed(docs)
-    counted, totals = lm_score.vocabulary(staged, 50)
-    words = [w for _, t in rows for w in t.split()]
-    want = np.bincount([of(w) for w in words], minlength=lm_score.CLASSES)
-    assert totals[0].tolist() == want.tolist() and totals[1].tolist() == np.bincount([of(w) for w in set(words)], minlength=lm_score.CLASSES).tolist()
-    assert counted.select("block").distinct().count() > 5
+def test_neighbours_stay_within_a_text():
+    own = lm_score.Texts(np.array([5, 6, 7, 8], np.int32), np.array([3, 0, 1]), 99)
+    near = np.concatenate([n for n, _ in own.batches(2)])
+    assert near.tolist() == [[99, 99, 6, 7], [99, 5, 7, 99], [5, 6, 99, 99], [99, 99, 99, 99]]
 
 
-def test_word_probabilities_add_up_within_a_class():
-    counts, classes = np.array([5, 1, 3]), np.zeros(3, np.int64)
-    totals = np.zeros((3, lm_score.CLASSES))
-    spelled = np.log(np.array([0.1, 0.05, 0.02]))
-    totals[:, 0] = 10, 3, 0.17  # one more word's occurrence, the masked one, is the class's tenth
-    totals[2, 1:] = 0.83 / (lm_score.CLASSES - 1)
-    logs = lm_score.word_log_probs(counts + 1, classes, spelled, totals)  # each with the masked one added
-    assert abs(np.exp(logs).sum() - 1) < 1e-9
+def test_changes_are_means_by_use():
+    before = np.zeros((700, lm_score.DIM), np.float32)
+    after, used = [before.copy(), before.copy()], [np.zeros(700, np.int64), np.zeros(700, np.int64)]
+    after[0][600], used[0][600] = 1, 3
+    after[1][600], used[1][600] = 5, 1
+    after[1][2], used[1][2] = 7, 2
+    got = {b: np.frombuffer(c, "<f4").reshape(-1, lm_score.DIM) for batch in lm_score.mean_changes(iter([lm_score.changes(before, a, u) for a, u in zip(after, used)])) for b, c in zip(batch.column("block").to_pylist(), batch.column("change").to_pylist())}
+    assert (got[0][2] == 7).all() and (got[1][600 - 512] == 2).all() and got[0].sum() == 7 * lm_score.DIM
