@@ -3,8 +3,8 @@
 A document's ids are those of the given tokenizer file, then END. Whole sequences' worth of a long document become
 sequences of their own; what is left of each document is packed within a group: a piece of n tokens costs
 LINEAR * n + QUADRATIC * n * n (feed-forward and attention work). Descending pieces go to the sequence of the lowest
-cost that has room for them among the TRIES lowest; if none has, the piece is cut at the lowest-cost sequence's
-remaining capacity. A group gets as few sequences as its tokens need, so all but one of them are full.
+cost that has room for them (`Rooms` finds it exactly); if none has, the piece is cut at the remaining capacity of the
+lowest-cost sequence. A group gets as few sequences as its tokens need, so all but one of them are full.
 
 A group is up to GROUP_DOCS documents of one task, so packing needs no shuffle, its memory is bounded, and a task that
 is run again gives the same rows. A sequence_id holds the task and the number within it.
@@ -13,13 +13,15 @@ tiktoken with the same vocabulary gives the same ids several times faster than t
 characters in PLAIN, where both split words alike, and tokenizers itself for any other text.
 
 Defined cases: a null text is empty and has the one token END; each row, repeated ones too, has its own pieces; an
-empty table gives no pieces; other columns are ignored. A long text is tokenised whole.
+empty table gives no pieces; other columns are ignored. A long text is tokenised whole. Of pieces of one size the one
+that came first goes first, and of sequences of one cost the one with the least number is taken.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,12 +36,13 @@ from .common import arrow_schema, documents, groups, record, texts
 
 SEQUENCE, END = 1024, 0
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-TRIES = 8
 GROUP_DOCS = 50_000
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Basic Latin without the control characters on which libraries' white space differs, Latin letters, common signs.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-ſ‐-‧‰-⁞]*")
 
+NONE = (math.inf, -1)  # no sequence
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 
@@ -73,31 +76,59 @@ def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
+class Rooms:
+    """Sequences by their remaining capacity: those of one capacity lie in a heap by cost, and a tree over capacities has
+    the least (cost, sequence) of each range of them."""
+
+    def __init__(self, n: int, capacity: int):
+        self.width = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.width)]
+        self.least = [NONE] * (2 * self.width)
+        self.heaps[capacity] = [(0.0, i) for i in range(n)]
+        self._lift(capacity)
+
+    def _lift(self, room: int) -> None:
+        at, least = room + self.width, self.least
+        least[at] = self.heaps[room][0] if self.heaps[room] else NONE
+        while at > 1:
+            at >>= 1
+            least[at] = min(least[2 * at], least[2 * at + 1])
+
+    def add(self, cost: float, sequence: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self._lift(room)
+
+    def take(self, size: int, room: list[int]) -> tuple[float, int]:
+        """The sequence of the lowest cost with room for size, or NONE; it is taken out."""
+        at, found = size + self.width, self.least[size + self.width]
+        while at > 1:
+            if not at & 1:  # the ranges of greater capacities
+                found = min(found, self.least[at + 1])
+            at >>= 1
+        if found is not NONE:
+            own = room[found[1]]
+            heapq.heappop(self.heaps[own])
+            self._lift(own)
+        return found
+
+
 def balance(sizes: list[int], capacity: int = SEQUENCE) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (item, start in the item, length); sizes are below or at the capacity."""
     n = -(-sum(sizes) // capacity)
     rows: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-    room = [capacity] * n
-    heap = [(0.0, i) for i in range(n)]
+    room, rooms = [capacity] * n, Rooms(n, capacity)
     for size, item in sorted(((s, i) for i, s in enumerate(sizes)), key=lambda x: (-x[0], x[1])):
         start, left = 0, size
         while left:
-            tried = []
-            while heap and len(tried) < TRIES:
-                entry = heapq.heappop(heap)
-                tried.append(entry)
-                if room[entry[1]] >= left:
-                    break
-            chosen = tried[-1] if room[tried[-1][1]] >= left else tried[0]
+            chosen = rooms.take(left, room)
+            if chosen is NONE:
+                chosen = rooms.take(1, room)
             total, i = chosen
             put = min(left, room[i])
             rows[i].append((item, start, put))
             start, left, room[i] = start + put, left - put, room[i] - put
-            for entry in tried:
-                if entry is not chosen:
-                    heapq.heappush(heap, entry)
             if room[i]:
-                heapq.heappush(heap, (total + cost(put), i))
+                rooms.add(total + cost(put), i, room[i])
     return rows
 
 
