@@ -4,8 +4,9 @@ Each whole text is scanned once. Base findings are leftmost and non-overlapping
 BASE). Besides them, long mixed tokens are candidates. Each candidate is known by a hash of its value, and the hashes
 are aggregated over the corpus: in how many distinct repositories and by how many distinct owners a value occurs. A
 value of WIDELY owners or more is an example that was copied; a value of fewer owners that looks live (entropy, no
-placeholder) is a credential, in however many repositories. Tokens judged so become findings of kind `owned`; base findings stay whatever the
-verdict and are counted by it (n_shared, n_live).
+placeholder) is a credential, in however many repositories. Tokens judged so become findings of kind `owned`; base
+findings stay whatever the verdict and are counted by it: n_shared has those of WIDELY owners or more, n_live the
+live-looking rest, owned tokens among them.
 
 An owner is `source`; a repository is one language's part of a source (`source`/`lang`). Spans are those of the whole
 match, in code points, end exclusive.
@@ -16,7 +17,8 @@ findings (HOT_PARTS rows at most) are broadcast, others are joined by hash, so n
 
 Defined cases: a null text is empty and has no finding; a null source or lang is an owner or part of its own;
 repeated rows each give a row and count once per owner; an empty table gives an empty result; other columns are
-ignored. Of equal texts, each is scanned.
+ignored. Of equal texts, each is scanned. Findings that start at one place come in the order of their kinds. A text of any
+length is scanned and masked whole, in time that follows its length and its findings.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,16 +139,25 @@ def digests(scanned: DataFrame) -> DataFrame:
 MASK = "[SECRET]"
 
 
+def masked(text: str, places: list[int]) -> str:
+    """The text with each span (first, until, first, until, ...), or union of spans that touch or overlap, replaced by
+    MASK; in one pass."""
+    out, at = [], 0
+    for i, (a, b) in enumerate(sorted(zip(places[::2], places[1::2], strict=True))):
+        if a > at or not i:
+            out += [text[at:a], MASK]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
 def masked_text(text: F.Column, spans: F.Column) -> F.Column:
-    """The text with each span, or union of spans that touch or overlap, replaced by MASK."""
-    start = F.struct(F.lit("").alias("out"), F.lit(-1).alias("at"))
+    """Null where there are no spans, and then no text leaves the JVM."""
 
-    def step(done: F.Column, x: F.Column) -> F.Column:
-        at, end = F.greatest(done["at"], F.lit(0)), F.greatest(done["at"], x["until"])
-        new = F.concat(done["out"], F.substring(text, at + 1, x["first"] - at), F.lit(MASK))
-        return F.struct(F.when(x["first"] > done["at"], new).otherwise(done["out"]).alias("out"), end.alias("at"))
+    @F.pandas_udf("string")
+    def kernel(texts: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else masked(t, list(p)) for t, p in zip(texts, places, strict=True)], dtype=object)
 
-    return F.aggregate(F.sort_array(spans), start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return kernel(F.when(spans.isNotNull(), text), F.flatten(F.transform(spans, lambda x: F.array(x["first"], x["until"]))))
 
 
 def mask_secrets(docs: DataFrame, scanned: DataFrame) -> DataFrame:
