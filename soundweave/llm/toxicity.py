@@ -9,14 +9,16 @@ square root of all), through the Nyström map K_mm ** -1/2; a linear machine wit
 margin gives the score. Landmarks that are in toxic rows only are added to the training rows alone and with a letter
 inserted.
 
-Training uses labelled rows with crc32(doc_id as text) mod 5 not 0, at most TRAIN_ROWS of them by order of a hash (the
-documented bound); words are counted by the executors, and the driver gets TOP words and the rows' landmark features.
+Training uses labelled rows with crc32(doc_id as text) mod 5 not 0, at most TRAIN_ROWS of them by order of a hash, half of
+either class where both have enough (the documented bound); words are counted by the executors, and the driver gets TOP words and the rows' landmark features.
 Scoring reads each whole text once, without a shuffle; of a word, an upper bound of its kernel with any landmark is
 looked up first, and the exact kernel is computed only where the bound is over LEAST.
 
 Defined cases: a null or empty text has no word and scores like one without insults; labels that are null don't count,
 of several for one doc_id the largest does, and of several texts for one the least is learned from; without both labels every score is 0; a null doc_id is not held out;
-repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
+repeated rows each give a row; an empty table gives an empty result; other columns are ignored; words that tell the classes
+apart equally well are taken in order of their letters; a text of any length is read whole, and its distinct words are
+looked at 4096 at a time.
 """
 
 from __future__ import annotations
@@ -239,14 +241,15 @@ def fit_machine(x: np.ndarray, y: np.ndarray, reg: float = 3e-4, steps: int = 60
     return w[:-1], float(w[-1])
 
 
-def fit_logistic(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """(slope, offset) of the logistic curve through labels 0 and 1, by Newton steps with a little shrinkage."""
+def fit_logistic(margin: np.ndarray, y: np.ndarray, heavy: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """(slope, offset) of the logistic curve through labels 0 and 1 of these weights, by Newton steps with a little
+    shrinkage."""
     a, b = 1.0, 0.0
     x = np.column_stack([margin, np.ones(len(margin))])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ [a, b], -30, 30)))
-        grad = x.T @ (p - y) + 1e-2 * np.array([a - 1, b])
-        hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-2 * np.eye(2)
+        grad = x.T @ (heavy * (p - y)) + 1e-2 * np.array([a - 1, b])
+        hess = (x * (heavy * (p * (1 - p) + 1e-6))[:, None]).T @ x + 1e-2 * np.eye(2)
         a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
     return float(a), float(b)
 
@@ -254,7 +257,9 @@ def fit_logistic(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[fl
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = columns(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("toxic in (0, 1) and id is not null").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    labelled = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    first = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(n)
+    sample = first(0, max(rows // 2, rows - labelled.get(1, 0))).unionByName(first(1, max(rows - rows // 2, rows - labelled.get(0, 0))))
     plain = documents(docs)
     rows_of = plain.join(F.broadcast(sample), plain["doc_id"] == sample["id"])  # rows many at most
     chosen = stage(rows_of.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))  # one row a doc_id
@@ -293,8 +298,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     nystrom = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
     both = np.kron(np.eye(PARTS), nystrom)
     w, b = fit_machine(x @ both, np.where(y == 1, 1.0, -1.0))
-    own = slice(0, len(got))  # the rows themselves
-    slope, offset = fit_logistic((x[own] @ both) @ w + b, y[own])
+    own = slice(0, len(got))  # the rows themselves, each class as heavy as among all labels
+    heavy = np.where(y[own] == 1, labelled[1] / n1, labelled[0] / n0)
+    slope, offset = fit_logistic((x[own] @ both) @ w + b, y[own], heavy * len(got) / heavy.sum())
     return Model(model.landmarks, slope * (both @ w), slope * b + offset)
 
 
@@ -312,28 +318,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 _models: dict = {}
 
 
-def _sent(spark, model: Model) -> tuple[str, object]:
-    return uuid.uuid4().hex, spark.sparkContext.broadcast((model.landmarks, model.weights, model.bias))
-
-
-def _model(sent: tuple[str, object]) -> Model:
-    """The broadcast model, prepared once a worker."""
-    name, value = sent
-    if name not in _models:
-        _models.clear()
-        _models[name] = Model(*value.value)
-    return _models[name]
-
-
-def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, that aren't predicted to be toxic; no shuffle."""
-    sent = _sent(docs.sparkSession, model)
-    return filter_rows(docs, lambda raws: (_model(sent).scores(raws) < 0.5).tolist())
-
-
-_models: dict = {}
-
-
 def _sent(spark, model: Model) -> tuple[str, object]:
     return uuid.uuid4().hex, spark.sparkContext.broadcast((model.landmarks, model.weights, model.bias))
 
