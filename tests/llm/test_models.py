@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -168,6 +169,49 @@ def test_bound_never_hides_a_near_word(model):
     assert want <= set(model.near(words))
 
 
+def slow_vector(word):
+    """Every three letters in order, the beginning of the word being one, that span six places at most."""
+    line = [toxicity.BEGIN] + [c - toxicity.SHIFT for c in word]
+    out = Counter()
+    for a, b, c in combinations(range(len(line)), 3):
+        if c - a < toxicity.SPAN:
+            out[line[a], line[b], line[c]] += toxicity.DECAY ** (c - a - 2)
+    length = sum(v * v for v in out.values()) ** 0.5
+    return {k: v / length for k, v in out.items()}
+
+
+def slow_kernel(a, b):
+    x, y = slow_vector(a), slow_vector(b)
+    return sum(v * y.get(k, 0) for k, v in x.items())
+
+
+def test_kernel_is_that_of_enumerated_triples():
+    words = [w for text in (b"idiot idxiot i.d.i.o.t garden aaaaaa pathetic moron abcabcabcabc oto", "né été naïveté".encode()) for w in toxicity.words_of(text)]
+    assert np.allclose(toxicity.kernel(words, toxicity.dense(words)), [[slow_kernel(a, b) for b in words] for a in words], atol=1e-5)
+
+
+def test_scores_are_those_of_the_enumerated_kernel(model):
+    for text in (b"you idiot label nurse", b"agent moron scum! idxiot garden", b"label nurse agent ground", b"x", b""):
+        words, m = sorted(set(toxicity.words_of(text))), len(model.landmarks)
+        k = np.array([[slow_kernel(w, v) for v in model.landmarks] for w in words]).reshape(-1, m)
+        k = k[(k > toxicity.LEAST).any(axis=1)]
+        x = np.zeros(3 * m)
+        if len(k):
+            over = np.clip((k - toxicity.LEAST) / (toxicity.SURE - toxicity.LEAST), 0, 1)
+            x = np.concatenate([over.max(axis=0), np.clip((k.max(axis=0) - toxicity.SAME) / (1 - toxicity.SAME), 0, 1), over.sum(axis=0) / np.sqrt(max(len(words), toxicity.FEW))])
+        assert abs(model.scores([text])[0] - 1 / (1 + np.exp(-(x @ model.weights + model.bias)))) < 1e-3
+
+
+def test_a_rare_class_fills_half_of_the_sample(spark):
+    rows = [r for r in labelled(900) if not r[2] or r[0] % 9 == 0]
+    few = [(d, t) for d, _, t in rows]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = toxicity.train(docs, spark.createDataFrame(few, "doc_id long, toxic int"), 200)
+    assert len(got.landmarks) >= 2
+    scores = got.scores([t.encode() for _, t, _ in rows])
+    assert scores[[i for i, (_, t) in enumerate(few) if t]].mean() > scores[[i for i, (_, t) in enumerate(few) if not t]].mean()
+
+
 def test_kernel_is_normalised_and_symmetric():
     words = [toxicity.words_of(w)[0] for w in (b"idiot", b"idxiot", b"garden", b"aaaaaa")]
     values = toxicity.kernel(words, toxicity.dense(words))

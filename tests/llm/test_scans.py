@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -106,6 +107,16 @@ def test_secrets_cases(spark):
     assert secrets.digests(secrets.scan_secrets(empty(spark))).count() == 0
 
 
+def test_masking_many_findings_takes_one_pass(spark):
+    text = " ".join(f"token={i:012d}" for i in range(50_000))
+    docs = frame(spark, [(1, text), (2, "plain")])
+    start = time.time()
+    got = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(docs, secrets.scan_secrets(docs)).collect()}
+    assert got == {1: " ".join(["[SECRET]"] * 50_000), 2: "plain"}
+    assert time.time() - start < 30
+    assert secrets.masked("abcdefgh", [5, 6, 0, 2, 1, 3, 3, 4]) == "[SECRET]e[SECRET]gh"
+
+
 def test_masking_keeps_the_rest(spark):
     docs = frame(spark, [(1, "a password=hunter2hunter2 b"), (2, "plain"), (3, None), (None, "token: abcdefghijk!"), (1, "a password=hunter2hunter2 b")])
     out = secrets.mask_secrets(docs, secrets.scan_secrets(docs))
@@ -151,12 +162,43 @@ def test_contamination_matches_brute_force(spark):
     assert sort([(r[0],) for r in clean.collect()]) == sort([(w[0],) for w in want if not w[5]])
 
 
-def test_contamination_in_blocks_and_empty_tables(spark):
-    items = spark.createDataFrame([(i, f"word{i} other{i} third{i}") for i in range(50)], "item_id long, text string")
-    assert len(list(decontaminate.blocks(items, 200))) > 5
+def test_passes_together_are_the_whole_benchmark(spark):
+    rows = texts()
+    long = next(t for d, t in rows if d == 304)
+    items = [(i, " ".join(long.split()[40 * i : 40 * i + 55])) for i in range(40)] + [(50 + i, (t or "")[:90]) for i, (d, t) in enumerate(rows[:12])] + [(90, "ha ha"), (91, None), (None, "ha ha ha")]
+    docs = rows + [(801, " ".join(long.split()[35:300])), (802, " ".join(long.split()[41:49]))]
+    benchmark = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, other int").toDF("item_id", "text", "Text")
+    for most in (100, 1000):
+        assert len(list(decontaminate.passes(benchmark, most))) > 1000 // most
+        got = decontaminate.contamination(frame(spark, docs), benchmark, most)
+        one = decontaminate.contamination(frame(spark, docs), benchmark)
+        assert sort(got.drop("spans").collect()) == sort(brute_contamination(docs, items))
+        assert sort(got.select("doc_id", "spans").collect()) == sort(one.select("doc_id", "spans").collect())
+        kept = decontaminate.uncontaminated(frame(spark, docs), benchmark, most)
+        assert sort(kept.collect()) == sort(decontaminate.uncontaminated(frame(spark, docs), benchmark).collect())
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in decontaminate.contamination(frame(spark, [(1, "a b c")]), none).collect()] == [0]
-    assert decontaminate.contamination(empty(spark), items).count() == 0
+    assert decontaminate.contamination(empty(spark), benchmark).count() == 0
+
+
+def test_a_scanner_is_built_once_and_costs_nothing_more():
+    rng = np.random.default_rng(0)
+    items = [(str(i), b" ".join(b"w%d" % k for k in rng.integers(0, 5000, 12))) for i in range(50_000)]
+    sent = ("test", type("Sent", (), {"value": items}))
+    first = decontaminate._scanner(sent)
+    words = [b"v%d" % i for i in range(200)]
+    few = decontaminate.Scanner(items[:5])
+
+    def seconds(scanner):
+        start = time.thread_time()
+        for _ in range(1000):
+            assert decontaminate._scanner(sent) is first
+            scanner.scan(words)
+        return time.thread_time() - start
+
+    assert min(seconds(first) for _ in range(3)) < 3 * min(seconds(few) for _ in range(3)) + 0.05  # 0.05 ms a document
+    assert first.scan(items[7][1].split()) == ([(0, 12)], {"7"})
+    decontaminate._scanners.clear()
 
 
 def test_offsets_lead_back_to_the_original():
@@ -280,6 +322,29 @@ def test_balance_fills_sequences(sizes):
     assert all(sum(n for *_, n in row) <= 1024 for row in rows)
 
 
+def slow_balance(sizes, capacity=1024):
+    """Every sequence is looked at for every piece."""
+    n = -(-sum(sizes) // capacity)
+    rows, room, cost = [[] for _ in range(n)], [capacity] * n, [0.0] * n
+    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        start, left = 0, sizes[item]
+        while left:
+            fits = [i for i in range(n) if room[i] >= left] or [i for i in range(n) if room[i]]
+            i = min(fits, key=lambda i: (cost[i], i))
+            put = min(left, room[i])
+            rows[i].append((item, start, put))
+            start, left, room[i], cost[i] = start + put, left - put, room[i] - put, cost[i] + packing.cost(put)
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_each_piece_goes_to_the_lowest_cost_with_room(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, [1025, 40, 700, 1025, 3, 300][seed], 150).tolist() + [5] * 20
+    assert packing.balance(sizes) == slow_balance(sizes)
+    assert packing.balance(sizes, 37 * 30) == slow_balance(sizes, 37 * 30)
+
+
 def test_costs_are_balanced():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 1024, 3000).tolist()
