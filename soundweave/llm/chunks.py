@@ -5,11 +5,17 @@ chunks. In an exchange every chunk sends its distinct keys in sorted order to sh
 a shard answers each message with a bit for every key in its order. Keys are distinct within a chunk, so a key that a
 third of all documents hold reaches its shard once a chunk; the number of shards grows with the input, so a shard's
 size doesn't.
+
+A chunk sends FAN messages at most. Where there are more shards than that, it sends to FAN ranges, and of each range the
+messages of about FAN chunks are merged (equal keys become one) before they go on to the shards, FAN messages at most for
+each merger again; answers come back the same way. So the number of messages is 2 * FAN a chunk at most, in proportion to
+the input at any size, and a key that every chunk holds reaches its shard once a merger, not once a chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +27,26 @@ from pyspark.sql import functions as F
 from .common import documents, groups, stage
 
 CHUNK_BYTES = 4 << 20
+FAN = 1024
 NULL_ID = np.int64(2**63 - 1)  # a null doc_id is larger than any other
 
 MESSAGE = "shard long, chunk long, blob binary"
 ANSWER = "chunk long, kind int, shard long, blob binary"
 
 
+_compressors: dict[int, zstandard.ZstdCompressor] = {}  # one of each level for all messages of a worker
+
+
 def compress(data: bytes, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level).compress(data)
+    if level not in _compressors:
+        _compressors[level] = zstandard.ZstdCompressor(level)
+    return _compressors[level].compress(data)
 
 
 def expand(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    if -1 not in _compressors:
+        _compressors[-1] = zstandard.ZstdDecompressor()
+    return _compressors[-1].decompress(data)
 
 
 def compressed(array: np.ndarray) -> bytes:
@@ -111,6 +125,62 @@ def answers(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]], k
     return stage(messages.groupBy("shard").applyInArrow(run, ANSWER))
 
 
+class Exchange(Protocol):
+    """What is exchanged: a table is what a message holds, or what several hold together."""
+
+    def read(self, blob: bytes) -> Any: ...
+
+    def merge(self, tables: list) -> tuple[Any, list[np.ndarray]]:
+        """One table of the distinct entries in order, and the place in it of each entry of each table."""
+
+    def messages(self, table: Any, row: int, shards: int) -> Iterator[tuple[int, bytes]]:
+        """(shard, blob); the shards of a row of exchanges are numbered from row * shards on."""
+
+    def judge(self, blobs: list[bytes]) -> list[bytes]:
+        """What a shard answers to each of its messages."""
+
+    def told(self, table: Any, row: int, shards: int, own: dict[int, bytes]) -> Any:
+        """The answers to the messages of a table, put together."""
+
+    def passed(self, table: Any, merged: Any, place: np.ndarray, told: Any) -> bytes:
+        """The answer to one table, of what was told to the merged one."""
+
+
+def exchanged(messages: DataFrame, work: Exchange, kind: int, shards: int, chunks: int, fan: int = FAN) -> DataFrame:
+    """ANSWER rows, staged, to messages for min(shards, fan) ranges (of each row of exchanges)."""
+    if shards <= fan:
+        return answers(messages, work.judge, kind)
+    mergers = -(-chunks // fan)
+    spark = messages.sparkSession
+    messages = stage(messages.withColumn("merger", F.col("shard") * mergers + F.pmod(F.xxhash64("chunk"), F.lit(mergers))))
+
+    def read(table: pa.Table) -> tuple[int, list, Any, list[np.ndarray]]:
+        tables = [work.read(b) for b in table.column("blob").to_pylist()]
+        return table.column("shard")[0].as_py() // fan, tables, *work.merge(tables)
+
+    def up(table: pa.Table) -> pa.Table:
+        row, _, merged, _ = read(table)
+        made = list(work.messages(merged, row, shards))
+        merger = table.column("merger")[0].as_py()
+        return pa.table([pa.array([s for s, _ in made], pa.int64()), pa.array([merger] * len(made), pa.int64()), pa.array([b for _, b in made], pa.binary())], names=["shard", "chunk", "blob"])
+
+    above = answers(messages.groupBy("merger").applyInArrow(up, MESSAGE), work.judge, kind)
+
+    def down(table: pa.Table, found: pa.Table) -> pa.Table:
+        row, tables, merged, places = read(table)
+        told = work.told(merged, row, shards, dict(zip(found.column("shard").to_pylist(), found.column("blob").to_pylist(), strict=True)))
+        blobs = [work.passed(t, merged, p, told) for t, p in zip(tables, places, strict=True)]
+        return pa.table([table.column("chunk").cast(pa.int64()), pa.array([kind] * len(blobs), pa.int32()), table.column("shard").cast(pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "kind", "shard", "blob"])
+
+    return stage(messages.groupBy("merger").cogroup(above.withColumnRenamed("chunk", "merger").groupBy("merger")).applyInArrow(down, ANSWER))
+
+
+def told_bits(keys: np.ndarray, row: int, shards: int, width: int, own: dict[int, bytes]) -> np.ndarray:
+    """The bits for sorted keys below 2**width, one a key, from the answers of their shards."""
+    owners, cuts = bounds(keys, shards, width)
+    return np.concatenate([np.zeros(0, bool), *[flags(own[row * shards + s], b - a) for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]])
+
+
 def with_answers(chunks: DataFrame, found: DataFrame, work: Callable[[int, bytes, dict[tuple[int, int], bytes]], dict], schema: str, arrow: pa.Schema) -> DataFrame:
     """work gets (chunk, payload, answers by kind and shard) and returns the columns of the schema."""
 
@@ -156,21 +226,39 @@ def read_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(expanded(parts[0], np.uint64), dtype=np.uint64), expanded(parts[1], np.uint32), expanded(parts[2], np.int64)
 
 
-def smaller_elsewhere(blobs: list[bytes]) -> list[bytes]:
-    """For each key of each message whether another message has it with a smaller doc_id."""
-    read = [read_keys(b) for b in blobs]
-    keys, check, least = (np.concatenate([r[i] for r in read]) for i in range(3))
-    order = np.lexsort((least, check, keys))
-    new = np.append(True, (keys[order][1:] != keys[order][:-1]) | (check[order][1:] != check[order][:-1]))
-    first = least[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.empty(len(keys), bool)
-    out[order] = first < least[order]
-    cuts = np.cumsum([len(r[0]) for r in read])[:-1]
-    return [bits(x) for x in np.split(out, cuts)]
+class Least:
+    """The exchange of (keys, checks, least doc_ids): whether another message has a key with a smaller doc_id."""
+
+    read = staticmethod(read_keys)
+
+    def merge(self, tables: list) -> tuple[tuple, list[np.ndarray]]:
+        keys, check, least = (np.concatenate([t[i] for t in tables]) for i in range(3))
+        order = np.lexsort((least, check, keys))
+        k, c = keys[order], check[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))[: len(k)]
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return (k[new], c[new], least[order][new]), np.split(place, np.cumsum([len(t[0]) for t in tables])[:-1])
+
+    def messages(self, table: tuple, row: int, shards: int) -> Iterator[tuple[int, bytes]]:
+        return key_messages(*table, shards)
+
+    def judge(self, blobs: list[bytes]) -> list[bytes]:
+        tables = [read_keys(b) for b in blobs]
+        merged, places = self.merge(tables)
+        return [bits(merged[2][p] < t[2]) for t, p in zip(tables, places, strict=True)]
+
+    def told(self, table: tuple, row: int, shards: int, own: dict[int, bytes]) -> np.ndarray:
+        return told_bits(table[0], row, shards, 64, own)
+
+    def passed(self, table: tuple, merged: tuple, place: np.ndarray, told: np.ndarray) -> bytes:
+        return bits(told[place] | (merged[2][place] < table[2]))
 
 
-def total(chunks: DataFrame) -> int:
-    return chunks.agg(F.sum("size")).first()[0] or 0
+def total(chunks: DataFrame) -> tuple[int, int]:
+    """(chunks, bytes)"""
+    n, size = chunks.agg(F.count("chunk"), F.sum("size")).first()
+    return n, size or 0
 
 
 # Rolling hashes ----------------------------------------------------------------------------------------------------

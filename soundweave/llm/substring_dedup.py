@@ -11,7 +11,8 @@ every word of the input and is split over shards in proportion, so no machine ho
 false estimates (about 5 %) is the same at every size.
 
 Second pass: only windows estimated to be repeated are grouped exactly, by 96 bits of two independent rolling hashes of
-64-bit word hashes; a shard finds each window's least doc_id. Third pass: each chunk removes the words covered by
+64-bit word hashes; a shard finds each window's least doc_id. Two of n different windows agree in all 96 bits with odds of
+n * n / 2**97 (for 10**12 windows 1 in 150,000); no words are compared. Third pass: each chunk removes the words covered by
 windows that have a smaller doc_id, in its own documents or elsewhere.
 
 Defined cases: a null text has no words; fewer words than a window never repeat; a null doc_id is larger than all
@@ -22,13 +23,14 @@ empty result; other columns are ignored. Texts are processed whole.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import MESSAGE, answers, bits, bounds, chunked, compressed, expanded, flags, key_messages, mix, order_ids, prefix_hash, smaller_elsewhere, total, unpack, window_hash, with_answers
+from .chunks import FAN, MESSAGE, Least, bits, bounds, chunked, compressed, exchanged, expanded, flags, key_messages, mix, order_ids, prefix_hash, told_bits, total, unpack, window_hash, with_answers
 from .common import arrow_schema, map_groups
 
 WINDOW = 50
@@ -87,25 +89,50 @@ def sketch(key: np.ndarray, row: int, width: int) -> tuple[np.ndarray, np.ndarra
     return found, counts > 1, place
 
 
-def merged(blobs: list[bytes]) -> list[bytes]:
-    """The sum of the sketches of a shard's range; for each message which of its cells hold 2 or more."""
-    read = []
-    for blob in blobs:
+def sketch_message(cells: np.ndarray, many: np.ndarray) -> bytes:
+    packed = compressed(np.diff(cells, prepend=cells[0]).astype(np.uint64))
+    return np.array([len(packed), cells[0]], np.int64).tobytes() + packed + bits(many)
+
+
+class Cells:
+    """The exchange of a sketch's rows: cells in order and whether each holds 2 or more. Sketches are merged by adding them
+    up, and the answer is which cells hold 2 or more in all."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def read(self, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         size, first = np.frombuffer(blob[:16], np.int64).tolist()
-        found = np.cumsum(expanded(blob[16 : 16 + size], np.uint32), dtype=np.uint64) + np.uint64(first)
-        read.append((found, flags(blob[16 + size :], len(found))))
-    every = np.concatenate([r[0] for r in read])
-    many = np.concatenate([r[1] for r in read])
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    same = ranked[1:] == ranked[:-1]
-    hot = many.copy()
-    hot[order] |= np.append(False, same) | np.append(same, False)
-    new = np.append(True, ~same)  # a cell that is 2 in one message is so in all
-    any_many = np.bitwise_or.reduceat(many[order], np.flatnonzero(new))[np.cumsum(new) - 1] if len(every) else many
-    hot[order] |= any_many
-    cuts = np.cumsum([len(r[0]) for r in read])[:-1]
-    return [bits(x) for x in np.split(hot, cuts)]
+        found = np.cumsum(expanded(blob[16 : 16 + size], np.uint64), dtype=np.uint64) + np.uint64(first)
+        return found, flags(blob[16 + size :], len(found))
+
+    def merge(self, tables: list) -> tuple[tuple, list[np.ndarray]]:
+        every, many = (np.concatenate([t[i] for t in tables]) for i in range(2))
+        order = np.argsort(every, kind="stable")
+        ranked = every[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+        place = np.empty(len(every), np.int64)
+        place[order] = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        hot = np.diff(np.append(start, len(ranked))) > 1
+        if len(start):
+            hot |= np.bitwise_or.reduceat(many[order], start)
+        return (ranked[new], hot), np.split(place, np.cumsum([len(t[0]) for t in tables])[:-1])
+
+    def messages(self, table: tuple, row: int, shards: int) -> Iterator[tuple[int, bytes]]:
+        owners, cuts = bounds(table[0], shards, self.width)
+        for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield row * shards + s, sketch_message(table[0][a:b], table[1][a:b])
+
+    def judge(self, blobs: list[bytes]) -> list[bytes]:
+        (_, hot), places = self.merge([self.read(b) for b in blobs])
+        return [bits(hot[p]) for p in places]
+
+    def told(self, table: tuple, row: int, shards: int, own: dict[int, bytes]) -> np.ndarray:
+        return told_bits(table[0], row, shards, self.width, own)
+
+    def passed(self, table: tuple, merged: tuple, place: np.ndarray, told: np.ndarray) -> bytes:
+        return bits((told | merged[1])[place])
 
 
 def estimated(chunk: Chunk, own: dict[tuple[int, int], bytes], width: int, shards: int) -> np.ndarray:
@@ -113,9 +140,7 @@ def estimated(chunk: Chunk, own: dict[tuple[int, int], bytes], width: int, shard
     out = np.ones(len(chunk.key), bool)
     for row in range(DEPTH):
         found, _, place = sketch(chunk.key, row, width)
-        owners, cuts = bounds(found, shards, width)
-        hot = [flags(own[row, row * shards + s], b - a) for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        out &= np.concatenate([np.zeros(0, bool), *hot])[place]
+        out &= told_bits(found, row, shards, width, {s: b for (k, s), b in own.items() if k == row})[place]
     return np.flatnonzero(out)
 
 
@@ -134,8 +159,7 @@ def removed(chunk: Chunk, own: dict[tuple[int, int], bytes], width: int, shards:
     """The windows that a smaller doc_id has too."""
     picked = estimated(chunk, own, width, shards)
     keys, _, least, place = local(chunk, picked)
-    owners, cuts = bounds(keys, shards, 64)
-    smaller = np.concatenate([np.zeros(0, bool), *[flags(own[DEPTH, s], b - a) for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]])
+    smaller = told_bits(keys, 0, shards, 64, {s: b for (k, s), b in own.items() if k == DEPTH})
     return picked[smaller[place] | (least[place] < order_ids(chunk.ids)[chunk.doc[picked]])]
 
 
@@ -147,44 +171,43 @@ def covered(starts: np.ndarray, n: int, size: int = WINDOW) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, fan: int = FAN, cells_a_shard: int = SHARD_CELLS) -> DataFrame:
     """SCHEMA, and kept string: the words that stay, joined by one space."""
     spark = docs.sparkSession
     chunks = chunked(docs)
-    words = max(1, total(chunks) // 4)  # more than prose has; an error here changes sizes, never results
+    n_chunks, size = total(chunks)
+    words = max(1, size // 4)  # more than prose has; an error here changes sizes, never results
     width = max(16, (4 * words - 1).bit_length())
-    shards = max(1, -(-words // SHARD_CELLS))
+    shards = min(max(1, -(-words // cells_a_shard)), fan * fan)
+    ranges, work = min(shards, fan), Cells(width)
 
     def send_sketch(batch) -> dict:
         out = {"shard": [], "chunk": [], "blob": []}
         for number, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist(), strict=True):
             chunk = Chunk(payload)
             for row in range(DEPTH):
-                found, many, _ = sketch(chunk.key, row, width)
-                owners, cuts = bounds(found, shards, width)
-                for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    packed = compressed(np.diff(found[a:b], prepend=found[a]).astype(np.uint32))
-                    out["shard"].append(row * shards + s)
+                for s, blob in work.messages(sketch(chunk.key, row, width)[:2], row, ranges):
+                    out["shard"].append(s)
                     out["chunk"].append(number)
-                    out["blob"].append(np.array([len(packed), found[a]], np.int64).tobytes() + packed + bits(many[a:b]))
+                    out["blob"].append(blob)
         return out
 
     sent = map_groups(chunks.select("chunk", "payload"), send_sketch, MESSAGE, "payload", 1)
     # A sketch row is a kind of answer of its own.
-    estimates = answers(sent, merged, 0).withColumn("kind", F.floor(F.col("shard") / shards).cast("int"))
+    estimates = exchanged(sent, work, 0, shards, n_chunks, fan).withColumn("kind", F.floor(F.col("shard") / ranges).cast("int"))
     estimates = estimates.select("chunk", "kind", "shard", "blob")
 
     def send_keys(number: int, payload: bytes, own: dict) -> dict:
         chunk = Chunk(payload)
-        keys, check, least, _ = local(chunk, estimated(chunk, own, width, shards))
-        made = list(key_messages(keys, check, least, shards))
+        keys, check, least, _ = local(chunk, estimated(chunk, own, width, ranges))
+        made = list(key_messages(keys, check, least, ranges))
         return {"shard": [s for s, _ in made], "chunk": [number] * len(made), "blob": [b for _, b in made]}
 
-    exact = answers(with_answers(chunks, estimates, send_keys, MESSAGE, arrow_schema(spark, MESSAGE)), smaller_elsewhere, DEPTH)
+    exact = exchanged(with_answers(chunks, estimates, send_keys, MESSAGE, arrow_schema(spark, MESSAGE)), Least(), DEPTH, shards, n_chunks, fan)
 
     def finish(number: int, payload: bytes, own: dict) -> dict:
         chunk = Chunk(payload, keep_words=True)
-        gone = covered(chunk.starts[removed(chunk, own, width, shards)], sum(chunk.sizes))
+        gone = covered(chunk.starts[removed(chunk, own, width, ranges)], sum(chunk.sizes))
         out = {"doc_id": chunk.ids, "n_words": chunk.sizes, "n_removed": [], "kept_sha256": [], "kept": []}
         at = 0
         for words in chunk.words:

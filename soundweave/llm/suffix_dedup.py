@@ -6,16 +6,18 @@ doc_id. Every document byte may start such a string, so only suffixes that can m
 1. A string's anchor is the least hash of the GRAM-byte substrings in it; equal strings have equal anchors. Chunks of
    documents send their distinct anchors to shards, which answer which of them occur in two documents or more.
 2. Consecutive strings with one anchor are a run. Each chunk sends the bytes of its distinct runs with such an anchor,
-   and their least doc_id, to the anchor's shard. Of equal runs there the least doc_id decides. All suffixes of
-   different runs with one anchor are sorted: by their first 8 bytes as a number, and those that share them by a merge
-   sort whose comparison finds the common extension of two suffixes by binary search over prefix polynomial hashes, in
-   log2(SIZE) steps at most, and then looks at one byte. Neighbours with one hash over SIZE bytes are equal strings;
-   this is verified byte by byte, and a group in which a collision shows is sorted by its bytes instead. Each string
-   gets the least doc_id of its equals.
+   and their least doc_id, to the anchor's shard. Runs with equal hashes are compared byte by byte; of equal ones the least
+   doc_id decides. All suffixes of different runs with one anchor are sorted: by their first 8 bytes as a number, and those
+   that share them by a merge sort whose comparison finds the common extension of two suffixes by binary search over prefix
+   polynomial hashes, in log2(SIZE) steps at most, and then looks at one byte. Neighbours with one hash over SIZE bytes are
+   equal strings; this is verified byte by byte, and a group in which a collision shows is sorted by its bytes instead. Each
+   string gets the least doc_id of its equals.
 3. Each chunk removes the strings that a smaller doc_id has.
 
-Anchors of HOT chunks or more would bring too much to one shard; the strings of their runs are exchanged by 96-bit
-hashes instead, which spread evenly (and of which a chunk sends each once). Nothing is dropped on either way.
+An anchor that HOT chunks or more have would bring too much to one shard. Its runs are cut where a second anchor, the least
+by another hash, changes; both together are the anchor of what is left. Equal strings have equal second anchors as well,
+so nothing is lost, and strings in different surroundings go to different shards. Copies of one run are merged before they
+go on wherever there are many shards (see chunks).
 
 Defined cases: a null text is empty; texts below SIZE bytes stay whole; a null doc_id is larger than all others; rows of
 one doc_id are judged against smaller ids only; matches never cross documents; an empty table gives an empty result;
@@ -25,23 +27,25 @@ other columns are ignored. Texts are processed whole.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import MESSAGE, answers, bits, bounds, chunked, compress, compressed, expand, expanded, flags, key_messages, mix, order_ids, powers, prefix_hash, smaller_elsewhere, spread, total, unpack, with_answers
+from .chunks import FAN, MESSAGE, bits, bounds, chunked, compress, compressed, exchanged, expand, expanded, flags, mix, order_ids, powers, prefix_hash, spread, told_bits, total, unpack, with_answers
 from .common import arrow_schema, map_groups
 
 SIZE, GRAM = 50, 16
 ANCHOR_BITS = 40
-HOT = 2048
+HOT = 32
 LONG = 2 * (SIZE - GRAM)  # a run of more strings repeats its anchor
 CHUNK = 2 << 20
 SHARD_BYTES = 4 << 20  # of text for each shard
 BLOCK_BYTES = 1 << 19  # hashed at once
 BASE, BASE_CHECK = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
-REPEATED, OFTEN, RUNS, STRINGS = range(4)  # kinds of answers
+REPEATED, RUNS = range(2)  # kinds of answers
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -104,38 +108,76 @@ class Chunk:
         np.maximum.at(high, place, self.doc)
         return found, low != high, place
 
-    def marked(self, own: dict[tuple[int, int], bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each run whether its anchor is repeated, and whether it is often."""
+    def runs(self, own: dict[tuple[int, int], bytes], ranges: int) -> Runs:
+        """The runs whose anchor is repeated, in order of their starts; those of an anchor that is often are cut up."""
         found, _, place = self.distinct_anchors()
-        owners, cuts = bounds(found, shards, ANCHOR_BITS)
-        none = [np.zeros(0, bool)]
-        both = [np.concatenate(none + [flags(own[k, s], b - a) for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]) for k in (REPEATED, OFTEN)]
-        return both[0][place], both[1][place]
-
-    def classes(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the picked runs: (one of each distinct run with the least doc_id, in order of anchor and hash; the least
-        doc_id of each; each picked run's place among them)."""
-        hashes = hashes_of(self.text, self.start[picked], self.count[picked] + SIZE - 1)
-        order = np.lexsort((self.order[self.doc[picked]], self.count[picked], hashes[1], hashes[0], self.anchor[picked]))
-        columns = [x[order] for x in (self.anchor[picked], *hashes, self.count[picked])]
-        new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) if len(order) else np.zeros(0, bool)
+        told = ANCHORS.told((found, None), 0, ranges, {s: b for (k, s), b in own.items() if k == REPEATED})
+        repeated, often = told[0][place], told[1][place]
+        start, count, anchor, doc = (x[repeated] for x in (self.start, self.count, self.anchor, self.doc))
+        if often.any():
+            cut = often[repeated]
+            second = least_in_windows(mix(gram_hashes(self.text) ^ np.uint64(BASE)), SIZE - GRAM + 1)
+            at, of = spread(start[cut], count[cut]), np.repeat(np.flatnonzero(cut), count[cut])
+            new = np.append(True, (of[1:] != of[:-1]) | (second[at][1:] != second[at][:-1]))
+            fresh, size = at[new], np.diff(np.append(np.flatnonzero(new), len(at)))
+            both = mix(anchor[of[new]] ^ second[fresh]) >> np.uint64(64 - ANCHOR_BITS)
+            start, count, anchor, doc = (np.concatenate(x) for x in ((start[~cut], fresh), (count[~cut], size), (anchor[~cut], both), (doc[~cut], doc[of[new]])))
+            order = np.argsort(start)
+            start, count, anchor, doc = (x[order] for x in (start, count, anchor, doc))
+        return Runs(self.text, start, count, anchor, self.order[doc])
+
+
+@dataclass
+class Runs:
+    """Runs of a text, in order of their starts: count[i] strings from start[i] on, with their anchor and doc_id."""
+
+    text: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    anchor: np.ndarray
+    doc: np.ndarray
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(one of each distinct run with the least doc_id, in order of anchor; each run's place among them). Equal hashes
+        are verified byte by byte; a run that differs is a class of its own."""
+        length = self.count + SIZE - 1
+        hashes = hashes_of(self.text, self.start, length)
+        order = np.lexsort((self.doc, length, hashes[1], hashes[0], self.anchor))
+        columns = [x[order] for x in (self.anchor, *hashes, length)]
+        new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))[: len(order)]
+        group = np.cumsum(new) - 1
+        chosen = order[new]
+        differs = ~self.same(order, chosen[group])
+        if differs.any():
+            group[differs] = len(chosen) + np.arange(int(differs.sum()))
+            chosen = np.append(chosen, order[differs])
+            by = np.argsort(self.anchor[chosen], kind="stable")
+            back = np.empty(len(by), np.int64)
+            back[by] = np.arange(len(by))
+            chosen, group = chosen[by], back[group]
         place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        chosen = picked[order[new]]
-        return chosen, self.order[self.doc[chosen]], place
-
-    def strings(self, picked: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the strings in the picked runs: (keys, checks and least doc_ids of distinct ones in order; starts; places)."""
-        starts = spread(self.start[picked], self.count[picked])
-        ids = np.repeat(self.order[self.doc[picked]], self.count[picked])
-        key, check = hashes_of(self.text, starts, np.full(len(starts), SIZE))
-        check = (check >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((ids, check, key))
-        k, c = key[order], check[order]
-        new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(k) else np.zeros(0, bool)
-        place = np.empty(len(k), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return k[new], c[new], ids[order][new], starts, place, ids
+        place[order] = group
+        return chosen, place
+
+    def same(self, x: np.ndarray, y: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+        """Whether runs x and y, which are of one length, have the same bytes."""
+        out = np.ones(len(x), bool)
+        some = np.flatnonzero(x != y)
+        length = self.count[x[some]] + SIZE - 1
+        ends = np.cumsum(length)
+        i = 0
+        while i < len(some):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - length[i] + step, "right")))
+            n = length[i:j]
+            equal = self.text[spread(self.start[x[some[i:j]]], n)] == self.text[spread(self.start[y[some[i:j]]], n)]
+            out[some[i:j]] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+            i = j
+        return out
+
+    def taken(self, chosen: np.ndarray, texts: bool = True) -> Runs:
+        """Those runs, with a text of their own (or none)."""
+        length = self.count[chosen] + SIZE - 1
+        return Runs(self.text[spread(self.start[chosen], length)] if texts else self.text[:0], np.cumsum(length) - length, self.count[chosen], self.anchor[chosen], self.doc[chosen])
 
 
 def hashes_of(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
@@ -333,106 +375,126 @@ def split_parts(blob: bytes, n: int) -> list[bytes]:
     return [blob[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
-def repeated_anchors(blobs: list[bytes], hot: int = HOT) -> list[bytes]:
-    """For each anchor of each message whether it is in two documents, and whether in hot messages; both as bits."""
-    read = []
-    for blob in blobs:
-        deltas, several = split_parts(blob, 2)
+class Anchors:
+    """The exchange of (anchors in order, whether each is in two documents, in how many chunks): which anchors are in two
+    documents in all, and which in hot chunks or more."""
+
+    def __init__(self, hot: int = HOT):
+        self.hot = hot
+
+    def read(self, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        deltas, several, counts = split_parts(blob, 3)
         found = np.cumsum(expanded(deltas, np.uint64), dtype=np.uint64)
-        read.append((found, flags(several, len(found))))
-    every, several = np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read])
-    _, place, counts = np.unique(every, return_inverse=True, return_counts=True)
-    two = counts > 1
-    two[place[several]] = True
-    cuts = np.cumsum([len(r[0]) for r in read])[:-1]
-    return [join_parts(bits(t), bits(h)) for t, h in zip(np.split(two[place], cuts), np.split((counts >= hot)[place], cuts), strict=True)]
+        return found, flags(several, len(found)), expanded(counts, np.uint32).astype(np.int64)
+
+    def merge(self, tables: list) -> tuple[tuple, list[np.ndarray]]:
+        every, several, counts = (np.concatenate([t[i] for t in tables]) for i in range(3))
+        found, place, times = np.unique(every, return_inverse=True, return_counts=True)
+        two = times > 1
+        two[place[several]] = True
+        n = np.bincount(place, counts, len(found)).astype(np.int64)
+        return (found, two, n), np.split(place, np.cumsum([len(t[0]) for t in tables])[:-1])
+
+    def messages(self, table: tuple, row: int, shards: int) -> Iterator[tuple[int, bytes]]:
+        found, several, counts = table
+        owners, cuts = bounds(found, shards, ANCHOR_BITS)
+        for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield s, join_parts(compressed(np.diff(found[a:b], prepend=np.uint64(0))), bits(several[a:b]), compressed(np.minimum(counts[a:b], 1 << 31).astype(np.uint32)))
 
+    def judge(self, blobs: list[bytes]) -> list[bytes]:
+        (_, two, n), places = self.merge([self.read(b) for b in blobs])
+        return [join_parts(bits(two[p]), bits(n[p] >= self.hot)) for p in places]
 
-def run_message(chunk: Chunk, chosen: np.ndarray, least: np.ndarray) -> bytes:
-    start, length = chunk.start[chosen], chunk.count[chosen] + SIZE - 1
-    return join_parts(compressed(np.diff(chunk.anchor[chosen], prepend=np.uint64(0))), compressed(least), compressed(chunk.count[chosen].astype(np.uint32)), compress(chunk.text[spread(start, length)].tobytes(), 3))
+    def told(self, table: tuple, row: int, shards: int, own: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        both = {s: split_parts(b, 2) for s, b in own.items()}
+        return tuple(told_bits(table[0], row, shards, ANCHOR_BITS, {s: b[i] for s, b in both.items()}) for i in range(2))
 
+    def passed(self, table: tuple, merged: tuple, place: np.ndarray, told: tuple) -> bytes:
+        return join_parts(*[bits(t[place]) for t in told])
 
-def judged_runs(blobs: list[bytes]) -> list[bytes]:
-    """For each string of each run of each message, in order, whether a smaller doc_id has it."""
-    read = []
-    for blob in blobs:
-        a, d, c, t = split_parts(blob, 4)
-        read.append((np.cumsum(expanded(a, np.uint64), dtype=np.uint64), expanded(d, np.int64), expanded(c, np.uint32).astype(np.int64), np.frombuffer(expand(t), np.uint8)))
-    anchor, doc, count = (np.concatenate([r[i] for r in read]) for i in range(3))
-    text = np.concatenate([r[3] for r in read])
-    del read[:]
-    length = count + SIZE - 1
-    start = np.cumsum(length) - length
-    hashes = hashes_of(text, start, length)
-    order = np.lexsort((doc, length, hashes[1], hashes[0], anchor))
-    columns = [x[order] for x in (anchor, *hashes, length)]
-    new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) if len(order) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    first = order[new]  # of equal runs the one with the least doc_id
-    smaller = np.empty(len(order), bool)
-    smaller[order] = doc[first][group] < doc[order]
-    # Anchors with two different runs or more.
-    chosen = anchor[first]
-    several = np.append(False, chosen[1:] == chosen[:-1]) | np.append(chosen[1:] == chosen[:-1], False) if len(chosen) else np.zeros(0, bool)
-    picked = first[several]
-    places = spread(start[picked], length[picked])
-    own = text[places]  # in order of the anchors
-    own_length = length[picked]
-    equals = least_equals(own, np.cumsum(own_length) - own_length, count[picked], anchor[picked], doc[picked])
-    out = np.repeat(smaller, count)
-    begin = np.cumsum(count) - count
-    # Equal runs with equal doc_ids in several messages share the judgement.
-    of = np.full(len(new), -1)
-    of[np.flatnonzero(several)] = np.cumsum(count[picked]) - count[picked]
-    run_of = np.empty(len(order), np.int64)
-    run_of[order] = group
-    ask = np.flatnonzero(~smaller & (of[run_of] >= 0))
-    out[spread(begin[ask], count[ask])] = equals[spread(of[run_of[ask]], count[ask])]
-    ends = np.cumsum([int(x) for x in np.add.reduceat(np.append(count, 0), np.cumsum([0, *_lengths(blobs)])[:-1])]) if blobs else []
-    return [bits(x) for x in np.split(out, ends[:-1])]
 
+ANCHORS = Anchors()
 
-def _lengths(blobs: list[bytes]) -> list[int]:
-    return [len(expanded(split_parts(b, 4)[2], np.uint32)) for b in blobs]
 
+class RunExchange:
+    """The exchange of distinct runs: for each string of each run whether a smaller doc_id has it."""
 
-def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    def read(self, blob: bytes) -> Runs:
+        a, d, c, t = split_parts(blob, 4)
+        count = expanded(c, np.uint32).astype(np.int64)
+        length = count + SIZE - 1
+        return Runs(np.frombuffer(expand(t), np.uint8), np.cumsum(length) - length, count, np.cumsum(expanded(a, np.uint64), dtype=np.uint64), expanded(d, np.int64))
+
+    def merge(self, tables: list[Runs]) -> tuple[Runs, list[np.ndarray]]:
+        sizes = np.array([len(t.text) for t in tables])
+        whole = Runs(np.concatenate([t.text for t in tables]), np.concatenate([t.start + at for t, at in zip(tables, (np.cumsum(sizes) - sizes).tolist(), strict=True)]), *(np.concatenate([getattr(t, k) for t in tables]) for k in ("count", "anchor", "doc")))
+        chosen, place = whole.classes()
+        return whole.taken(chosen), np.split(place, np.cumsum([len(t.count) for t in tables])[:-1])
+
+    def messages(self, table: Runs, row: int, shards: int) -> Iterator[tuple[int, bytes]]:
+        owners, cuts = bounds(table.anchor, shards, ANCHOR_BITS)
+        for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            end = table.start[b - 1] + table.count[b - 1] + SIZE - 1
+            text = table.text[table.start[a] : end].tobytes()
+            yield s, join_parts(compressed(np.diff(table.anchor[a:b], prepend=np.uint64(0))), compressed(table.doc[a:b]), compressed(table.count[a:b].astype(np.uint32)), compress(text, 3))
+
+    def judge(self, blobs: list[bytes]) -> list[bytes]:
+        tables = [self.read(b) for b in blobs]
+        merged, places = self.merge(tables)
+        chosen = merged.anchor
+        # Anchors with two different runs or more.
+        several = np.append(False, chosen[1:] == chosen[:-1])[: len(chosen)] | np.append(chosen[1:] == chosen[:-1], False)[: len(chosen)]
+        picked = merged.taken(np.flatnonzero(several))
+        told = np.zeros(int(merged.count.sum()), bool)
+        told[np.repeat(several, merged.count)] = least_equals(picked.text, picked.start, picked.count, picked.anchor, picked.doc)
+        return [self.passed(t, merged, p, told) for t, p in zip(tables, places, strict=True)]
+
+    def told(self, table: Runs, row: int, shards: int, own: dict[int, bytes]) -> np.ndarray:
+        owners, cuts = bounds(table.anchor, shards, ANCHOR_BITS)
+        parts = zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+        return np.concatenate([np.zeros(0, bool), *[flags(own[s], int(table.count[a:b].sum())) for s, a, b in parts]])
+
+    def passed(self, table: Runs, merged: Runs, place: np.ndarray, told: np.ndarray) -> bytes:
+        """A run is judged as its equal of the least doc_id is, and all of it goes if that is smaller."""
+        return bits(self.of_all(table.doc, table.count, merged, place, told))
+
+    @staticmethod
+    def of_all(doc: np.ndarray, count: np.ndarray, merged: Runs, place: np.ndarray, told: np.ndarray) -> np.ndarray:
+        begin = np.cumsum(merged.count) - merged.count
+        return told[spread(begin[place], count)] | np.repeat(merged.doc[place] < doc, count)
+
+
+def dedup(docs: DataFrame, hot: int = HOT, fan: int = FAN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """SCHEMA, and kept binary: the bytes that stay."""
     spark = docs.sparkSession
     chunks = chunked(docs, CHUNK)
-    shards = max(1, -(-total(chunks) // SHARD_BYTES))
+    n_chunks, size = total(chunks)
+    shards = min(max(1, -(-size // shard_bytes)), fan * fan)
+    ranges, anchors, runs = min(shards, fan), Anchors(hot), RunExchange()
 
     def send_anchors(batch) -> dict:
         out = {"shard": [], "chunk": [], "blob": []}
         for number, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist(), strict=True):
             found, several, _ = Chunk(payload).distinct_anchors()
-            owners, cuts = bounds(found, shards, ANCHOR_BITS)
-            for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for s, blob in anchors.messages((found, several, np.ones(len(found))), 0, ranges):
                 out["shard"].append(s)
                 out["chunk"].append(number)
-                out["blob"].append(join_parts(compressed(np.diff(found[a:b], prepend=np.uint64(0))), bits(several[a:b])))
+                out["blob"].append(blob)
         return out
 
-    both = answers(map_groups(chunks.select("chunk", "payload"), send_anchors, MESSAGE, "payload", 1), lambda blobs: repeated_anchors(blobs, hot), REPEATED)
+    both = exchanged(map_groups(chunks.select("chunk", "payload"), send_anchors, MESSAGE, "payload", 1), anchors, REPEATED, shards, n_chunks, fan)
 
     def send_runs(number: int, payload: bytes, own: dict) -> dict:
-        chunk = Chunk(payload)
-        repeated, often = chunk.marked(_both(own), shards)
-        chosen, least, _ = chunk.classes(np.flatnonzero(repeated & ~often))
-        owners, cuts = bounds(chunk.anchor[chosen], shards, ANCHOR_BITS)
-        made = [(s, run_message(chunk, chosen[a:b], least[a:b])) for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        keys, check, low, *_ = chunk.strings(np.flatnonzero(often))
-        made += [(shards + s, b) for s, b in key_messages(keys, check, low, shards)]
+        found = Chunk(payload).runs(own, ranges)
+        made = list(runs.messages(found.taken(found.classes()[0]), 0, ranges))
         return {"shard": [s for s, _ in made], "chunk": [number] * len(made), "blob": [b for _, b in made]}
 
     sent = with_answers(chunks, both, send_runs, MESSAGE, arrow_schema(spark, MESSAGE))
-    # One shuffle for both: shards from `shards` on hold strings by their hashes.
-    judged = answers(sent.withColumn("blob", F.concat(F.when(F.col("shard") >= shards, F.lit(b"S")).otherwise(F.lit(b"R")), "blob")), _judge, RUNS)
+    judged = exchanged(sent, runs, RUNS, shards, n_chunks, fan)
 
     def finish(number: int, payload: bytes, own: dict) -> dict:
         chunk = Chunk(payload)
-        gone_at = removed(chunk, _both(own), shards)
+        gone_at = removed(chunk, own, ranges)
         edge = np.zeros(len(chunk.text) + 1, np.int32)
         np.add.at(edge, gone_at, 1)
         np.add.at(edge, gone_at + SIZE, -1)
@@ -451,34 +513,10 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return with_answers(chunks, both.unionByName(judged), finish, schema, arrow_schema(spark, schema))
 
 
-def _judge(blobs: list[bytes]) -> list[bytes]:
-    return (smaller_elsewhere if blobs[0][:1] == b"S" else judged_runs)([b[1:] for b in blobs])
-
-
-def _both(own: dict[tuple[int, int], bytes]) -> dict[tuple[int, int], bytes]:
-    """Answers about anchors hold two sets of bits."""
-    out = {}
-    for (kind, shard), blob in own.items():
-        if kind == REPEATED:
-            out[REPEATED, shard], out[OFTEN, shard] = split_parts(blob, 2)
-        else:
-            out[kind, shard] = blob
-    return out
-
-
-def removed(chunk: Chunk, own: dict[tuple[int, int], bytes], shards: int) -> np.ndarray:
+def removed(chunk: Chunk, own: dict[tuple[int, int], bytes], ranges: int) -> np.ndarray:
     """The starts of strings that a smaller doc_id has too."""
-    repeated, often = chunk.marked(own, shards)
-    picked = np.flatnonzero(repeated & ~often)
-    chosen, least, place = chunk.classes(picked)
-    owners, cuts = bounds(chunk.anchor[chosen], shards, ANCHOR_BITS)
-    count = chunk.count[chosen]
-    none = [np.zeros(0, bool)]
-    told = np.concatenate(none + [flags(own[RUNS, s], int(count[a:b].sum())) for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
-    begin = np.cumsum(count) - count
-    bit = told[spread(begin[place], count[place])] | np.repeat(least[place] < chunk.order[chunk.doc[picked]], count[place])
-    starts = spread(chunk.start[picked], chunk.count[picked])[bit]
-    keys, _, low, at, where, ids = chunk.strings(np.flatnonzero(often))
-    owners, cuts = bounds(keys, shards, 64)
-    smaller = np.concatenate(none + [flags(own[RUNS, shards + s], b - a) for s, a, b in zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
-    return np.concatenate([starts, at[smaller[where] | (low[where] < ids)]])
+    found = chunk.runs(own, ranges)
+    chosen, place = found.classes()
+    merged = found.taken(chosen, False)
+    told = RunExchange().told(merged, 0, ranges, {s: b for (k, s), b in own.items() if k == RUNS})
+    return spread(found.start, found.count)[RunExchange.of_all(found.doc, found.count, merged, place, told)]

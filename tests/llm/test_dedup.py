@@ -48,10 +48,10 @@ def brute_bytes(rows, size=50):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_words_match_brute_force(spark, parts):
+@pytest.mark.parametrize(("parts", "fan", "cells"), [(1, chunks.FAN, substring_dedup.SHARD_CELLS), (7, chunks.FAN, 300), (7, 3, 300)])
+def test_words_match_brute_force(spark, parts, fan, cells):
     rows = texts()
-    got = substring_dedup.dedup(frame(spark, rows).repartition(parts)).drop("kept").collect()
+    got = substring_dedup.dedup(frame(spark, rows).repartition(parts), fan, cells).drop("kept").collect()
     assert sort(got) == sort(brute_words(rows))
     assert sum(r["n_removed"] for r in got) > 500
 
@@ -61,10 +61,10 @@ def test_kept_words_are_the_text(spark):
     assert sort(substring_dedup.dedup(frame(spark, rows)).select("doc_id", "kept").collect()) == [(1, "a b c"), (2, "a b c")]
 
 
-@pytest.mark.parametrize("hot", [1, 2, suffix_dedup.HOT])
-def test_bytes_match_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "fan", "size"), [(1, chunks.FAN, 900), (2, 3, 900), (suffix_dedup.HOT, chunks.FAN, suffix_dedup.SHARD_BYTES)])
+def test_bytes_match_brute_force(spark, hot, fan, size):
     rows = texts(2)
-    got = suffix_dedup.dedup(frame(spark, rows).repartition(5), hot).drop("kept").collect()
+    got = suffix_dedup.dedup(frame(spark, rows).repartition(5), hot, fan, size).drop("kept").collect()
     assert sort(got) == sort(brute_bytes(rows))
     assert sum(r["n_removed"] for r in got) > 3000
 
@@ -109,20 +109,66 @@ def test_collisions_are_found_by_bytes():
     assert claimed.tolist() == [i > 0 and raw[i] == raw[i - 1] for i in range(3)]
 
 
+def test_number_of_messages_follows_the_input(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 2000)
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 2000)
+    real, sent = chunks.answers, []
+
+    def spy(messages, judge, kind):
+        sent[-1] += messages.count()
+        return real(messages, judge, kind)
+
+    monkeypatch.setattr(chunks, "answers", spy)
+    line = " ".join(f"w{i % 71}" for i in range(700))
+    for n in (8, 32):
+        docs = spark.createDataFrame([(i, f"{line} {i}") for i in range(n)], "doc_id long, text string").repartition(n)
+        for dedup in (lambda: suffix_dedup.dedup(docs, 2, 4, 100), lambda: substring_dedup.dedup(docs, 4, 20)):
+            sent.append(0)
+            assert dedup().count() == n
+    assert sent[2] <= 4.5 * sent[0] and sent[3] <= 4.5 * sent[1]  # from 8 chunks to 32, 16 shards in both
+
+
+def test_equal_hashes_are_compared_byte_by_byte(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 256, 600).astype(np.uint8)
+    text[300:400] = text[0:100]
+    start = np.array([0, 100, 200, 300, 400])
+    runs = suffix_dedup.Runs(text, start, np.full(5, 51), np.array([9, 9, 9, 9, 4], np.uint64), np.array([5, 4, 3, 2, 1]))
+    monkeypatch.setattr(suffix_dedup, "hashes_of", lambda text, start, length: [np.zeros(len(start), np.uint64)] * 2)  # all collide
+    chosen, place = runs.classes()
+    assert np.all(np.diff(runs.anchor[chosen].astype(int)) >= 0)
+    for i in range(5):
+        at = chosen[place[i]]
+        assert (text[start[i] : start[i] + 100] == text[start[at] : start[at] + 100]).all() and runs.doc[at] <= runs.doc[i]
+    blob = dict(suffix_dedup.RunExchange().messages(runs.taken(np.array([4, 0, 1, 2, 3])), 0, 1))[0]
+    (told,) = suffix_dedup.RunExchange().judge([blob])
+    want = np.concatenate([np.zeros(51), np.ones(51), np.zeros(51 * 3)])  # in order of anchor: the run of doc 5 is that of doc 2
+    assert chunks.flags(told, 255).tolist() == want.astype(bool).tolist()
+
+
+def test_long_texts_are_whole(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in rng.integers(0, 20000, 250_000)]
+    words[200_000:200_300] = words[1000:1300]
+    long = " ".join(words)  # over 1 MB
+    rows = [(1, " ".join(words[1000:1300])), (2, long), (3, "x" + long[5:]), (4, long[-400:])]
+    assert len(long) > 1 << 20
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(frame(spark, rows)).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2)] == [0, 600] and got[3]["n_removed"] == got[3]["n_words"] - 1 and got[4]["n_removed"] > 0
+    own = {r["doc_id"]: r for r in suffix_dedup.dedup(frame(spark, rows)).collect()}
+    assert own[1]["n_removed"] == 0 and own[2]["n_spans"] == 2 and own[3]["n_removed"] == own[3]["n_bytes"] - 1 and own[4]["n_removed"] == 400
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(0)
     parts = [rng.integers(0, 5000, 3000).astype(np.uint64) for _ in range(4)]
-    width = 12
-    messages = []
-    for p in parts:
-        found, many, _ = substring_dedup.sketch(p, 0, width)
-        packed = chunks.compressed(np.diff(found, prepend=found[0]).astype(np.uint32))
-        messages.append(np.array([len(packed), found[0]], np.int64).tobytes() + packed + chunks.bits(many))
-    hot = [chunks.flags(a, len(substring_dedup.sketch(p, 0, width)[0])) for a, p in zip(substring_dedup.merged(messages), parts)]
+    work = substring_dedup.Cells(12)
+    messages = [dict(work.messages(substring_dedup.sketch(p, 0, 12)[:2], 0, 1))[0] for p in parts]
+    hot = [chunks.flags(a, len(substring_dedup.sketch(p, 0, 12)[0])) for a, p in zip(work.judge(messages), parts)]
     keys, counts = np.unique(np.concatenate(parts), return_counts=True)
     repeated = set(keys[counts > 1].tolist())
     for p, h in zip(parts, hot):
-        found, _, place = substring_dedup.sketch(p, 0, width)
+        found, _, place = substring_dedup.sketch(p, 0, 12)
         for k, flag in zip(p.tolist(), h[place].tolist()):
             assert flag or k not in repeated
 
