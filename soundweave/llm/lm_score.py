@@ -4,22 +4,22 @@ Words [^\x20\x09-\x0D]+, A-Z lower-cased, are predicted from both sides; a docum
 log-probabilities of its words, each with itself masked.
 
 Vocabulary: every distinct word is counted over the whole corpus, exactly. The LEAVES - 1 most frequent words have a leaf
-of their own in a Huffman tree over these counts; one more leaf stands for all other words, of which a word with m other
+of their own in one of ROOTS Huffman trees over these counts; one more leaf stands for all other words, of which a word with m other
 occurrences has (m + t * s) / (n + t), where the others occur n times as t distinct words and s is the word's share by
 spelling (a byte-pair model of all words' letters, less what the leaves' words have). So each string has a probability
 and all of them add up to one; a word that occurs nowhere else is told by its letters.
 
 Network: the embeddings of the SIDE words before a word and the SIDE after it (a leaf beyond either end), scaled by
-distance, are added and passed through tanh; every inner node of the tree on the way to the word's leaf decides by a
-logistic unit of its own. Before training a node decides as the counts do, so training starts at the unigram model.
+distance, are added and passed through tanh; a softmax chooses the tree, and every inner node on the way to the word's leaf
+decides by a logistic unit of its own. Before training these decide as the counts do: training starts at the unigram model.
 
 What is gathered: `hashed` stages texts as places in blocks of BLOCK_BYTES, and by block the distinct words (64-bit
 hashes), how often each occurs and how it spells. `vocabulary` splits these by ranges of hashes into shards of SHARD words
 at most, whose number follows the input, adds up the counts in each and gives them back to the blocks; no machine holds
 all words. The leaves' words (the bound LEAVES) are all that the driver gets of them.
 
-Training is in numpy and covers every word of every document: in each of ROUNDS rounds every task starts from the same
-weights, takes Adagrad steps over its own documents, and gives back the change of each row of weights with the number of
+Training is in numpy and covers every word of every document once, in ROUNDS rounds of as many parts of the blocks: in each
+every task starts from the same weights, takes Adagrad steps over its own documents, and gives back the change of each row of weights with the number of
 times it was used. A row's new weights are the mean over tasks by that number; the sums are made block by block as
 messages stream in, so the driver only gets one set of weights (some 6 MB). A lost task is trained again from the same
 start.
@@ -46,9 +46,9 @@ from pyspark.sql import functions as F
 from .chunks import spread
 from .common import arrow_schema, documents, groups, raw_texts, record, stage
 
-LEAVES = 1 << 15
+LEAVES, ROOTS = 1 << 15, 32
 SIDE, DIM = 2, 16  # the last place of a hidden row is 1
-ROUNDS, BATCH, RATE = 2, 4096, 0.3
+ROUNDS, BATCH, RATE = 3, 4096, 0.3
 BLOCK_BYTES, SHARD = 1 << 22, 1 << 22
 ROWS = 512  # of weights in a message
 OFFSETS = np.array([i for i in range(-SIDE, SIDE + 1) if i])
@@ -171,7 +171,7 @@ def count_shard(table: pa.Table, most: int) -> pa.Table:
     distinct, first, at = np.unique(words, return_index=True, return_inverse=True)
     n = np.bincount(at, times, len(distinct)).astype(np.int64)
     cuts = np.cumsum([len(x) // 8 for x in table.column("words").to_pylist()])[:-1]
-    counts = [x.astype("<u8").tobytes() for x in np.split(n[at], cuts)]
+    counts = [x.tobytes() for x in np.split(np.minimum(n[at], (1 << 32) - 1).astype("<u4"), cuts)]  # only leaves' words have more
     best = np.lexsort((distinct, -n))[:most]
     top = [{"word": w, "n": k, "spelled": s} for w, k, s in zip(distinct[best].view(np.int64).tolist(), n[best].tolist(), spelled[first[best]].tolist(), strict=True)]
     none, shard = [None] * len(counts), table.column("shard").to_pylist()
@@ -214,61 +214,71 @@ def vocabulary(rows: DataFrame, most: int = SHARD, leaves: int = LEAVES) -> tupl
 
 
 @dataclass
-class Tree:
-    """Of each leaf the inner nodes from the root on and the side taken at each (1 or -1), one leaf after another."""
+class Trees:
+    """Of each leaf its tree, the inner nodes from the root on and the side taken at each (1 or -1), one leaf after
+    another."""
 
+    tree: np.ndarray
     first: np.ndarray
     size: np.ndarray
     nodes: np.ndarray
     sides: np.ndarray
     bias: np.ndarray  # of each node: the log of the odds of side 1 by the counts
+    shares: np.ndarray  # of each tree: the log of its share
 
     @property
     def leaves(self) -> int:
         return len(self.size)
 
 
-def huffman(counts: np.ndarray) -> Tree:
-    """The tree of leaves with these counts (a leaf without any counts as one)."""
+def huffman(counts: np.ndarray, roots: int = ROOTS) -> Trees:
+    """The trees of leaves with these counts (a leaf without any counts as one)."""
     m = len(counts)
     weight = [max(1.0, float(c)) for c in counts]
     heap = [(w, i) for i, w in enumerate(weight)]
     heapq.heapify(heap)
-    parent, side, bias = [0] * (2 * m - 1), [0] * (2 * m - 1), []
-    for node in range(m, 2 * m - 1):
+    n = max(0, m - roots)
+    parent, side, bias = [-1] * (m + n), [0] * (m + n), []
+    for node in range(m, m + n):
         (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
         parent[x], side[x], parent[y], side[y] = node, -1, node, 1
         bias.append(np.log(b / a))
         heapq.heappush(heap, (a + b, node))
-    root = 2 * m - 2
-    paths: list[list[tuple[int, int]]] = [[] for _ in range(2 * m - 1)]
-    for node in range(root - 1, -1, -1):  # a parent has a greater number
-        paths[node] = [*paths[parent[node]], (parent[node] - m, side[node])]
-    flat = [p for own in paths[:m] for p in own]
+    tree, paths = [0] * (m + n), [[] for _ in range(m + n)]
+    for k, (_, root) in enumerate(sorted(heap)):
+        tree[root] = k
+    for node in range(m + n - 1, -1, -1):  # a parent has a greater number
+        if (up := parent[node]) >= 0:
+            tree[node], paths[node] = tree[up], [*paths[up], (up - m, side[node])]
     size = np.array([len(p) for p in paths[:m]], np.int64)
-    table = np.array(flat, np.int32).reshape(-1, 2)
-    return Tree(np.cumsum(size) - size, size, table[:, 0].astype(np.uint16), table[:, 1].astype(np.float32), np.array(bias, np.float32))
+    table = np.array([p for own in paths[:m] for p in own], np.int32).reshape(-1, 2)
+    shares = np.log(np.array([w for w, _ in sorted(heap)]) / sum(weight))
+    return Trees(np.array(tree[:m], np.int32), np.cumsum(size) - size, size, table[:, 0].astype(np.uint16), table[:, 1].astype(np.float32), np.array(bias, np.float32), shares.astype(np.float32))
 
 
 class Network:
-    """Rows of weights: embeddings on the left, on the right (the last of either beyond the text's end), nodes, and the
-    scales of the 2 * SIDE places with the hidden row's bias."""
+    """Rows of weights: embeddings on the left, on the right (the last of either beyond the text's end), nodes, trees, and
+    the scales of the 2 * SIDE places with the hidden row's bias."""
 
-    def __init__(self, tree: Tree, weights: np.ndarray | None = None):
+    def __init__(self, tree: Trees, weights: np.ndarray | None = None):
         self.tree, m = tree, tree.leaves
-        self.right, self.node, self.dense, self.rows = m + 1, 2 * (m + 1), 2 * (m + 1) + m - 1, 2 * (m + 1) + m - 1 + 2 * SIDE + 1
+        self.right, self.node = m + 1, 2 * (m + 1)
+        self.root = self.node + len(tree.bias)
+        self.dense = self.root + len(tree.shares)
+        self.rows = self.dense + 2 * SIDE + 1
         self.weights = self.initial() if weights is None else weights
 
     def initial(self, seed: int = 7) -> np.ndarray:
         out = np.zeros((self.rows, DIM), np.float32)
         out[: self.node] = np.random.default_rng(seed).normal(0, 0.3, (self.node, DIM))
-        out[self.node : self.dense, -1] = self.tree.bias
+        out[self.node : self.root, -1] = self.tree.bias
+        out[self.root : self.dense, -1] = self.tree.shares
         out[self.dense : -1] = 0.5
         return out
 
     def forward(self, near: np.ndarray, target: np.ndarray) -> tuple:
-        """(embeddings by place, hidden rows, words' steps down the tree, their places, node rows, hidden rows by step,
-        sums towards the sides taken) of words in their neighbourhoods."""
+        """(embeddings by place, hidden rows, log-probabilities of the trees, words' steps down their trees, their places,
+        node rows, hidden rows by step, sums towards the sides taken) of words in their neighbourhoods."""
         w, scale = self.weights, self.weights[self.dense :]
         embedded = [np.take(w, near[:, i] + (self.right if i >= SIDE else 0), axis=0) for i in range(2 * SIDE)]
         total = embedded[0] * scale[0]
@@ -277,38 +287,45 @@ class Network:
         total += scale[-1]
         hidden = np.tanh(total)
         hidden[:, -1] = 1
+        trees = w[self.root : self.dense] @ hidden.T  # a column a word, so that sums run over whole rows
+        trees -= trees.max(axis=0)
+        trees -= np.log(np.exp(trees).sum(axis=0))
         steps = self.tree.size[target]
         at = spread(self.tree.first[target], steps)
-        rows = np.take(w[self.node : self.dense], self.tree.nodes[at], axis=0)
+        rows = np.take(w[self.node : self.root], self.tree.nodes[at], axis=0)
         wide = np.repeat(hidden, steps, axis=0)
-        return embedded, hidden, steps, at, rows, wide, np.einsum("ij,ij->i", rows, wide) * self.tree.sides[at]
+        return embedded, hidden, trees, steps, at, rows, wide, np.einsum("ij,ij->i", rows, wide) * self.tree.sides[at]
 
     def log_probs(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        *_, steps, _, _, _, z = self.forward(near, target)
-        out = np.zeros(len(target))
+        _, _, trees, steps, *_, z = self.forward(near, target)
+        out = trees[self.tree.tree[target], np.arange(len(target))].astype(np.float64)
         some = steps > 0
         if some.any():
             logs = np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))
-            out[some] = np.add.reduceat(logs, (np.cumsum(steps) - steps)[some], dtype=np.float64)
+            out[some] += np.add.reduceat(logs, (np.cumsum(steps) - steps)[some], dtype=np.float64)
         return out
 
     def gradient(self, near: np.ndarray, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of the summed negative log-probability: (row numbers, their gradients), no row twice."""
-        embedded, hidden, steps, at, rows, wide, z = self.forward(near, target)
-        if not len(at):
-            return []
-        pull = (-self.tree.sides[at] / (1 + np.exp(np.clip(z, -30, 30))))[:, None]
-        own, d_nodes = _summed(self.tree.nodes[at], wide * pull)
-        out = [(own + self.node, d_nodes)]
-        some = steps > 0
-        d_total = np.zeros_like(hidden)
-        d_total[some] = _segments(rows * pull, (np.cumsum(steps) - steps)[some])
+        embedded, hidden, trees, steps, at, rows, wide, z = self.forward(near, target)
+        out = []
+        d_trees = np.exp(trees)
+        d_trees[self.tree.tree[target], np.arange(len(target))] -= 1
+        d_total = d_trees.T @ self.weights[self.root : self.dense]
+        if len(at):
+            pull = (-self.tree.sides[at] / (1 + np.exp(np.clip(z, -30, 30))))[:, None]
+            wide *= pull
+            own, d_nodes = _summed(self.tree.nodes[at], wide)
+            out.append((own + self.node, d_nodes))
+            some = steps > 0
+            rows *= pull
+            d_total[some] += _segments(rows, (np.cumsum(steps) - steps)[some])
         d_total *= 1 - hidden * hidden
         scale = self.weights[self.dense :]
         for first, places in ((0, range(SIDE)), (self.right, range(SIDE, 2 * SIDE))):
             own, d = _summed(np.concatenate([near[:, i] for i in places]).astype(np.uint16), np.concatenate([d_total * scale[i] for i in places]))
             out.append((own + first, d))
-        out.append((np.arange(self.dense, self.rows), np.stack([*[np.einsum("ij,ij->j", e, d_total) for e in embedded], d_total.sum(axis=0)])))
+        out.append((np.arange(self.root, self.rows), np.concatenate([d_trees @ hidden, np.stack([*[np.einsum("ij,ij->j", e, d_total) for e in embedded], d_total.sum(axis=0)])])))
         return out
 
 
@@ -388,8 +405,7 @@ def mean_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(rows: DataFrame, found: Vocabulary, rounds: int = ROUNDS) -> Network:
     """From hashed rows."""
     spark, net = rows.sparkSession, Network(huffman(np.append(found.n, found.counts)))
-    plain = rows.select("sizes", "places", "words")
-    for _ in range(rounds):
+    for part in range(rounds):
         sent = spark.sparkContext.broadcast((net.tree, net.weights, found))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -399,11 +415,12 @@ def train(rows: DataFrame, found: Vocabulary, rounds: int = ROUNDS) -> Network:
             if used.any():
                 yield changes(weights, local.weights, used)
 
+        own = rows.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == part).select("sizes", "places", "words")
         blocks = -(-net.rows // ROWS)
-        merged = plain.mapInArrow(run, CHANGE).repartition(min(blocks, spark.sparkContext.defaultParallelism), "block").mapInArrow(mean_changes, CHANGE)
+        merged = own.mapInArrow(run, CHANGE).repartition(min(blocks, spark.sparkContext.defaultParallelism), "block").mapInArrow(mean_changes, CHANGE)
         for block, _, change in merged.toLocalIterator():  # one set of weights
-            own = net.weights[block * ROWS : (block + 1) * ROWS]
-            own += np.frombuffer(change, "<f4").reshape(own.shape)
+            now = net.weights[block * ROWS : (block + 1) * ROWS]
+            now += np.frombuffer(change, "<f4").reshape(now.shape)
     return net
 
 
@@ -420,27 +437,49 @@ def rated(sizes: list[int], logs: list[float]) -> dict:
     return {"n_words": sizes, "log_prob": logs, "mean_log_prob": means, "perplexity": [None if m is None else float(np.exp(-m)) for m in means]}
 
 
+HALF_SCORED = "block long, doc_ids array<long>, sizes array<long>, logs binary, n_others binary, others binary, ranks binary, spelled binary"
+
+
+def half_scored(batch: pa.RecordBatch, found: Vocabulary, net: Network) -> Iterator[dict]:
+    """By block the log-probabilities of leaves, summed by document, and what is needed for words without a leaf: how many
+    each document has, which they are, and of each distinct one its rank by hash among the block's words and its spelling."""
+    columns = ("block", "doc_ids", "sizes", "places", "words", "spelled")
+    for texts, (block, doc_ids, sizes, places, words, spelled) in zip(texts_of(batch, found), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+        words, spelled, places = np.frombuffer(words, "<u8"), np.frombuffer(spelled, "<f4"), np.frombuffer(places, "<u4")
+        order = np.argsort(words)
+        ranks = np.flatnonzero(found.ids(words[order]) == 0)  # of the distinct words without a leaf
+        number = np.zeros(len(words), np.uint32)
+        number[order[ranks]] = np.arange(len(ranks))
+        none = texts.words == 0
+        logs, n = (np.bincount(texts.doc, x, len(sizes)) for x in (word_log_probs(net, texts), none))
+        blobs = {"logs": logs, "n_others": n.astype("<u4"), "others": number[places[none]], "ranks": ranks.astype("<u4"), "spelled": spelled[order[ranks]]}
+        yield {"block": [block], "doc_ids": [doc_ids], "sizes": [sizes]} | {k: [x.tobytes()] for k, x in blobs.items()}
+
+
 def score(rows: DataFrame, counted: DataFrame, found: Vocabulary, net: Network) -> DataFrame:
-    """SCHEMA, from hashed rows, which are the corpus of the vocabulary. A block meets its counts in one task."""
+    """SCHEMA, from hashed rows, which are the corpus of the vocabulary. The network scores them where they are; of a block
+    only what concerns words without a leaf meets their counts, in one task."""
     spark = rows.sparkSession
-    sent, arrow = spark.sparkContext.broadcast((net.tree, net.weights, found)), arrow_schema(spark, SCHEMA)
+    sent, half, arrow = spark.sparkContext.broadcast((net.tree, net.weights, found)), arrow_schema(spark, HALF_SCORED), arrow_schema(spark, SCHEMA)
 
-    def run(block: pa.Table, counts: pa.Table) -> pa.Table:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, weights, own = sent.value
-        (words, spelled, places), (texts,) = (block.column(c)[0].as_py() for c in ("words", "spelled", "places")), texts_of(block, own)
-        words, spelled = np.frombuffer(words, "<u8"), np.frombuffer(spelled, "<f4")
-        n = np.zeros(len(words))
-        n[np.argsort(words)] = np.frombuffer(b"".join(x for _, x in sorted(zip(counts.column("shard").to_pylist(), counts.column("counts").to_pylist(), strict=True))), "<u8")
-        others = np.zeros(len(words))
-        none = own.ids(words) == 0
-        others[none] = own.other_log_probs(n[none], spelled[none])
-        sizes = block.column("sizes")[0].as_py()
-        logs = np.bincount(texts.doc, word_log_probs(Network(tree, weights), texts) + others[np.frombuffer(places, "<u4")], len(sizes))
-        return pa.Table.from_batches([record(rated(sizes, logs.tolist()) | {"doc_id": block.column("doc_ids")[0].as_py()}, arrow)], arrow)
-
-    tasks = max(2 * spark.sparkContext.defaultParallelism, 1 + (rows.agg(F.sum(F.length("places"))).first()[0] or 0) // (1 << 23))
-    own = rows.drop("times").repartition(tasks, "block")
-    return own.groupBy("block").cogroup(counted.repartition(tasks, "block").groupBy("block")).applyInArrow(run, SCHEMA)
+        for batch in batches:
+            for row in half_scored(batch, own, Network(tree, weights)):
+                yield record(row, half)
+
+    def second(block: pa.Table, counts: pa.Table) -> pa.Table:
+        one = {name: block.column(name)[0].as_py() for name in block.column_names}
+        blob = lambda name, kind: np.frombuffer(one[name], kind)
+        n = np.frombuffer(b"".join(x for _, x in sorted(zip(counts.column("shard").to_pylist(), counts.column("counts").to_pylist(), strict=True))), "<u4")
+        others = sent.value[2].other_log_probs(n[blob("ranks", "<u4")].astype(np.float64), blob("spelled", "<f4"))
+        doc = np.repeat(np.arange(len(one["sizes"])), blob("n_others", "<u4"))
+        logs = blob("logs", "<f8") + np.bincount(doc, others[blob("others", "<u4")], len(one["sizes"]))
+        return pa.Table.from_batches([record(rated(one["sizes"], logs.tolist()) | {"doc_id": one["doc_ids"]}, arrow)], arrow)
+
+    tasks = max(2 * spark.sparkContext.defaultParallelism, 1 + (rows.agg(F.sum(F.length("places"))).first()[0] or 0) // (1 << 24))
+    own = rows.select("block", "doc_ids", "sizes", "places", "words", "spelled").mapInArrow(first, HALF_SCORED)
+    return own.repartition(tasks, "block").groupBy("block").cogroup(counted.repartition(tasks, "block").groupBy("block")).applyInArrow(second, SCHEMA)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
