@@ -31,7 +31,7 @@ def checked(**values) -> dict:
 
 
 class Phonetics:
-    """Queries over an index. Texts are lists of strings; results are DataFrames with query_id or phrase_id, the
+    """Queries over an index. Texts are lists of strings, or what `readings` gave; results are DataFrames with query_id or phrase_id, the
     place of the text in the list."""
 
     def __init__(self, index: X.Index):
@@ -41,13 +41,15 @@ class Phonetics:
     def open(cls, spark: SparkSession, path: str) -> Phonetics:
         return cls(X.open_index(spark, path))
 
-    def readings(self, texts: Iterable[str]) -> DataFrame:
-        """query_id, text, reading and sound; kana as it is, other text by known surfaces."""
+    def readings(self, texts: Iterable[str] | DataFrame) -> DataFrame:
+        """query_id, text, reading and sound; kana as it is, other text by known surfaces. Readings are passed on."""
+        if isinstance(texts, DataFrame):
+            return texts
         rows = self.spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
         return with_sound(S.read_texts(rows, self.index.lexicon)).withColumnRenamed("text_id", "query_id")
 
     def similar(
-        self, texts: Iterable[str], *, limit: int = 10, preset: str = "pun", weights: Weights | None = None, candidates: int = S.CANDIDATES, min_score: float = 0.0, categories: str | list[str] | None = None,
+        self, texts: Iterable[str] | DataFrame, *, limit: int = 10, preset: str = "pun", weights: Weights | None = None, candidates: int = S.CANDIDATES, min_score: float = 0.0, categories: str | list[str] | None = None,
         min_mora: int | None = None, max_mora: int | None = None, exclude_same_reading: bool = True, dedupe_by_reading: bool = True, candidate_filter: Column | None = None,
     ) -> DataFrame:
         """limit 0: all."""
@@ -57,20 +59,20 @@ class Phonetics:
         wanted = L.parse_categories(categories) if categories else categories
         return S.search(self.index, self.readings(texts), limit=limit or None, preset=preset, weights=weights, categories=wanted, exclude_same_reading=exclude_same_reading, dedupe_by_reading=dedupe_by_reading, candidate_filter=candidate_filter, **how)
 
-    def similar_with_floor(self, texts: Iterable[str], *, limit: int = 0, min_score: float = 0.7, **how) -> DataFrame:
+    def similar_with_floor(self, texts: Iterable[str] | DataFrame, *, limit: int = 0, min_score: float = 0.7, **how) -> DataFrame:
         return S.search_with_floor(self.index, self.readings(texts), limit=limit, **checked(min_score=min_score, **how))
 
-    def _phrases(self, texts: Iterable[str]) -> DataFrame:
+    def _phrases(self, texts: Iterable[str] | DataFrame) -> DataFrame:
         return self.readings(texts).select(F.col("query_id").alias("phrase_id"), "reading")
 
-    def phrase(self, texts: Iterable[str], *, limit: int = 10, **how) -> DataFrame:
+    def phrase(self, texts: Iterable[str] | DataFrame, *, limit: int = 10, **how) -> DataFrame:
         """how: max_chunk, keep, beam, least, allow_particles, categories."""
         return H.compose(self._phrases(texts), self.index, limit=limit, **checked(**how))
 
-    def lattice(self, texts: Iterable[str], **how) -> tuple[DataFrame, DataFrame]:
+    def lattice(self, texts: Iterable[str] | DataFrame, **how) -> tuple[DataFrame, DataFrame]:
         return H.lattice(self._phrases(texts), self.index, **checked(**how))
 
-    def pronounce(self, texts: Iterable[str]) -> DataFrame:
+    def pronounce(self, texts: Iterable[str] | DataFrame) -> DataFrame:
         return self.readings(texts).select("query_id", "text", P.pronunciation(F.col("reading")).alias("p")).select("query_id", "text", "p.*")
 
     def compare(self, pairs: Iterable[tuple[str, str]]) -> DataFrame:

@@ -7,7 +7,10 @@ within it. A sound's vectors depend on its codes alone: words that sound alike s
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,27 +48,65 @@ def quantized(vectors: DataFrame, scales: dict[str, float]) -> DataFrame:
     return made.drop(*[f"raw_{s}" for s in E.INDEXED])
 
 
-def build(lexicon: DataFrame, path: str) -> int:
-    """Write the index of a lexicon; the number of rows."""
+def default_path() -> str:
+    """Where an index is looked for if no path is given."""
+    return str(Path.home() / ".cache" / "soundweave" / "index")
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at) and len(files.listStatus(at)) > 0
+
+
+def build(lexicon: DataFrame, path: str, *, force: bool = False, progress: Callable[[str], None] = lambda _: None) -> int:
+    """Write the index of a lexicon; the number of rows. It is written beside the path and then moved there, so that a build
+    that fails leaves an old index as it is. An old one is only replaced with force."""
     spark = lexicon.sparkSession
-    lexicon.repartition("mora_count", "phon").sortWithinPartitions("mora_count", "phon", "surface").write.mode("overwrite").partitionBy("mora_count").parquet(f"{path}/lexicon")
-    rows = spark.read.parquet(f"{path}/lexicon")
-    raw = f"{path}/vectors"
-    sound_vectors(rows).write.mode("overwrite").parquet(raw)
-    vectors = spark.read.parquet(raw)
-    scales = {s: v for (s, v) in zip(E.INDEXED, E.peak(vectors, *[f"raw_{s}" for s in E.INDEXED]).values(), strict=True)}
-    quantized(vectors, scales).sortWithinPartitions("mora_count", "phon").write.mode("overwrite").partitionBy("mora_count").parquet(f"{path}/groups")
-    counts = rows.groupBy("category").count().collect()  # a row a category
-    meta = {"version": VERSION, "count": sum(r["count"] for r in counts), "scales": scales, "dims": {s: E.DIMS[s] for s in E.INDEXED}, "categories": {r["category"]: r["count"] for r in counts}}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    if not force and exists(spark, path):
+        raise FileExistsError(f"there is an index at {path}; force replaces it")
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    files, at = _file_system(spark, new)
+    try:
+        progress("lexicon")
+        lexicon.repartition("mora_count", "phon").sortWithinPartitions("mora_count", "phon", "surface").write.partitionBy("mora_count").parquet(f"{new}/lexicon")
+        rows = spark.read.parquet(f"{new}/lexicon")
+        progress("vectors")
+        sound_vectors(rows).write.parquet(f"{new}/vectors")
+        vectors = spark.read.parquet(f"{new}/vectors")
+        scales = {s: v for (s, v) in zip(E.INDEXED, E.peak(vectors, *[f"raw_{s}" for s in E.INDEXED]).values(), strict=True)}
+        progress("sounds")
+        quantized(vectors, scales).sortWithinPartitions("mora_count", "phon").write.partitionBy("mora_count").parquet(f"{new}/groups")
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{new}/vectors"), True)
+        counts = rows.groupBy("category").count().collect()  # a row a category
+        meta = {"version": VERSION, "count": sum(r["count"] for r in counts), "scales": scales, "dims": {s: E.DIMS[s] for s in E.INDEXED}, "categories": {r["category"]: r["count"] for r in counts}}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.json(f"{new}/meta")
+        progress("done")
+        old = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files.delete(old, True)
+        if not files.rename(at, old):
+            raise OSError(f"{new} can't be moved to {path}")
+    except BaseException:
+        files.delete(at, True)
+        raise
     return meta["count"]
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
+    """ValueError for an index of another version, or whose vectors are of other lengths than this version's."""
     meta = json.loads(spark.read.schema("meta string").json(f"{path}/meta").first()["meta"])
     if meta["version"] != VERSION:
         raise ValueError(f"index version {meta['version']}; this is version {VERSION}")
-    return Index(spark.read.parquet(f"{path}/lexicon"), spark.read.parquet(f"{path}/groups"), meta)
+    groups = spark.read.parquet(f"{path}/groups")
+    one = groups.select(*[F.size(f"vec_{s}").alias(s) for s in E.INDEXED]).first()
+    for space in E.INDEXED:
+        if meta["dims"].get(space) != E.DIMS[space] or (one and one[space] != E.DIMS[space]):
+            raise ValueError(f"vectors of {space} don't have {E.DIMS[space]} numbers")
+    return Index(spark.read.parquet(f"{path}/lexicon"), groups, meta)
 
 
 def info(index: Index) -> DataFrame:

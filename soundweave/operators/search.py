@@ -27,6 +27,7 @@ from .index import Index, mora_range
 CANDIDATES, MORA_GAP = 8000, 3
 #: Queries handled in one pass over the sounds.
 BLOCK = 256
+BROADCAST_ROWS = 100_000
 
 FOUND = "query_id long, mora_count int, phon string, codes string, skeleton string, dot long, ratio double, coda_dot long"
 
@@ -48,22 +49,30 @@ def _blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int, s
 
 
 class _Best:
-    """The rows of one query with the greatest dot products that a partition has seen; ties are settled later."""
+    """The rows of one query with the greatest dot products that a partition has seen, as arrays; ties are settled later."""
 
     def __init__(self, keep: int):
-        self.keep, self.dots, self.rows = keep, np.zeros(0, np.int64), []
+        self.keep, self.dots, self.places, self.ratios, self.codas = keep, *(np.zeros(0, k) for k in (np.int64, np.int64, np.float64, np.int64))
 
-    def add(self, dots: np.ndarray, rows: list[dict]) -> None:
-        self.dots = np.concatenate([self.dots, dots])
-        self.rows += rows
+    def add(self, dots: np.ndarray, places: np.ndarray, ratios: np.ndarray, codas: np.ndarray) -> None:
+        self.dots, self.places, self.ratios, self.codas = (np.concatenate(x) for x in ((self.dots, dots), (self.places, places), (self.ratios, ratios), (self.codas, codas)))
         if len(self.dots) > 4 * self.keep:
             self.cut()
 
     def cut(self) -> None:
         if len(self.dots) > self.keep:
-            least = np.partition(self.dots, -self.keep)[-self.keep]
-            at = np.flatnonzero(self.dots >= least)
-            self.dots, self.rows = self.dots[at], [self.rows[i] for i in at.tolist()]
+            at = np.flatnonzero(self.dots >= np.partition(self.dots, -self.keep)[-self.keep])
+            self.dots, self.places, self.ratios, self.codas = (x[at] for x in (self.dots, self.places, self.ratios, self.codas))
+
+
+_SOUND = ("mora_count", "phon", "codes", "skeleton")
+
+
+def _found_rows(sounds: pa.Table, query: int, places: np.ndarray, dots: np.ndarray | None, ratios: np.ndarray, codas: np.ndarray) -> pa.RecordBatch:
+    own = sounds.take(pa.array(places)).combine_chunks()
+    n = len(places)
+    columns = [pa.array([query] * n, pa.int64()), *(own.column(c).combine_chunks() for c in _SOUND), pa.nulls(n, pa.int64()) if dots is None else pa.array(dots), pa.array(ratios), pa.array(codas)]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", *_SOUND, "dot", "ratio", "coda_dot"])
 
 
 def candidate_sounds(index: Index, queries: DataFrame, candidates: int = CANDIDATES, contained: bool = True, ranged: bool = False, bounds: tuple[int | None, int | None] = (None, None)) -> DataFrame:
@@ -80,50 +89,42 @@ def candidate_sounds(index: Index, queries: DataFrame, candidates: int = CANDIDA
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, vecs = sent.value
             patterns = [re.compile(D.containment_pattern(c)) for _, c, _ in own]
-            best = [_Best(candidates) for _ in own]
-            columns = ("mora_count", "phon", "codes", "skeleton")
-
-            def batch_of(rows: list[dict]) -> pa.RecordBatch:
-                names = ("query_id", *columns, "dot", "ratio", "coda_dot")
-                kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64())
-                return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=list(names))
-
+            best, seen, before = [_Best(candidates) for _ in own], [], 0  # seen: names of the partition's sounds, without vectors
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                moras = batch.column("mora_count").to_numpy()
-                phon, codes, skeleton = (batch.column(c).to_pylist() for c in columns[1:])
+                sounds = pa.Table.from_batches([batch]).select(list(_SOUND))
+                moras, codes = batch.column("mora_count").to_numpy(), batch.column("codes").to_pylist()
                 flat = {s: batch.column(f"vec_{s}").flatten().to_numpy().reshape(len(moras), -1).astype(np.float32) for s in E.INDEXED}
                 dots = {s: (flat[s] @ vecs[s].astype(np.float32).T).astype(np.int64) for s in E.INDEXED}  # below 2**24: exact
-                lines = "\n".join(codes)
-                ends = np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)) + 1)
+                lines, lengths = "\n".join(codes), np.fromiter(map(len, codes), np.int64, len(codes))
+                ends = np.cumsum(lengths + 1)
                 for q, (query, code, count) in enumerate(own):
-                    ratio = {}
+                    ratio = np.zeros(len(moras))
                     if contained:
-                        for m in patterns[q].finditer(lines):
-                            i = int(np.searchsorted(ends, m.start(), "right"))
-                            ratio[i] = len(code) / len(codes[i])
-                    near = np.arange(len(moras)) if ranged else np.flatnonzero(np.abs(moras - count) <= MORA_GAP)
-                    if not ranged and len(near) > candidates:
-                        d = dots["phonetic"][near, q]
-                        near = near[d >= np.partition(d, -candidates)[-candidates]]
-                    row = lambda i, dot, q=q, query=query, ratio=ratio: {"query_id": query, "mora_count": int(moras[i]), "phon": phon[i], "codes": codes[i], "skeleton": skeleton[i], "dot": dot, "ratio": ratio.get(i, 0.0), "coda_dot": int(dots["coda"][i, q])}
-                    rows = [row(i, int(dots["phonetic"][i, q])) for i in near.tolist()]
+                        held = np.searchsorted(ends, [m.start() for m in patterns[q].finditer(lines)], "right").astype(np.int64)
+                        ratio[held] = len(code) / lengths[held]
+                    dot, coda = dots["phonetic"][:, q], dots["coda"][:, q]
                     if ranged:
-                        if rows:
-                            yield batch_of(rows)
+                        yield _found_rows(sounds, query, np.arange(len(moras)), dot, ratio, coda)
                         continue
-                    best[q].add(dots["phonetic"][near, q], rows)
-                    inside = set(near.tolist())
-                    if lone := [row(i, None) for i in ratio if i not in inside]:
-                        yield batch_of(lone)
-                    # A near one that holds the query must outlive the cut.
-                    if sure := [row(i, None) for i in ratio if i in inside]:
-                        yield batch_of(sure)
-            for b in best:
-                b.cut()
-                if b.rows:
-                    yield batch_of(b.rows)
+                    near = np.flatnonzero(np.abs(moras - count) <= MORA_GAP)
+                    if len(near) > candidates:
+                        d = dot[near]
+                        near = near[d >= np.partition(d, -candidates)[-candidates]]
+                    best[q].add(dot[near], near + before, ratio[near], coda[near])
+                    # Whether near or not: one that holds the query must outlive the cut.
+                    if len(sure := np.flatnonzero(ratio)):
+                        yield _found_rows(sounds, query, sure, None, ratio[sure], coda[sure])
+                if not ranged:
+                    seen.append(sounds)
+                    before += len(moras)
+            if seen:
+                sounds = pa.concat_tables(seen)
+                for b, (query, _, _) in zip(best, own, strict=True):
+                    b.cut()
+                    if len(b.dots):
+                        yield _found_rows(sounds, query, b.places, b.dots, b.ratios, b.codas)
 
         sounds = mora_range(index.groups, *bounds) if ranged else index.groups
         if not ranged and not contained:
@@ -141,6 +142,11 @@ def candidate_sounds(index: Index, queries: DataFrame, candidates: int = CANDIDA
     return top.unionByName(holds) if contained else top
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has most rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def scored_sounds(index: Index, queries: DataFrame, weights: Weights, **how) -> DataFrame:
     """The candidates with the components that depend on the sound alone."""
     found = candidate_sounds(index, queries, contained=weights.containment > 0, **how)
@@ -170,13 +176,14 @@ def total_score(weights: Weights) -> Column:
 
 def search(
     index: Index, queries: DataFrame, *, limit: int | None = 10, preset: str = "pun", weights: Weights | None = None, candidates: int = CANDIDATES, min_score: float = 0.0, categories: list[str] | None = None,
-    min_mora: int | None = None, max_mora: int | None = None, exclude_same_reading: bool = True, dedupe_by_reading: bool = True, candidate_filter: Column | None = None,
+    min_mora: int | None = None, max_mora: int | None = None, exclude_same_reading: bool = True, dedupe_by_reading: bool = True, candidate_filter: Column | None = None, keep_raw: bool = False,
 ) -> DataFrame:
     """query_id, rank, word, reading, score and its components for each query, best first.
 
     A range of moras replaces the nearest candidates by all sounds in the range. An empty list of categories, or only
     unknown ones, gives nothing; None stands for the usual ones. candidate_filter is a condition on the result's
-    columns. Of words that sound alike one stays, judged over all candidates; then the limit counts."""
+    columns. Of words that sound alike one stays, judged over all candidates; then the limit counts. keep_raw: with raw_score,
+    the score before rounding."""
     w = weights_of(preset, weights)
     ranged = min_mora is not None or max_mora is not None
     wanted = DEFAULT_CATEGORIES if categories is None else [c for c in categories if c in CATEGORIES]
@@ -189,15 +196,16 @@ def search(
     if "normalized" in queries.columns:
         asked = queries.select(F.col("text").alias("query_text"), F.col("normalized").alias("query_normal")).distinct()
     else:
-        normal = index.lexicon.groupBy(F.col("surface").alias("query_text")).agg(F.min("normalized").alias("query_normal"))
-        asked = queries.select(F.col("text").alias("query_text")).distinct().join(normal, "query_text")
+        texts = small(queries.select(F.col("text").alias("query_text")).distinct())
+        own = index.lexicon.select(F.col("surface").alias("query_text"), "normalized").join(texts, "query_text")
+        asked = own.groupBy("query_text").agg(F.min("normalized").alias("query_normal"))
     rows = rows.join(asked, "query_text", "left").where((F.col("surface") != F.col("query_text")) & ~F.col("surface").eqNullSafe(F.col("query_normal")))
     if exclude_same_reading:
         rows = rows.where(F.col("reading") != F.col("query_reading"))
     four = lambda n: P.round4(F.col(f"c_{n}"))
     rows = rows.select(
         "query_id", F.col("surface").alias("word"), "reading", P.round4(F.col("raw_score")).alias("score"), four("phonetic").alias("phonetic_similarity"), four("embedding").alias("embedding_similarity"), four("coda").alias("coda_similarity"),
-        four("vowel").alias("vowel_similarity"), four("mora").alias("mora_similarity"), four("containment").alias("containment"), "mora_count", "category", "pos", P.round3(F.col("c_familiarity")).alias("familiarity"), "codes",
+        four("vowel").alias("vowel_similarity"), four("mora").alias("mora_similarity"), four("containment").alias("containment"), "mora_count", "category", "pos", P.round3(F.col("c_familiarity")).alias("familiarity"), "codes", *(["raw_score"] if keep_raw else []),
     )
     if candidate_filter is not None:
         rows = rows.where(candidate_filter)
@@ -213,14 +221,15 @@ def search(
 
 
 def search_with_floor(index: Index, queries: DataFrame, *, limit: int = 0, min_score: float = 0.7, **how) -> DataFrame:
-    """Queries whose results the floor would empty are answered without it, 20 rows at most; below_floor marks them."""
-    full = search(index, queries, limit=None, **how)
-    best = full.groupBy("query_id").agg(F.max("score").alias("_best"))
-    marked = full.join(best, "query_id").withColumn("below_floor", F.col("_best") < min_score)
-    kept = marked.where(F.col("below_floor") | (F.col("score") >= min_score))
+    """Queries whose results the floor would empty are answered without it, 20 rows at most; below_floor marks them. The
+    floor holds for scores before rounding."""
+    full = search(index, queries, limit=None, keep_raw=True, **how)
+    best = F.max("raw_score").over(Window.partitionBy("query_id"))
+    marked = full.withColumn("below_floor", best < min_score)
+    kept = marked.where(F.col("below_floor") | (F.col("raw_score") >= min_score))
     low = min(limit, 20) if limit else 20
     most = F.when(F.col("below_floor"), low).otherwise(limit or 2**31 - 1)
-    return kept.where(F.col("rank") <= most).drop("_best")
+    return kept.where(F.col("rank") <= most).drop("raw_score")
 
 
 def compare(pairs: DataFrame) -> DataFrame:

@@ -41,13 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> X.Index:
-    path = staging.kept(spark, ("index", sf_dir), lambda p: X.build(L.from_documents(table(spark, sf_dir, "documents")), p))
+    path = staging.kept(spark, ("index", sf_dir, staging.state_of(spark, f"{sf_dir}/documents.parquet")), lambda p: X.build(L.from_documents(table(spark, sf_dir, "documents")), p))
     return X.open_index(spark, path)
 
 
 def counts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted words, written once a session like the index."""
-    path = staging.kept(spark, ("counts", sf_dir), lambda p: L.word_counts(table(spark, sf_dir, "documents")).write.parquet(p))
+    path = staging.kept(spark, ("counts", sf_dir, staging.state_of(spark, f"{sf_dir}/documents.parquet")), lambda p: L.word_counts(table(spark, sf_dir, "documents")).write.parquet(p))
     return spark.read.parquet(path)
 
 

@@ -8,7 +8,7 @@ from ..functions import inventory as I
 from ..functions import phonology as P
 from ..functions.scoring import PRESETS
 from ..sources import lexicon as L
-from ..sources.vocabulary import PARTICLE_ROWS
+from ..sources.vocabulary import PARTICLES as FUNCTION_WORDS
 
 
 def text(s: str) -> str:
@@ -84,7 +84,7 @@ def three(x: str) -> str:
 
 TOKENS = """
 each_word AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS token FROM documents),
-counts AS (SELECT token, count(*) AS documents FROM each_word WHERE length(token) BETWEEN 2 AND 12 GROUP BY token)"""
+counts AS (SELECT token, count(*) AS documents FROM each_word WHERE length(token) >= 2 GROUP BY token)"""
 
 _N = "(length(token) + ascii(token))"
 ENTRIES = f"""{TOKENS},
@@ -230,4 +230,4 @@ one AS (SELECT *, row_number() OVER (PARTITION BY query_id, reading ORDER BY tol
     )
 
 
-PARTICLES = "particles AS (SELECT * FROM (VALUES " + ", ".join(f"({text(s)}, {text(r)})" for s, r in PARTICLE_ROWS) + ") AS t(surface, reading))"
+PARTICLES = "particles AS (SELECT * FROM (VALUES " + ", ".join(f"({text(s)}, {text(r)})" for s, r in FUNCTION_WORDS) + ") AS t(surface, reading))"

@@ -118,9 +118,9 @@ def spell(word: Column) -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """token, documents: words of 2 to 12 Latin letters and in how many documents they are. Distinct within a row first,
+    """token, documents: words of 2 Latin letters or more and in how many documents they are. Distinct within a row first,
     so that the shuffle has a word of a document once."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda w: F.length(w).between(2, 12)))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda w: F.length(w) >= 2))
     each = docs.select("doc_id", F.explode(words).alias("token"))
     return each.groupBy("token", "doc_id").agg(F.lit(1).alias("_")).groupBy("token").agg(F.count(F.lit(1)).alias("documents"))
 

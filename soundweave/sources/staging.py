@@ -12,9 +12,20 @@ _kept: dict[tuple, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset, as in tests."""
+    """spark.checkpoint.dir; a local folder where that is unset and driver and executors are one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"file://{tempfile.gettempdir()}/soundweave-checkpoints").rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = f"file://{tempfile.gettempdir()}/soundweave-checkpoints"
+    return found.rstrip("/")
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files at a path, which tell whether a table has changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def new_path(spark: SparkSession) -> str:

@@ -19,11 +19,13 @@ from soundweave.operators import search as S
 from soundweave.sources import dictionary, lexicon, vocabulary
 from soundweave.streaming import scalars
 
+from . import golden
+
 
 @pytest.fixture(scope="session")
 def index(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index"))
-    assert X.build(vocabulary.sample(spark), path) == 18
+    assert X.build(golden.lexicon(spark), path) == 18
     return X.open_index(spark, path)
 
 
@@ -100,6 +102,18 @@ def test_alignment_adds_up():
         assert abs(sum(p["distance"] for p in pairs) - slow_distance(code(a), code(b))) < 1e-9
 
 
+def test_alignments_of_a_batch_are_those_of_each_pair(spark):
+    rng = random.Random(8)
+    pairs = [([*rng.choices(I.SYMBOLS, k=rng.randint(0, 6))], [*rng.choices(I.SYMBOLS, k=rng.randint(0, 9))]) for _ in range(60)]
+    every = D.align_all(*map(list, zip(*pairs)))
+    assert every == [D.align(a, b) for a, b in pairs]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)] + [(99, None, ["a"])], "i long, a array<string>, b array<string>")
+    got = df.select("i", D.alignment(F.col("a"), F.col("b"), 7).alias("x")).orderBy("i").collect()
+    assert [[p.asDict() for p in r["x"]] for r in got[:-1]] == every and got[-1]["x"] is None
+    known = [(p["a"], p["b"], p["op"]) for p in D.align("k a N".split(), "a m i".split())]
+    assert known == [("k", None, "del"), ("a", "a", "match"), ("N", "m", "sub"), (None, "i", "ins")]
+
+
 def holds(query, candidate):
     """By hand: the query in one piece, specials between its phonemes skipped."""
     for start in range(len(candidate)):
@@ -197,6 +211,15 @@ def test_candidate_limit_and_batches(index, spark):
     assert sorted(map(str, single)) == sorted(map(str, S.search(index, asked, limit=3).where("query_id = 2").collect()))
 
 
+def test_floor_holds_before_rounding(index, monkeypatch):
+    asked = S.queries_of(index.lexicon.sparkSession, [(1, "チクビ", "チクビ")])
+    raw = S.search(index, asked, limit=1, keep_raw=True).first()
+    just = math.nextafter(raw["raw_score"], 2)  # above the best
+    assert H.four(just) == raw["score"]
+    assert {r["below_floor"] for r in S.search_with_floor(index, asked, min_score=just).collect()} == {True}
+    assert {r["below_floor"] for r in S.search_with_floor(index, asked, min_score=raw["raw_score"]).collect()} == {False}
+
+
 def test_floor_gives_way(sounds):
     rows = sounds.similar_with_floor(["チクビ", "ザザザザ"], limit=0).collect()
     flags = {r["query_id"]: r["below_floor"] for r in rows}
@@ -259,6 +282,45 @@ def test_beam_finds_the_best_chain(spark, index):
     assert H.ranked(H.chains(found, 6, 10**6), 1)[0][1] == H.four(best)
 
 
+def test_beams_double_up_to_the_widest():
+    assert H.widths(24) == [24, 48, 96, 192, 384, 512] and H.widths(512) == [512] and H.widths(300) == [300, 512] and H.widths(0)[:3] == [1, 2, 4]
+
+
+def slow_paths(found, length, at=0):
+    if at == length:
+        yield []
+    for option in found.get(at, []):
+        for rest in slow_paths(found, length, option.end):
+            yield [option, *rest]
+
+
+def test_graph_of_a_wide_beam_has_every_path(spark, index):
+    phrases = spark.createDataFrame([(1, "クビソラ")], "phrase_id long, reading string")
+    found = H.by_start(H.options(H.spans(phrases), index, keep=3).toPandas())
+    texts = {"".join(o.surface for o in p) for p in slow_paths(found, 4)}
+    assert 2 < len(texts) < H.WIDEST_BEAM
+    graph = H.widest_graph(found, 4, 24, 10**6, 10**6)
+    assert {p[0] for p in graph.paths} == texts and not graph.truncated
+    assert {n for n, _ in graph.nodes()} == {o.node for p in slow_paths(found, 4) for o in p}
+    small = H.widest_graph(found, 4, 24, 6, 2)
+    assert len(small.first) <= 6 and small.truncated and small.paths[0] == graph.paths[0]
+
+
+def test_chains_are_the_best_of_all_paths(spark, index):
+    phrases = spark.createDataFrame([(i, r) for i, r in enumerate(["チクビソラ", "ラーメンカガク", "テンシャ"])], "phrase_id long, reading string")
+    rows = H.options(H.spans(phrases), index, keep=4).toPandas()
+    got = H.compose(phrases, index, limit=8, beam=10**6, keep=4).collect()
+    for i, moras in ((0, 5), (1, 7), (2, 3)):
+        best = {}
+        for p in slow_paths(H.by_start(rows[rows["phrase_id"] == i]), moras):
+            mean = sum(o.weight for o in p) / len(p)
+            own = (H.four(mean - H.SEGMENT_PENALTY * (len(p) - 1)), len(p), "".join(o.surface for o in p))
+            if own[2] not in best or own[0] > best[own[2]][0]:
+                best[own[2]] = own
+        want = sorted(best.values(), key=lambda x: (-x[0], x[1], x[2]))[:8]
+        assert [(r["score"], r["segment_count"], r["text"]) for r in sorted((r for r in got if r["phrase_id"] == i), key=lambda r: r["rank"])] == want
+
+
 def test_lattice_is_the_fold_of_its_paths(sounds):
     nodes, edges = sounds.lattice(["チョコビラーメン"], node_budget=20)
     n, e = nodes.collect(), edges.collect()
@@ -342,11 +404,59 @@ def test_command_line(spark, tmp_path, capsys):
     rows.write.parquet(str(tmp_path / "rows"))
     at = ["--index", str(tmp_path / "index")]
     assert cli.main(["build-index", str(tmp_path / "rows"), *at], spark) == 0
+    assert cli.main(["build-index", str(tmp_path / "rows"), *at], spark) == 1  # there is one
+    assert cli.main(["build-index", str(tmp_path / "rows"), "--force", *at], spark) == 0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["index", "rows"]
     for args in (["similar", "チクビ", "--json"], ["phrase", "チクビ", "--json"], ["phrase", "チクビ", "--lattice"], ["compare", "チクビ", "チョコビ", "--json"], ["pronounce", "チクビ"], ["info"]):
         assert cli.main([*args, *at], spark) == 0
     assert "手首" in capsys.readouterr().out
 
 
+def test_a_failed_build_leaves_the_old_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    assert X.build(vocabulary.sample(spark), path) == len(vocabulary.SAMPLE)
+    broken = vocabulary.sample(spark).withColumn("surface", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        X.build(broken, path, force=True)
+    with pytest.raises(FileExistsError):
+        X.build(vocabulary.sample(spark), path)
+    assert X.open_index(spark, path).lexicon.count() == len(vocabulary.SAMPLE) and [p.name for p in tmp_path.iterdir()] == ["index"]
+    assert api.Phonetics.open(spark, path).similar(["タンポ"], limit=1).first()["word"] == "散歩"
+
+
+def test_tools(sounds):
+    import io
+    import json
+
+    from soundweave import mcp
+
+    sink, number = io.StringIO(), 0
+
+    def ask(method, **params):
+        nonlocal number
+        number += 1
+        return json.dumps({"jsonrpc": "2.0", "id": number, "method": method, "params": params})
+
+    def tool(name, **given):
+        return ask("tools/call", name=name, arguments=given)
+
+    asked = [
+        ask("initialize"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), ask("tools/list"), tool("search_phonetically", query="チクビ", limit=2), tool("search_phonetically", query="チクビ", min_mora=5, max_mora=5),
+        tool("search_phonetically", query="チクビ", preset="x"), tool("search_phonetically", query="チクビ", categories=["x"]), tool("search_phonetically", query="チクビ", min_mora=4, max_mora=3), tool("compose_phrase", text="チョコビラーメン", limit=1),
+        tool("compare_phonetically", a="チクビ", b="チョコビ"), tool("pronounce", text="キッテ"), tool("nothing"), tool("pronounce"), tool("pronounce", text="ア", more=1), ask("resources/list"), "{", "", ask("ping"),
+    ]
+    mcp.serve(lambda: sounds, io.StringIO("\n".join(asked)), sink)
+    got = [json.loads(line) for line in sink.getvalue().splitlines()]
+    assert len(got) == 16 and got[0]["result"]["serverInfo"]["name"] == "soundweave"
+    assert [t["name"] for t in got[1]["result"]["tools"]] == ["search_phonetically", "compose_phrase", "compare_phonetically", "pronounce"]
+    texts = [json.loads(a["result"]["content"][0]["text"]) for a in got[2:10]]
+    assert [r["word"] for r in texts[0]["results"]] == ["手首", "仕組み"] and texts[0]["reading"] == "チクビ" and texts[0]["scanned"] is None and texts[0]["mora_count"] == 3
+    assert [r["word"] for r in texts[1]["results"]] == ["チョコボール"] and texts[1]["scanned"] == 1
+    assert all("error" in t for t in texts[2:5]) and "pun" in texts[2]["available"] and "person" in texts[3]["available"] and got[4]["result"]["isError"]
+    assert texts[5]["results"][0]["text"] == "手首ラーメン" and texts[6]["distance"] == 1.15 and texts[6]["spaces"]["vowel"] == 0.6167 and texts[7]["ipa"] == "kitte" and "vowel_skeleton" in texts[7]
+    assert [a["error"]["code"] for a in got[10:15]] == [mcp.BAD_PARAMETERS] * 3 + [mcp.NO_METHOD, mcp.PARSE_ERROR] and got[15]["result"] == {}
+
+
 def test_streams_get_the_same_values(spark, tmp_path):
     rows = spark.createDataFrame([("チョコビ",), ("ラーメン",), (None,)], "reading string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -374,4 +484,18 @@ def test_http_answers(sounds):
     assert len(ask("/api/phonemes", {})[1]["phonemes"]) == 37 and ask("/api/info", {})[1]["count"] == "18"
     for path, given in (("/api/similar", {}), ("/api/similar", {"q": "ア", "candidates": "0"}), ("/api/similar", {"q": "ア", "limit": "-1"}), ("/api/phrase", {"q": "ア", "limit": "51"}), ("/api/similar", {"q": "ア", "min_mora": "3", "max_mora": "2"}), ("/api/similar", {"q": "ア", "categories": "x"})):
         assert ask(path, given)[0] == 400
-    assert ask("/api/nothing", {})[0] == 404 and ask("/", {})[0] == 404
+    for path in ("/api/nothing", "/", "/api/_init__", "/api/__init__", "/api/how", "/api/read", "/api/similar/", "/api/respond"):
+        assert ask(path, {"q": "ア", "x": "1"})[0] == 404
+
+
+def test_pages_lose_nothing(sounds, monkeypatch):
+    from soundweave import server
+
+    every = [r["word"] for r in sounds.similar(["チクビ"], limit=0).orderBy("rank").collect()]
+    monkeypatch.setattr(server, "PAGE", 5)
+    got, offset, more = [], 0, True
+    while more:
+        status, body = server.Service(sounds).respond("/api/similar", {"q": "チクビ", "min_score": "0", "offset": str(offset)})
+        got += [r["word"] for r in body["results"]]
+        offset, more = offset + 5, body["more"]
+    assert got == every and len(got) > 5
