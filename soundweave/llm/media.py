@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 
 from .common import documents, map_groups, raw_texts
 
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 16_000, 2, 3
 TAPS = 16  # per phase
 FRAME, HOP, MELS = 256, 128, 24
 POOL = 8  # frames of a segment's tensor
 HIGH, LOW, HANG = 0.5, 0.2, 2  # of a text's energy range; frames below LOW that end a segment
-BLOCK = 1 << 16
+BLOCK = DOWN << 15  # samples of the stored signal filtered at once; outputs of all blocks lie on one grid
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long"
 
@@ -69,13 +69,17 @@ def phases(up: int, down: int, taps: int = TAPS) -> np.ndarray:
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
     """Output i sits at input time i * down / up; only the taps of its own phase are computed."""
     bank = phases(up, down)
-    padded = np.concatenate([np.zeros(bank.shape[1] - 1, np.float32), x])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, bank.shape[1])
+    taps = bank.shape[1]
+    padded = np.concatenate([np.zeros(taps - 1, np.float32), x])
     out = np.empty(-(-len(x) * up // down), np.float32)
-    for p in range(up):  # outputs whose position modulo up is p
-        i = np.arange((p * pow(down, -1, up)) % up if up > 1 else 0, len(out), up)
-        if len(i):
-            out[i] = windows[(i * down) // up] @ bank[p]
+    for p in range(up):  # outputs whose position modulo up is p: every up-th, from every down-th input
+        first = (p * pow(down, -1, up)) % up if up > 1 else 0
+        own = out[first::up]
+        begin = first * down // up
+        total = np.zeros(len(own), np.float32)
+        for t in range(taps):
+            total += padded[begin + t :: down][: len(own)] * bank[p, t]
+        own[:] = total
     return out
 
 
@@ -96,7 +100,7 @@ def log_mel(samples: bytes, rate: int = RATE) -> np.ndarray:
     """(frames, MELS) float32; computed in blocks that overlap as the filters and frames need."""
     x = np.frombuffer(samples, np.uint8)
     step, bank, out_rate = BLOCK, filterbank(rate * UP // DOWN), []
-    lead = DOWN * TAPS  # input samples that the resampler looks back
+    lead = DOWN * TAPS  # input samples that the resampler looks back, and a multiple of DOWN
     rows, rest = out_rate, np.zeros(0, np.float32)
     for at in range(0, len(x), step):
         begin = max(0, at - lead)
