@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -241,11 +242,35 @@ def test_resampling_in_blocks_is_resampling_at_once():
     frames = 1 + -(-max(0, len(whole) - media.FRAME) // media.HOP)
     mel = media.log_mel(samples.tobytes())
     assert mel.shape == (frames, media.MELS)
-    k = media.BLOCK // media.DOWN // media.HOP + 3  # a frame beyond the first block
-    own = np.log((np.abs(np.fft.rfft(whole[k * media.HOP : k * media.HOP + media.FRAME] * media.WINDOW)) ** 2).astype(np.float32) @ media.filterbank(8000) + 1e-6)
+    k = media.BLOCK * media.UP // media.DOWN // media.HOP + 3  # a frame beyond the first block
+    own = np.log((np.abs(np.fft.rfft(whole[k * media.HOP : k * media.HOP + media.FRAME] * media.WINDOW)) ** 2).astype(np.float32) @ media.filterbank(media.RATE * media.UP // media.DOWN) + 1e-6)
     assert np.allclose(mel[k], own, atol=1e-3)
 
 
+def test_features_match_direct_resampling_and_pooling(spark):
+    loud = "".join(chr(33 + i * i % 90) * (i % 7 + 1) for i in range(300))
+    text = loud + "~" * 2000 + loud
+    row = media.audio_features(frame(spark, [(1, text)])).first()
+    x = (np.frombuffer(media.payload_of(text.encode()), np.uint8).astype(np.float64) - 128) / 128
+    bank = media.phases(media.UP, media.DOWN)
+    wide = np.zeros(len(x) * media.UP)
+    wide[:: media.UP] = x
+    y = np.convolve(wide, bank[:, ::-1].T.reshape(-1).astype(np.float64))[: len(wide)][:: media.DOWN]
+    n = 1 + max(0, -(-(len(y) - media.FRAME) // media.HOP))
+    y = np.append(y, np.zeros((n - 1) * media.HOP + media.FRAME - len(y)))
+    mel = np.log(np.stack([np.abs(np.fft.rfft(y[i * media.HOP :][: media.FRAME] * media.WINDOW)) ** 2 for i in range(n)]) @ media.filterbank(media.RATE * media.UP // media.DOWN) + 1e-6)
+    with pa.ipc.open_stream(row["features"]) as stream:
+        table = stream.read_all()
+    hop = 1000 * media.HOP * media.DOWN / (media.RATE * media.UP)
+    assert hop == 12
+    for begin, end, cells in zip(table["begin_ms"].to_pylist(), table["end_ms"].to_pylist(), table["log_mel"].combine_chunks().to_numpy_ndarray()):
+        a, b = round(begin / hop), round(end / hop)
+        cuts = np.linspace(a, b, media.POOL + 1)
+        want = [mel[min(int(c), b - 1) : max(math.ceil(d), min(int(c), b - 1) + 1)].mean(axis=0) for c, d in zip(cuts[:-1], cuts[1:])]
+        assert np.allclose(cells, want, atol=2e-3)
+    assert table.num_rows == len(media.segments(mel.astype(np.float32))) > 1
+
+
 def test_polyphase_matches_plain_resampling():
     x = np.random.default_rng(1).normal(size=500).astype(np.float32)
     for up, down in ((1, 2), (3, 2), (2, 3)):
