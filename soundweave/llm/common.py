@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -17,9 +19,13 @@ GROUP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir. Where that is unset, a local one if driver and executors are
+    one machine (tests); on a cluster an error, as results would be silently incomplete."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = f"file://{tempfile.gettempdir()}/soundweave-checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -28,13 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and a lost executor loses nothing.
 
-    Each call has a folder of its own, which belongs to the cluster's scratch space like any checkpoint."""
+    Each call has a folder of its own, which is deleted when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the cluster may be gone already
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns by position, whatever other columns there are; missing ones are null.
 

@@ -6,16 +6,19 @@ Fingerprints: A-Z lower-cased, words [^\x20\x09-\x0D]+, 3-word shingles with rep
 Links: with BLOCKS = 8 blocks of 8 bits, fingerprints that differ in at most RADIUS = 2 bits agree in some six blocks.
 Each distinct fingerprint goes to the 28 buckets named by six of its blocks. A bucket holds at most 2**16 distinct
 fingerprints, since only two blocks are free; a third of all rows in one group of copies can't make it larger. Within a
-bucket, fingerprints are kept as bit planes: plane j holds bit j of 64 fingerprints a word. A query's difference with
-a whole block is counted plane by plane with carry-save counters (ones, twos, over); once all of a block's bits in
-`over` are set, the block is abandoned. Of a bucket's links only a spanning forest is returned, never all pairs.
+bucket, fingerprints are kept as bit planes: plane j holds bit j of 64 fingerprints a word. A query's differences with
+blocks of 64 are counted plane by plane with carry-save counters (ones, twos, over), over the planes in which the bucket's
+fingerprints differ at all; once all of a block's bits in `over` are set, the block is abandoned. Buckets of SMALL
+fingerprints or fewer are compared together, each with the one s places on, for each s. Of a bucket's links only a spanning
+forest is returned, with a row less than it has fingerprints at most, never all pairs.
 
 Components: alternating large and small stars over the links between classes, staged after each round, until nothing
 changes.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; repeated rows each give a row;
 null doc_ids are never a component's name unless it has no other; an empty table gives an empty result; other columns
-are ignored.
+are ignored. A bit that exactly half of the hashes have is not set. A text of any length is read whole; its shingles are
+counted in steps. Of rows with one doc_id and text `one_of_each` keeps one, no matter which.
 """
 
 from __future__ import annotations
@@ -81,19 +84,36 @@ def within(differences: Iterator[np.ndarray], words: int) -> np.ndarray | None:
     return ~over
 
 
+def blocks_within(block: np.ndarray, value: int, which: list[int], first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words from first on, bits of the positions in them that differ from value in at most two of the planes which)."""
+    live = np.arange(first, block.shape[1])
+    ones, twos, over = (np.zeros(len(live), np.uint64) for _ in range(3))
+    full = ~np.uint64(0)
+    for i, j in enumerate(which, 1):
+        d = block[j, live] ^ (full if value >> j & 1 else np.uint64(0))
+        carry = ones & d
+        over |= twos & (carry | (ones ^ d))  # three or more
+        ones ^= d
+        twos |= carry
+        if i % 4 == 0 and (done := over == full).any():
+            live, ones, twos, over = (x[~done] for x in (live, ones, twos, over))
+            if not len(live):
+                break
+    return live, ~over
+
+
 def forest(values: np.ndarray) -> np.ndarray:
     """For each of the distinct values of one bucket, the least value linked with it within the bucket."""
     n = len(values)
     label = np.arange(n)
-    block = planes(values)
-    full, words = ~np.uint64(0), block.shape[1]
+    block, differ = planes(values), int(np.bitwise_or.reduce(values) ^ np.bitwise_and.reduce(values))
+    which = [j for j in range(64) if differ >> j & 1]
     for q in range(n - 1):
-        w = (q + 1) // 64  # earlier ones have been queries themselves
-        bits = [full if (int(values[q]) >> j) & 1 else np.uint64(0) for j in range(64)]
-        near = within((block[j, w:] ^ bits[j] for j in range(64)), words - w)
-        if near is None:
+        words, near = blocks_within(block, int(values[q]), which, (q + 1) // 64)  # earlier ones have been queries themselves
+        if not near.any():
             continue
-        found = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")) + 64 * w
+        bits = np.unpackbits(near.view(np.uint8), bitorder="little").reshape(len(words), 64)
+        found = (words[:, None] * 64 + np.arange(64))[bits.astype(bool)]
         found = found[(found > q) & (found < n)]
         if len(found):
             merge = np.unique(np.append(label[found], label[q]))
@@ -102,32 +122,35 @@ def forest(values: np.ndarray) -> np.ndarray:
     return values[label]
 
 
-def small_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links in many small buckets at once: pair s apart of all buckets form one bit-sliced comparison for each s."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def small_forests(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forests of many small buckets at once: (values, the least value linked with each, if another). The pairs s
+    apart of all buckets form one bit-sliced comparison for each s; labels then sink along the links."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     sizes = ends - starts
     for s in range(1, int(sizes.max(initial=1))):
         wide = sizes > s
-        at = np.concatenate([np.zeros(0, np.int64), *[np.arange(a, b - s) for a, b in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True)]])
-        if not len(at):
-            break
-        a, b = values[at], values[at + s]
-        pa_, pb = planes(a), planes(b)
-        near = within((pa_[j] ^ pb[j] for j in range(64)), pa_.shape[1])
+        at = np.concatenate([np.arange(a, b - s) for a, b in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True)])
+        a, b = planes(values[at]), planes(values[at + s])
+        near = within((a[j] ^ b[j] for j in range(64)), a.shape[1])
         if near is not None:
             hit = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
             hit = hit[hit < len(at)]
-            out.append((a[hit], b[hit]))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+            left.append(at[hit])
+            right.append(at[hit] + s)
+    a, b, label = np.concatenate(left), np.concatenate(right), np.arange(len(values))
+    while len(high := np.flatnonzero(label[a] != label[b])):
+        low = np.minimum(label[a[high]], label[b[high]])
+        np.minimum.at(label, a[high], low)
+        np.minimum.at(label, b[high], low)
+    off = np.flatnonzero(label != np.arange(len(values)))
+    return values[off], values[label[off]]
 
 
 SMALL = 24
 
 
 def bucket_links(tables: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole buckets; rows are in order of table and key."""
+    """A forest of the links of whole buckets; rows are in order of table and key."""
     new = np.flatnonzero(np.append(True, (tables[1:] != tables[:-1]) | (keys[1:] != keys[:-1])))
     ends = np.append(new[1:], len(values))
     several = ends - new > 1
@@ -135,7 +158,7 @@ def bucket_links(tables: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tu
     small = ends - starts <= SMALL
     left, right = [], []
     if small.any():
-        a, b = small_pairs(values, starts[small], ends[small])
+        a, b = small_forests(values, starts[small], ends[small])
         left.append(a)
         right.append(b)
     for s, e in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
