@@ -8,6 +8,12 @@ Parquet and read again as the next one's docs. All but the last return the colum
 * decontamination: documents with a word inside a benchmark window go.
 * secrets: findings are masked in the text, and n_chars follows; no document goes.
 * packing: pieces of sequences, one row each.
+
+Defined cases, in each stage by the operator's own rules: a null text counts as empty and stays null; rows of one
+fingerprint, repeated rows and null texts among them, are one group, of which the least doc_id stays (a null one only
+where there is no other; of repeated rows one); a null doc_id has no label; items without words contaminate nothing; texts
+of any length are read whole; empty tables pass all stages; other columns of documents, whatever their names, go through
+all stages but the last.
 """
 
 from __future__ import annotations
