@@ -64,6 +64,19 @@ def test_stages_and_run(spark, tmp_path):
     assert {r["length"] <= packing.SEQUENCE for r in again} == {True}
 
 
+def test_nulls_ties_and_repeated_rows_pass_every_stage(spark, tmp_path):
+    folder = str(tmp_path)
+    same = "one text that is here again and again with some words of its own"
+    rows = [(None, same), (None, same), (7, same), (7, same), (8, None), (8, None), (None, None), (9, ""), (10, f"{same} " * 20_000), (11, "password=hunter2hunter2 of a text of its own")]
+    frame(spark, rows, extra=False).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(None, "q"), (1, None), (1, ""), (2, "no such words anywhere in these texts at all my friend")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(None, 1, 1), (7, None, None), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    # Of equal fingerprints one stays: the one text with the least doc_id, one of the empty ones, and the two others.
+    assert sorted({r["doc_id"] for r in got}) == [7, 8, 10, 11]
+    check_packing([(7, same), (8, ""), (10, rows[8][1]), (11, "[SECRET] of a text of its own")], got)
+
+
 def test_empty_tables_pass_every_stage(spark, tmp_path):
     folder = str(tmp_path)
     empty(spark).write.parquet(f"{folder}/documents.parquet")
