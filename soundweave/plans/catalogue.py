@@ -190,7 +190,6 @@ def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS = f"{_NATION}, pairs AS (SELECT x.id AS a, y.id AS b, x.codes AS codes_a, y.codes AS codes_b, {O.skeleton('x.codes')} AS skel_a, {O.skeleton('y.codes')} AS skel_b FROM sounded_nations x JOIN sounded_nations y ON x.id < y.id), {O.COSTS}"
-_COSTS_OF = ", ".join(f"({O.text(s)}, {O.text(t)}, {D.SUBSTITUTE[i, j]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::") for i, s in enumerate(I.SYMBOLS) for j, t in enumerate(I.SYMBOLS))
 
 
 @register(f"WITH {_PAIRS} SELECT a, b, {O.four(O.edit_distance('codes_a', 'codes_b'))} AS distance FROM pairs, costs")
@@ -224,7 +223,10 @@ def compare_pairs(spark, sf_dir):
     return S.compare(nation_pairs(spark, sf_dir).select("a", "b", "reading_a", "reading_b")).select("a", "b", "distance", "similarity", "phonetic", "coda", "vowel")
 
 
-@register()
+@register(
+    f"WITH {_PAIRS}, {O.FEATURES}, both_codes AS (SELECT codes FROM sounded_nations), {_cosine('vk', O.consonant_vectors)} "
+    f"SELECT a, b, {O.four('coalesce(k.v, 0)')} AS consonant, {O.four(O.rhythm_similarity('codes_a', 'codes_b'))} AS rhythm FROM pairs LEFT JOIN vk_dot k USING (a, b)"
+)
 def compare_spaces(spark, sf_dir):
     return S.compare(nation_pairs(spark, sf_dir).select("a", "b", "reading_a", "reading_b")).select("a", "b", "consonant", "rhythm")
 
@@ -235,7 +237,7 @@ def align_pairs(spark, sf_dir):
     return rows.select("a", "b", F.posexplode("pairs").alias("place", "p")).select("a", "b", "place", F.col("p.a").alias("left"), F.col("p.b").alias("right"), P.round4(F.col("p.distance")).alias("distance"), "p.op")
 
 
-@register(f"SELECT a, b, {O.four('distance')} AS distance FROM (VALUES {_COSTS_OF}) AS t(a, b, distance)")
+@register(O.PHONEME_DISTANCES)
 def phoneme_distances(spark, sf_dir):
     cost = F.array(*[F.array(*map(F.lit, row)) for row in D.SUBSTITUTE[: D.UNKNOWN, : D.UNKNOWN].tolist()])
     names = F.array(*map(F.lit, I.SYMBOLS))
@@ -247,7 +249,7 @@ def phoneme_distances(spark, sf_dir):
 _KIND = {s: "consonant" for s in I.CONSONANTS} | {s: "vowel" for s in I.VOWELS} | {s: "special" for s in I.SPECIALS}
 
 
-@register(f"SELECT * FROM (VALUES {', '.join(f'({O.text(s)}, {O.text(k)}, {O.text(I.IPA[s])})' for s, k in _KIND.items())}) AS t(symbol, kind, ipa)")
+@register(O.PHONEME_FEATURES)
 def phoneme_features(spark, sf_dir):
     return spark.createDataFrame([(s, k, I.IPA[s]) for s, k in _KIND.items()], "symbol string, kind string, ipa string")
 
@@ -374,12 +376,12 @@ def search_range(spark, sf_dir):
     return S.search(index_of(spark, sf_dir), regions(spark, sf_dir), limit=20, min_mora=5, max_mora=5).select(*_SHOWN)
 
 
-@register()
+@register(O.search("pun", 10, S.CANDIDATES, S.MORA_GAP, names=O.NATIONS))
 def search_nations(spark, sf_dir):
     return S.search(index_of(spark, sf_dir), nations(spark, sf_dir)).select(*_SHOWN)
 
 
-@register()
+@register(O.search("pun", 0, S.CANDIDATES, S.MORA_GAP, floor=0.7))
 def search_floor(spark, sf_dir):
     return S.search_with_floor(index_of(spark, sf_dir), regions(spark, sf_dir)).select(*_SHOWN, "below_floor")
 
@@ -419,7 +421,27 @@ def particle_options(spark, sf_dir):
     return H.particle_options(sounds).select("span_codes", "surface", "reading", P.round4(F.col("similarity")).alias("similarity"), P.round4(F.col("weight")).alias("weight"))
 
 
-@register()
+_WORDS_NEAR = O.similarity(O.edit_distance("s.span_codes", "g.codes"), "s.span_codes", "g.codes")
+_OPTIONS = f""", {_SPANS.removeprefix('WITH ')}, {_PARTICLES},
+usual AS (SELECT * FROM lexicon WHERE category IN ({', '.join(map(O.text, L.DEFAULT_CATEGORIES))})),
+heard AS (SELECT DISTINCT mora_count, codes, phon FROM usual),
+near AS (SELECT * FROM (SELECT s.span_codes, g.mora_count, g.phon, {_WORDS_NEAR} AS similarity FROM sounds_of_spans s JOIN heard g ON {O.mora_count('s.span_codes')} = g.mora_count, costs) WHERE similarity >= {H.MIN_CHUNK}),
+part AS (SELECT n.span_codes, w.surface, w.reading, n.similarity, {H.SIMILARITY_WEIGHT}::DOUBLE * n.similarity + {H.FAMILIARITY_WEIGHT}::DOUBLE * w.familiarity::DOUBLE AS part FROM near n JOIN usual w USING (mora_count, phon)),
+first_some AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY span_codes ORDER BY part DESC, reading, surface) <= {4 * H.CHUNK_CANDIDATES}),
+told AS (
+  SELECT *, part + {H.INFORMATION_WEIGHT}::DOUBLE * (CASE WHEN surface = reading THEN 0.0::DOUBLE WHEN regexp_matches(surface, '{P.KANJI}') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS weight
+  FROM first_some WHERE NOT regexp_matches(surface, '{P.UNREADABLE}')),
+by_reading AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY span_codes, reading ORDER BY weight DESC, part DESC, surface) = 1),
+function_words AS (SELECT * FROM (SELECT s.span_codes, p.surface, p.reading, {_NEAR} AS similarity FROM sounds_of_spans s JOIN sounded_particles p ON {O.mora_count('s.span_codes')} = {O.mora_count('p.codes')}, costs) WHERE similarity >= {H.MIN_CHUNK}),
+every AS (
+  SELECT span_codes, surface, reading, similarity, weight, false AS is_particle FROM by_reading
+  UNION ALL SELECT span_codes, surface, reading, similarity, ({H.SIMILARITY_WEIGHT}::DOUBLE * similarity + {H.FAMILIARITY_WEIGHT}::DOUBLE + {H.INFORMATION_WEIGHT * 0.5}::DOUBLE) * {H.PARTICLE_FACTOR}::DOUBLE, true FROM function_words),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY span_codes ORDER BY weight DESC, is_particle, similarity DESC, reading, surface)::INTEGER AS place FROM every)"""
+
+
+@register(
+    O.with_lexicon(f'SELECT phrase_id, start, "end", place, surface, reading, {O.four("similarity")} AS similarity, {O.four("weight")} AS weight, is_particle FROM sounded_spans JOIN ranked USING (span_codes) WHERE place <= {H.CHUNK_CANDIDATES}', _OPTIONS)
+)
 def chunk_options(spark, sf_dir):
     found = H.options(H.spans(phrases(spark, sf_dir)), index_of(spark, sf_dir))
     return found.select("phrase_id", "start", "end", "place", "surface", "reading", P.round4(F.col("similarity")).alias("similarity"), P.round4(F.col("weight")).alias("weight"), "is_particle")

@@ -183,11 +183,16 @@ def scale_of(name: str, source: str) -> str:
 
 # Queries for search: the regions' names, spelled -------------------------------------------------------------------
 
-REGIONS = f"""
-asked_raw AS (SELECT r_regionkey::BIGINT AS query_id, r_name AS query_text, {spell("regexp_replace(lower(r_name), '[^a-z]', '', 'g')")} AS query_reading FROM region),
+def asked(table: str, key: str, name: str) -> str:
+    """CTEs with the names of a table, spelled, as queries."""
+    return f"""
+asked_raw AS (SELECT {key}::BIGINT AS query_id, {name} AS query_text, {spell(f"regexp_replace(lower({name}), '[^a-z]', '', 'g')")} AS query_reading FROM {table}),
 asked_codes AS (SELECT *, {codes('query_reading')} AS query_codes FROM asked_raw),
 asked AS (SELECT *, {mora_count('query_codes')} AS query_moras, {skeleton('query_codes')} AS query_skeleton FROM asked_codes)"""
 
+
+REGIONS, NATIONS = asked("region", "r_regionkey", "r_name"), asked("nation", "n_nationkey", "n_name")
+
 SOUNDS = f"""
 sounds AS (SELECT DISTINCT mora_count, phon, codes, {skeleton('codes')} AS skeleton FROM lexicon),
 {FEATURES}, {COSTS}, asked_sound AS (SELECT DISTINCT query_codes AS codes FROM asked),
@@ -198,7 +203,8 @@ dots_p AS (SELECT g.codes, a.codes AS query_codes, sum(g.q * a.q)::BIGINT AS dot
 dots_c AS (SELECT g.codes, a.codes AS query_codes, sum(g.q * a.q)::BIGINT AS dot FROM qc g JOIN aqc a USING (dim) GROUP BY g.codes, a.codes)"""
 
 
-def search(preset: str, limit: int, candidates: int, gap: int, least: int | None = None, most: int | None = None) -> str:
+def search(preset: str, limit: int, candidates: int, gap: int, least: int | None = None, most: int | None = None, names: str = REGIONS, floor: float | None = None) -> str:
+    """limit 0 is for a search with a floor: all rows above it, or 20 where there are none."""
     w = PRESETS[preset].normalized()
     ranged = least is not None or most is not None
     holds = w.containment > 0
@@ -212,11 +218,16 @@ found AS MATERIALIZED (SELECT query_id, mora_count, phon, codes, skeleton, dot::
   {'' if ranged else f'UNION ALL SELECT query_id, mora_count, phon, codes, skeleton, 0.0, ratio, coda_dot FROM pairs p WHERE ratio > 0 AND NOT EXISTS (SELECT 1 FROM top t WHERE t.query_id = p.query_id AND t.phon = p.phon AND t.r <= {candidates})'})"""
     phonetic = similarity(edit_distance("a.query_codes", "f.codes"), "a.query_codes", "f.codes")
     score = "0.0::DOUBLE + " + " + ".join(f"{getattr(w, n)!r}::DOUBLE * c_{n}" for n in ("phonetic", "embedding", "mora", "coda", "vowel", "familiarity", "containment"))
+    columns, kept = "", f"rank <= {limit}"
+    if floor is not None:
+        columns, kept = f", best < {floor} AS below_floor", f"CASE WHEN best < {floor} THEN rank <= 20 ELSE raw >= {floor} END"
     return with_lexicon(
         f"""
-SELECT query_id, rank, word, reading, score, {four('c_phonetic')} AS phonetic_similarity, {four('c_embedding')} AS embedding_similarity, {four('c_coda')} AS coda_similarity, {four('c_vowel')} AS vowel_similarity, {four('c_mora')} AS mora_similarity, {four('c_containment')} AS containment, mora_count, category, pos, familiarity
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mora_count, word, reading)::INTEGER AS rank FROM one WHERE n = 1) WHERE rank <= {limit}""",
-        f""", {REGIONS}, {SOUNDS}, {near},
+SELECT query_id, rank, word, reading, score, {four('c_phonetic')} AS phonetic_similarity, {four('c_embedding')} AS embedding_similarity, {four('c_coda')} AS coda_similarity, {four('c_vowel')} AS vowel_similarity, {four('c_mora')} AS mora_similarity, {four('c_containment')} AS containment, mora_count, category, pos, familiarity{columns}
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mora_count, word, reading)::INTEGER AS rank, max(raw) OVER (PARTITION BY query_id) AS best FROM one WHERE n = 1
+) WHERE {kept}""",
+        f""", {names}, {SOUNDS}, {near},
 comps AS (SELECT f.query_id, a.query_text, a.query_reading, f.mora_count, f.phon,
     {f'CASE WHEN f.ratio > 0 THEN 1.0::DOUBLE ELSE {phonetic} END' if holds else phonetic} AS c_phonetic,
     {similarity(edit_distance('a.query_skeleton', 'f.skeleton'), 'a.query_skeleton', 'f.skeleton')} AS c_vowel,
@@ -225,9 +236,71 @@ comps AS (SELECT f.query_id, a.query_text, a.query_reading, f.mora_count, f.phon
 normal AS (SELECT surface AS query_text, min(normalized) AS query_normal FROM lexicon GROUP BY surface),
 words AS (SELECT c.*, l.surface AS word, l.reading, l.pos, l.category, l.familiarity::DOUBLE AS c_familiarity FROM comps c JOIN lexicon l USING (mora_count, phon) LEFT JOIN normal n USING (query_text)
   WHERE l.category IN ({', '.join(map(text, L.DEFAULT_CATEGORIES))}) AND l.surface <> c.query_text AND l.surface IS DISTINCT FROM n.query_normal AND l.reading <> c.query_reading),
-scored AS (SELECT *, {four(score)} AS score, {three('c_familiarity')} AS familiarity, CASE WHEN word = reading THEN 0.0 WHEN regexp_matches(word, '{P.KANJI}') THEN 1.0 ELSE 0.5 END AS told FROM words),
+scored AS (SELECT *, {score} AS raw, {four(score)} AS score, {three('c_familiarity')} AS familiarity, CASE WHEN word = reading THEN 0.0 WHEN regexp_matches(word, '{P.KANJI}') THEN 1.0 ELSE 0.5 END AS told FROM words),
 one AS (SELECT *, row_number() OVER (PARTITION BY query_id, reading ORDER BY told DESC, score DESC, familiarity DESC, word DESC) AS n FROM scored)""",
     )
 
 
 PARTICLES = "particles AS (SELECT * FROM (VALUES " + ", ".join(f"({text(s)}, {text(r)})" for s, r in FUNCTION_WORDS) + ") AS t(surface, reading))"
+
+
+# Other spaces ---------------------------------------------------------------------------------------------------------
+
+
+def consonant_vectors(name: str, source: str) -> str:
+    """CTEs name(codes, dim, value) by the consonants alone; codes without any have no row."""
+    return f"""
+{name}_only AS (SELECT codes, regexp_replace(codes, '[^{I.CONSONANT_CODES}]', '', 'g') AS own FROM (SELECT DISTINCT codes FROM {source})),
+{name}_at AS (SELECT codes, own, length(own) AS n, unnest(generate_series(0, length(own) - 1)) AS i FROM {name}_only),
+{name}_bins AS (SELECT codes, own, n, i, unnest(CASE WHEN n = 1 THEN [0, 1, 2] WHEN i < n // 2 THEN [0, 1] ELSE [0, 2] END) AS bin FROM {name}_at),
+{name}_raw AS (SELECT b.codes, b.bin * {E.CONSONANT_BLOCK} + f.dim AS dim, sum(f.value) / any_value(CASE WHEN b.bin = 0 OR b.n = 1 THEN b.n WHEN b.bin = 1 THEN b.n // 2 ELSE b.n - b.n // 2 END) AS value
+  FROM {name}_bins b JOIN features f ON f.code = substr(b.own, b.i + 1, 1) AND f.dim < {E.CONSONANT_BLOCK} GROUP BY b.codes, b.bin * {E.CONSONANT_BLOCK} + f.dim),
+{name} AS (SELECT codes, dim, value / sqrt(sum(value * value) OVER (PARTITION BY codes)) AS value FROM {name}_raw)"""
+
+
+def rhythm(code: str) -> str:
+    """The eight numbers of a code string's rhythm, as a list."""
+    mora = f"[{I.CONSONANT_CODES}]?[{I.VOWEL_CODES}]|[{I.SPECIAL_CODES}]"
+    m = f"regexp_extract_all({code}, '({mora})', 1)"
+    special = f"list_transform({m}, lambda x: (x IN ('R', 'Q', 'N'))::INTEGER::DOUBLE)"
+    share = ", ".join(f"len(list_filter({m}, lambda x: x = '{s}'))::DOUBLE / len({m})" for s in "RQN")
+    first = [f"(len({m}) * {i} // 4)" for i in range(5)]
+    part = [f"CASE WHEN {b} > {a} THEN list_avg({special}[{a} + 1:{b}]) ELSE {special}[least({a}, len({m}) - 1) + 1] END" for a, b in zip(first[:-1], first[1:], strict=True)]
+    return f"[least(len({m}), 12)::DOUBLE / 12, {share}, {', '.join(part)}]"
+
+
+def rhythm_similarity(a: str, b: str) -> str:
+    x, y = rhythm(a), rhythm(b)
+    return f"greatest(0.0::DOUBLE, 1 - sqrt(list_sum(list_transform(list_zip({x}, {y}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))))"
+
+
+# Known values of phonemes, independent of the engine's tables -----------------------------------------------------------
+
+# Consonants with the ordinal of their place, manner, voicing, palatalisation and IPA.
+CONSONANTS = """c(symbol, place, manner, voiced, palatal, ipa) AS (VALUES
+('k', 5, 'stop', 0, 0, 'k'), ('g', 5, 'stop', 1, 0, 'ɡ'), ('ky', 5, 'stop', 0, 1, 'kʲ'), ('gy', 5, 'stop', 1, 1, 'ɡʲ'),
+('t', 2, 'stop', 0, 0, 't'), ('d', 2, 'stop', 1, 0, 'd'), ('p', 0, 'stop', 0, 0, 'p'), ('b', 0, 'stop', 1, 0, 'b'), ('py', 0, 'stop', 0, 1, 'pʲ'), ('by', 0, 'stop', 1, 1, 'bʲ'),
+('s', 2, 'fricative', 0, 0, 's'), ('z', 2, 'fricative', 1, 0, 'z'), ('sh', 3, 'fricative', 0, 1, 'ɕ'), ('j', 3, 'affricate', 1, 1, 'd͡ʑ'),
+('ts', 2, 'affricate', 0, 0, 't͡s'), ('ch', 3, 'affricate', 0, 1, 't͡ɕ'), ('h', 6, 'fricative', 0, 0, 'h'), ('hy', 4, 'fricative', 0, 1, 'ç'),
+('f', 0, 'fricative', 0, 0, 'ɸ'), ('fy', 0, 'fricative', 0, 1, 'ɸʲ'), ('v', 1, 'fricative', 1, 0, 'v'),
+('n', 2, 'nasal', 1, 0, 'n'), ('ny', 4, 'nasal', 1, 1, 'ɲ'), ('m', 0, 'nasal', 1, 0, 'm'), ('my', 0, 'nasal', 1, 1, 'mʲ'),
+('r', 2, 'liquid', 1, 0, 'ɾ'), ('ry', 2, 'liquid', 1, 1, 'ɾʲ'), ('y', 4, 'approximant', 1, 0, 'j'), ('w', 5, 'approximant', 1, 0, 'w'))"""
+# Vowels with height, backness, rounding and IPA; special moras with IPA.
+VOWELS = "v(symbol, height, back, round, ipa) AS (VALUES ('i', 0, 0, 0, 'i'), ('e', 1, 0, 0, 'e'), ('a', 2, 1, 0, 'a'), ('o', 1, 2, 1, 'o'), ('u', 0, 2, 0, 'ɯ'))"
+SPECIALS = "s(symbol, ipa) AS (VALUES ('R', 'ː'), ('Q', 'ʔ'), ('N', 'ɴ'))"
+# Distances between manners.
+MANNERS = """m(a, b, d) AS (VALUES ('stop', 'affricate', 0.35::DOUBLE), ('stop', 'fricative', 0.65), ('stop', 'nasal', 0.55), ('stop', 'liquid', 0.85), ('stop', 'approximant', 1.0),
+('affricate', 'fricative', 0.30), ('affricate', 'nasal', 0.80), ('affricate', 'liquid', 0.90), ('affricate', 'approximant', 1.0), ('fricative', 'nasal', 0.80),
+('fricative', 'liquid', 0.85), ('fricative', 'approximant', 0.90), ('nasal', 'liquid', 0.60), ('nasal', 'approximant', 0.80), ('liquid', 'approximant', 0.45))"""
+
+PHONEME_FEATURES = f"""WITH {CONSONANTS}, {VOWELS}, {SPECIALS}
+SELECT symbol, 'consonant' AS kind, ipa FROM c UNION ALL SELECT symbol, 'vowel', ipa FROM v UNION ALL SELECT symbol, 'special', ipa FROM s"""
+
+PHONEME_DISTANCES = f"""WITH {CONSONANTS}, {VOWELS}, {SPECIALS}, {MANNERS},
+every AS (SELECT symbol, 'c' AS kind FROM c UNION ALL SELECT symbol, 'v' FROM v UNION ALL SELECT symbol, 's' FROM s),
+both_c AS (SELECT x.symbol AS a, y.symbol AS b, 0.40::DOUBLE * (abs(x.place - y.place) / 6.0::DOUBLE) + 0.40::DOUBLE * coalesce(m.d, 0) + 0.14::DOUBLE * abs(x.voiced - y.voiced) + 0.06::DOUBLE * abs(x.palatal - y.palatal) AS d
+  FROM c x CROSS JOIN c y LEFT JOIN m ON (m.a = x.manner AND m.b = y.manner) OR (m.b = x.manner AND m.a = y.manner)),
+both_v AS (SELECT x.symbol AS a, y.symbol AS b, 0.45::DOUBLE * abs(x.height - y.height) / 2 + 0.40::DOUBLE * abs(x.back - y.back) / 2 + 0.15::DOUBLE * abs(x.round - y.round) AS d FROM v x CROSS JOIN v y),
+known AS (SELECT * FROM both_c UNION ALL SELECT * FROM both_v)
+SELECT x.symbol AS a, y.symbol AS b, {four("CASE WHEN x.symbol = y.symbol THEN 0.0::DOUBLE WHEN k.d IS NOT NULL THEN k.d WHEN x.kind = 's' AND y.kind = 's' THEN CASE WHEN 'R' IN (x.symbol, y.symbol) THEN 0.55::DOUBLE ELSE 0.60::DOUBLE END WHEN 'N' IN (x.symbol, y.symbol) AND (x.symbol IN ('n', 'ny', 'm', 'my') OR y.symbol IN ('n', 'ny', 'm', 'my')) THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END")} AS distance
+FROM every x CROSS JOIN every y LEFT JOIN known k ON k.a = x.symbol AND k.b = y.symbol"""
