@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -96,10 +97,20 @@ def spellings(words: list[bytes], pairs: np.ndarray) -> np.ndarray:
 # Vocabulary --------------------------------------------------------------------------------------------------------
 
 
-class _Places(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def distinct_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(each word's place among the distinct words, these, the number of words of each text)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    coded = pc.dictionary_encode(lists.flatten())
+    places, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    if b"" in words:  # before or after white space
+        none = words.index(b"")
+        some = places != none
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
+        places = places[some]
+        places = places - (places > none)
+        del words[none]
+    return places.astype("<u4"), words, sizes
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -109,17 +120,12 @@ def hashed(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(pairs)
 
     def block_of(part: pa.RecordBatch, block: int) -> dict:
-        places = _Places()
-        own = []
-        for raw in raw_texts(part):
-            words = raw.translate(LOWER).split()
-            own.append(np.fromiter(map(places.__getitem__, words), "<u4", len(words)))
-        every, words = np.concatenate(own), list(places)
+        every, words, sizes = distinct_words(part.column("text"))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words))
         times = np.bincount(every, minlength=len(words)).astype("<u4")
         spelled = spellings(words, sent.value).astype("<f4") if words else np.zeros(0, "<f4")
         blobs = {"places": every, "words": hashes, "times": times, "spelled": spelled}
-        return {"block": [block], "doc_ids": [part.column("doc_id").to_pylist()], "sizes": [list(map(len, own))]} | {k: [x.tobytes()] for k, x in blobs.items()}
+        return {"block": [block], "doc_ids": [part.column("doc_id").to_pylist()], "sizes": [sizes.tolist()]} | {k: [x.tobytes()] for k, x in blobs.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
