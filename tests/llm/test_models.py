@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -334,6 +335,14 @@ def test_empty_table_scores_nothing(spark):
     assert [r["n_words"] for r in lm_score.lm_scores(frame(spark, [(1, None), (2, " ")])).collect()] == [0, 0]
 
 
+def test_words_are_split_as_bytes_are():
+    rng = np.random.default_rng(0)
+    odd = [None, "", " ", "A", " a  B\t", "x\x0b\x0cY\r\n", "\x1c\x1d z\x1f", "\x85 \xa0É é", "\u2003a\u3000", "\x00 \x00a"] + ["".join(rng.choice(list("aB \té\x1e\u2009\n"), 40)) for _ in range(60)]
+    places, words, sizes = lm_score.distinct_words(pa.array(odd, pa.string()).slice(1).take(pa.array(range(len(odd) - 1))))
+    want = [(t or "").encode().translate(lm_score.LOWER).split() for t in odd[1:]]
+    assert [words[p] for p in places] == [w for own in want for w in own] and sizes.tolist() == list(map(len, want)) and len(set(words)) == len(words)
+
+
 def test_neighbours_stay_within_a_text():
     own = lm_score.Texts(np.array([5, 6, 7, 8], np.int32), np.array([3, 0, 1]), 99)
     near = np.concatenate([n for n, _ in own.batches(2)])
