@@ -20,6 +20,7 @@ from ..functions import embedding as E
 from ..functions import phonology as P
 from ..functions.scoring import Weights, weights_of
 from ..sources.lexicon import CATEGORIES, DEFAULT_CATEGORIES
+from ..sources.staging import small
 from ..sources.vocabulary import with_sound
 from .index import Index, mora_range
 
@@ -27,7 +28,6 @@ from .index import Index, mora_range
 CANDIDATES, MORA_GAP = 8000, 3
 #: Queries handled in one pass over the sounds.
 BLOCK = 256
-BROADCAST_ROWS = 100_000
 
 FOUND = "query_id long, mora_count int, phon string, codes string, skeleton string, dot long, ratio double, coda_dot long"
 
@@ -142,11 +142,6 @@ def candidate_sounds(index: Index, queries: DataFrame, candidates: int = CANDIDA
     return top.unionByName(holds) if contained else top
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has most rows or fewer."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def scored_sounds(index: Index, queries: DataFrame, weights: Weights, **how) -> DataFrame:
     """The candidates with the components that depend on the sound alone."""
     found = candidate_sounds(index, queries, contained=weights.containment > 0, **how)

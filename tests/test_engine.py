@@ -92,6 +92,17 @@ def test_edit_distance_three_ways(spark):
     assert got[-1]["x"] is None and got[-1]["y"] is None
 
 
+def test_distances_over_the_cutoff_are_given_up(spark):
+    rng = random.Random(4)
+    pairs = [("".join(rng.choices(I.CODES, k=rng.randint(0, 11))), "".join(rng.choices(I.CODES, k=rng.randint(0, 14)))) for _ in range(300)]
+    want = D.edit_distances(*map(list, zip(*pairs)))
+    for most in (0.0, 1.5, 4.0, 99.0):
+        got = D.edit_distances(*map(list, zip(*pairs)), step=70, most=most)
+        assert all(g == w if w <= most else g > most for g, w in zip(got, want))
+    df = spark.createDataFrame([("kaki", "kaki"), ("kaki", "momomomo")], "a string, b string")
+    assert [r[0] <= 1 for r in df.select(D.edit_distance(F.col("a"), F.col("b"), 1.0)).collect()] == [True, False]
+
+
 def test_alignment_adds_up():
     rng = random.Random(3)
     for _ in range(100):
