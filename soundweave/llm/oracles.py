@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, substring_dedup, suffix_dedup
+from . import chat, decontaminate, secrets, substring_dedup, suffix_dedup
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,3 +62,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum({len(chat.TURN) + len(chat.TEXT) + len(chat.FINISH)} + {_escaped_length('role')} + {_escaped_length('text')})::BIGINT AS formatted_chars
 FROM o GROUP BY conv_id"""
+
+
+def _either(word: str) -> str:
+    """A pattern of a word with letters in either case."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_KEY = "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key")))
+_ASSIGN = rf"""({_KEY})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""  # quoted for SQL
+_ACCESS, _HEX, _TOKEN = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}", "[A-Za-z0-9+/_-]{20,}"
+
+
+def _found(kind: int, pattern: str, value: str) -> str:
+    """Rows (r, kind, first, until, v) of a pattern's matches: places follow from the lengths of what is between them."""
+    return f"""SELECT r, {kind} AS kind, first, first + length(m) AS until, {value} AS v FROM (
+  SELECT r, m, list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS first FROM (
+    SELECT r, gaps, sizes, unnest(ms) AS m, unnest(generate_series(1, len(ms))) AS i FROM (
+      SELECT r, regexp_extract_all(t, '{pattern}') AS ms, list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) AS sizes, list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS gaps
+      FROM d WHERE regexp_matches(t, '{pattern}'))))"""
+
+
+_ENTROPY = "(SELECT -sum(n / length(v)::DOUBLE * log2(n / length(v)::DOUBLE)) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(v, '')) AS c) GROUP BY c))"
+_LIVE = f"({_ENTROPY} >= {secrets.LEAST_BITS} AND NOT regexp_matches(lower(v), 'example|sample|dummy|changeme|your|placeholder|x{{4}}|0{{6}}|12345|abcdef'))"
+_JOINED = "coalesce(string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || first || ':' || until, ',' ORDER BY first, kind, until){}, '')"
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source, lang FROM documents),
+base AS ({_found(0, _ASSIGN, f"regexp_extract(m, '{_ASSIGN}', 2)")} WHERE length(v) >= {secrets.ASSIGN_LEAST}
+  UNION ALL {_found(1, _ACCESS, 'm')} WHERE length(v) >= {secrets.ACCESS_LEAST} UNION ALL {_found(2, _HEX, 'm')}),
+tokens AS ({_found(3, _TOKEN, 'm')}),
+mixed AS (SELECT * FROM tokens x WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND b.first < x.until AND b.until > x.first)),
+known AS (SELECT v, {_LIVE} AS live FROM (SELECT DISTINCT v FROM base UNION SELECT DISTINCT v FROM mixed)),
+every AS (SELECT * FROM base JOIN known USING (v) UNION ALL SELECT * FROM mixed JOIN known USING (v) WHERE live),
+owners AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n_owners FROM every JOIN d USING (r) GROUP BY v),
+kept AS (SELECT *, n_owners < {secrets.WIDELY} AS own FROM every JOIN owners USING (v) WHERE kind < 3 OR n_owners < {secrets.WIDELY}),
+told AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {_JOINED.format(' FILTER (kind < 3)')} AS base, {_JOINED.format('')} AS spans,
+    count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (kind < 3 AND NOT own) AS n_shared, count(*) FILTER (own AND live) AS n_live FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_owned, 0) AS n_owned, coalesce(n_shared, 0) AS n_shared, coalesce(n_live, 0) AS n_live FROM d LEFT JOIN told USING (r)"""

@@ -56,4 +56,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_lm_score, op4_toxicity, op5_audio_features, op6_decontaminate, op7_suffix_dedup, op8_pack, op9_simhash, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING, "op6_decontaminate": oracles.DECONTAMINATE, "op7_suffix_dedup": oracles.SUFFIX, "op10_chat_format": oracles.CHAT}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": oracles.SECRETS, "op2_substring_dedup": oracles.SUBSTRING, "op6_decontaminate": oracles.DECONTAMINATE, "op7_suffix_dedup": oracles.SUFFIX, "op10_chat_format": oracles.CHAT}
