@@ -108,6 +108,26 @@ def test_secrets_cases(spark):
     assert secrets.digests(secrets.scan_secrets(empty(spark))).count() == 0
 
 
+def test_scan_matches_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from soundweave.llm import oracles
+
+    own = ["q9Zk3LmP0xVt7RbWc2Ns5Yd8", "Jw4Tz8Qm1Xc6Vb9Nk3Lp7Rs2", "aA1aA1aA1aA1aA1aA1aA1", "yourExample1Zk3LmP0xVt7Rb", "Ab3/Cd4+Ef5-Gh6_Ij7Kl8Mn9"]
+    rows = texts() + [(900 + i, f"é {t} {own[i % 5]} x") for i, t in enumerate(SECRETS)] + [(950 + i, f"see {own[k]}, token: {own[(k + 1) % 5]}") for i, k in enumerate([0, 0, 1, 1, 1, 2, 3, 4, 4])] + [(990, "K\u212aey toKen=abcdefghij pa\u017fsword=abcdefghij token='Q9zk3lmp0' \n api-key=zzzzzzzzzz API_KEY \x22: \x27abcd1234efgh")]
+    rows += [(1000 + i, f"mine is Q8w{i}Er7Ty6Ui5Op4As3Df2G, not {own[0]}") for i in range(6)]
+    docs = frame(spark, rows)
+    table = pd.DataFrame([tuple(r)[:4] for r in docs.collect()], columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", table)
+    want = con.execute(oracles.SECRETS).fetchall()
+    got = secrets.digests(secrets.scan_secrets(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_owned", "n_shared", "n_live").collect()
+    for a, b in zip(sort(got), sort(want)):
+        assert a == b
+    assert len(got) == len(want) and sum(r["n_owned"] for r in got) > 3 and any(r["n_shared"] for r in got)
+
+
 def test_masking_many_findings_takes_one_pass(spark):
     text = " ".join(f"token={i:012d}" for i in range(50_000))
     docs = frame(spark, [(1, text), (2, "plain")])
