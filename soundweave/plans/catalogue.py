@@ -266,6 +266,18 @@ def containment(spark, sf_dir):
     return sounds.join(F.broadcast(asked), holds).select("query_id", "phon", P.round4(D.containment(F.col("query_codes"), F.col("codes"))).alias("ratio"))  # a row a nation
 
 
+_HOLDS = f", {O.NATIONS}, s AS (SELECT DISTINCT phon, codes FROM lexicon)"
+
+
+@register(O.with_lexicon(f"SELECT a.query_id, s.phon, {O.four(O.containment('a.query_codes', 's.codes'))} AS ratio FROM asked a JOIN s ON length(a.query_codes) > 0 AND regexp_matches(s.codes, {O.pattern('a.query_codes')})", _HOLDS))
+def containment_names(spark, sf_dir):
+    """Sounds that hold the whole of a nation's name."""
+    asked = nations(spark, sf_dir).select("query_id", F.col("codes").alias("query_codes"))
+    sounds = index_of(spark, sf_dir).groups.select("phon", "codes")
+    holds = F.regexp_like("codes", D.containment_pattern_column(F.col("query_codes"))) & (F.length("query_codes") > 0)
+    return sounds.join(staging.small(asked), holds).select("query_id", "phon", P.round4(D.containment(F.col("query_codes"), F.col("codes"))).alias("ratio"))
+
+
 # Groups and vectors --------------------------------------------------------------------------------------------------
 
 
