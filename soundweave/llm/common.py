@@ -31,11 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
+#: Rows of a few numbers for each file of a staged table.
+FILE_ROWS = 1 << 14
+
+
+def files(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as that many short rows need, at most those it has. Without Hadoop's native library
+    each new file makes an executor start processes, which share its memory for a moment and are counted with it."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def stage(df: DataFrame, codec: str = "zstd", rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and a lost executor loses nothing.
 
-    Each call has a folder of its own, which is deleted when the driver's Python ends."""
+    Each call has a folder of its own, which is deleted when the driver's Python ends. rows: about how many short rows df
+    has, which then set the number of files."""
     spark = df.sparkSession
+    df = df if rows is None else files(df, rows)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     df.write.option("compression", codec).parquet(path)

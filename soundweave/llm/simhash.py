@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, lookup, map_groups, raw_texts, stage
+from .common import documents, files, lookup, map_groups, raw_texts, stage
 
 SEED, RADIUS, BLOCKS = 42, 2, 8
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -199,12 +199,12 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long").where("a <> b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges; root is the least node reachable.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) for every node of the edges, which are about rows; root is the least node reachable.
 
     Each round turns edges into stars around local minima (large stars, then small stars); the number of rounds grows
     with the logarithm of the longest path. Only counts come to the driver."""
-    now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows=rows)
     before = None
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -214,10 +214,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = stage(large)
+        large = stage(large, rows=2 * seen[0])
         down = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(down, "a")
-        now = stage(small.select("a", F.col("low").alias("b")).unionByName(small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct())
+        now = stage(small.select("a", F.col("low").alias("b")).unionByName(small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct(), rows=2 * seen[0])
 
 
 def _fingerprints(batch: pa.RecordBatch) -> dict:
@@ -229,12 +229,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash (of the text, to tell rows of one doc_id apart), fp (signed), root (the
     component's least fingerprint) and component_id."""
     prints = stage(map_groups(documents(docs).withColumn("text_hash", F.xxhash64("text")), _fingerprints, "doc_id long, text_hash long, fp long"))
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
-    stars = components(links(classes))
-    rooted = stage(classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root")))
-    names = stage(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("m")))
-    named = stage(lookup(rooted.select("fp", "n", "root"), names, "root", "m"))
-    return lookup(prints, named, "fp", "n")
+    rows = prints.count()
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), rows=rows)
+    rows_of_classes = classes.count()
+    stars = components(links(classes), rows_of_classes)
+    rooted = stage(classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root")), rows=rows_of_classes)
+    names = stage(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("m")), rows=rows_of_classes)
+    named = stage(lookup(rooted.select("fp", "n", "root"), names, "root", "m"), rows=rows_of_classes)
+    return files(lookup(prints, named, "fp", "n"), rows)
 
 
 def fingerprint_rows(found: DataFrame) -> DataFrame:

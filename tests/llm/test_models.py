@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from soundweave.llm import lm_score, simhash, toxicity
+from soundweave.llm import common, lm_score, simhash, toxicity
 
 from .cases import empty, frame, sort, texts
 
@@ -78,6 +78,25 @@ def classes(n, pairs):
     return label
 
 
+def test_simhash_stages_few_files(spark, tmp_path, monkeypatch):
+    """Every file that is made starts processes beside an executor; small tables are staged in few, however they are dealt."""
+    rows = texts()
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = simhash.near_duplicates(frame(spark, rows).repartition(3))
+        assert sort(simhash.fingerprint_rows(found).collect()) == sort(brute_components(rows))
+        assert found.rdd.getNumPartitions() == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    stages = [len(list(s.glob("part-*.parquet"))) for s in tmp_path.glob("stage-*")]
+    assert len(stages) > 6 and max(stages) <= 3
+
+
 @pytest.mark.parametrize("n", [2, 24, 25, 64, 65, 200])
 def test_bit_sliced_buckets_keep_every_component(n):
     rng = np.random.default_rng(n)
