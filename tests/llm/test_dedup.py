@@ -128,6 +128,24 @@ def test_number_of_messages_follows_the_input(spark, monkeypatch):
     assert sent[2] <= 4.5 * sent[0] and sent[3] <= 4.5 * sent[1]  # from 8 chunks to 32, 16 shards in both
 
 
+def test_classes_are_those_of_all_keys(monkeypatch):
+    """Where the short key of a class doesn't tell hashes apart, all keys decide."""
+    rng = np.random.default_rng(9)
+    text = rng.integers(0, 2, 4000).astype(np.uint8)
+    start = np.sort(rng.integers(0, 3000, 400))
+    runs = suffix_dedup.Runs(text, start, rng.integers(1, 4, 400), rng.integers(0, 3, 400).astype(np.uint64), rng.integers(0, 50, 400))
+    real = suffix_dedup.hashes_of
+    for hashes in (real, lambda *a: [x & np.uint64(3) for x in real(*a)]):
+        monkeypatch.setattr(suffix_dedup, "hashes_of", hashes)
+        chosen, place = runs.classes()
+        raw = [(int(runs.anchor[i]), text[start[i] : start[i] + runs.count[i] + 49].tobytes()) for i in range(400)]
+        assert np.all(np.diff(runs.anchor[chosen].astype(int)) >= 0)
+        assert all(raw[i] == raw[chosen[place[i]]] for i in range(400))
+        if hashes is real:
+            least = {k: min(int(runs.doc[j]) for j in range(400) if raw[j] == k) for k in raw}
+            assert len(chosen) == len(least) and all(runs.doc[c] == least[raw[c]] for c in chosen)
+
+
 def test_equal_hashes_are_compared_byte_by_byte(monkeypatch):
     rng = np.random.default_rng(5)
     text = rng.integers(0, 256, 600).astype(np.uint8)
