@@ -43,6 +43,8 @@ HOT = 32
 LONG = 2 * (SIZE - GRAM)  # a run of more strings repeats its anchor
 CHUNK = 2 << 20
 SHARD_BYTES = 4 << 20  # of text for each shard
+PART_BYTES = 32 << 20  # of runs that a shard judges at once
+PARTS = 16  # of a shard before messages are merged on their way
 BLOCK_BYTES = 1 << 16  # hashed at once; its arrays stay in a processor's cache
 BASE, BASE_CHECK = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 REPEATED, RUNS = range(2)  # kinds of answers
@@ -468,6 +470,9 @@ ANCHORS = Anchors()
 class RunExchange:
     """The exchange of distinct runs: for each string of each run whether a smaller doc_id has it."""
 
+    def __init__(self, part_bytes: int = PART_BYTES):
+        self.part_bytes = part_bytes
+
     def read(self, blob: bytes) -> Runs:
         a, d, c, t = split_parts(blob, 4)
         count = expanded(c, np.uint32).astype(np.int64)
@@ -488,7 +493,33 @@ class RunExchange:
             yield s, join_parts(compressed(np.diff(table.anchor[a:b], prepend=np.uint64(0))), compressed(table.doc[a:b]), compressed(table.count[a:b].astype(np.uint32)), compress(text, 3))
 
     def judge(self, blobs: list[bytes]) -> list[bytes]:
-        tables = [self.read(b) for b in blobs]
+        """Part by part, each a range of anchors; all the runs of a large shard are never expanded together."""
+        heads = [self.head(b) for b in blobs]
+        anchors = [np.cumsum(expanded(a, np.uint64), dtype=np.uint64) for a, _ in heads]
+        sizes = [expanded(c, np.uint32).astype(np.int64) + SIZE - 1 for _, c in heads]
+        parts = max(1, -(-sum(int(x.sum()) for x in sizes) // self.part_bytes))
+        if parts == 1:
+            return self.judged([self.read(b) for b in blobs])
+        # Ends of the parts among the anchors: the sizes of all runs, summed in order of their anchors.
+        every, size = np.concatenate(anchors), np.concatenate(sizes)
+        order = np.argsort(every)
+        summed = np.cumsum(size[order])
+        ends = np.unique(every[order][np.searchsorted(summed, summed[-1] * np.arange(1, parts) // parts)])
+        cuts = [np.concatenate([[0], np.searchsorted(a, ends, "right"), [len(a)]]) for a in anchors]
+        told: list[list[np.ndarray]] = [[] for _ in blobs]
+        for k in range(len(ends) + 1):
+            own = [i for i, c in enumerate(cuts) if c[k] < c[k + 1]]
+            tables = [self.read(blobs[i]).taken(np.arange(cuts[i][k], cuts[i][k + 1])) for i in own]
+            for i, table, blob in zip(own, tables, self.judged(tables) if tables else [], strict=True):
+                told[i].append(flags(blob, int(table.count.sum())))
+        return [bits(np.concatenate([np.zeros(0, bool), *t])) for t in told]
+
+    def head(self, blob: bytes) -> tuple[bytes, bytes]:
+        """The parts of a message that hold anchors and counts."""
+        a, _, c, _ = split_parts(blob, 4)
+        return a, c
+
+    def judged(self, tables: list[Runs]) -> list[bytes]:
         merged, places = self.merge(tables)
         chosen = merged.anchor
         # Anchors with two different runs or more.
@@ -513,13 +544,20 @@ class RunExchange:
         return told[spread(begin[place], count)] | np.repeat(merged.doc[place] < doc, count)
 
 
-def dedup(docs: DataFrame, hot: int = HOT, fan: int = FAN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def shards_of(size: int, fan: int, shard_bytes: int, parts: int) -> int:
+    """For size bytes of text. Up to fan shards, which judge their runs in up to parts parts, are enough for most inputs:
+    each message moves once. Only beyond that messages are merged on their way (see chunks), and move thrice."""
+    wanted = max(1, -(-size // shard_bytes))
+    return min(wanted, fan) if wanted <= fan * parts else min(wanted, fan * fan)
+
+
+def dedup(docs: DataFrame, hot: int = HOT, fan: int = FAN, shard_bytes: int = SHARD_BYTES, parts: int = PARTS, part_bytes: int = PART_BYTES) -> DataFrame:
     """SCHEMA, and kept binary: the bytes that stay."""
     spark = docs.sparkSession
     chunks = chunked(docs, CHUNK)
     n_chunks, size = total(chunks)
-    shards = min(max(1, -(-size // shard_bytes)), fan * fan)
-    ranges, anchors, runs = min(shards, fan), Anchors(hot), RunExchange()
+    shards = shards_of(size, fan, shard_bytes, parts)
+    ranges, anchors, runs = min(shards, fan), Anchors(hot), RunExchange(part_bytes)
 
     def send_anchors(batch) -> dict:
         out = {"shard": [], "chunk": [], "blob": []}

@@ -128,6 +128,29 @@ def test_number_of_messages_follows_the_input(spark, monkeypatch):
     assert sent[2] <= 4.5 * sent[0] and sent[3] <= 4.5 * sent[1]  # from 8 chunks to 32, 16 shards in both
 
 
+def test_large_shards_are_judged_in_parts(spark):
+    """Beyond fan shards a message still moves once, and a shard judges its runs part by part."""
+    assert suffix_dedup.shards_of(10 << 30, chunks.FAN, suffix_dedup.SHARD_BYTES, suffix_dedup.PARTS) == chunks.FAN  # some 6 GB of Parquet
+    assert suffix_dedup.shards_of(100 << 30, chunks.FAN, suffix_dedup.SHARD_BYTES, suffix_dedup.PARTS) > chunks.FAN
+    rows = texts()
+    got = suffix_dedup.dedup(frame(spark, rows).repartition(5), 2, 3, 900, 1 << 20, 500).drop("kept").collect()
+    assert sort(got) == sort(brute_bytes(rows))
+
+
+def test_parts_of_a_shard_answer_as_the_whole():
+    rng = np.random.default_rng(8)
+    blobs = []
+    for k in range(5):
+        text = rng.integers(0, 2, 3000).astype(np.uint8)
+        text[:1000] = np.tile(np.arange(100, dtype=np.uint8), 10)
+        start = np.arange(0, 2900, 50)
+        runs = suffix_dedup.Runs(text, start, rng.integers(1, 40, len(start)), rng.integers(0, 30, len(start)).astype(np.uint64), rng.integers(0, 9, len(start)))
+        blobs.append(dict(suffix_dedup.RunExchange().messages(runs.taken(runs.classes()[0]), 0, 1))[0])
+    whole = suffix_dedup.RunExchange().judge(blobs)
+    assert any(any(b) for b in whole)
+    assert all(suffix_dedup.RunExchange(n).judge(blobs) == whole for n in (1, 700, 5000, 1 << 20))
+
+
 def test_classes_are_those_of_all_keys(monkeypatch):
     """Where the short key of a class doesn't tell hashes apart, all keys decide."""
     rng = np.random.default_rng(9)
