@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, groups, stage
+from .common import documents, groups, stage, tasks
 
 CHUNK_BYTES = 4 << 20
 FAN = 1024
@@ -114,15 +114,17 @@ def shard_of(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
     return (top * np.uint64(shards)) >> np.uint64(min(32, bits))
 
 
-def answers(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]], kind: int) -> DataFrame:
-    """answer gets all messages of a shard and returns a blob for each; ANSWER rows, staged."""
+def answers(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]], kind: int, size: int | None = None) -> DataFrame:
+    """answer gets all messages of a shard and returns a blob for each; ANSWER rows, staged. size: the bytes of text that
+    the messages come from, which then limit the number of files."""
 
     def run(table: pa.Table) -> pa.Table:
         shards, chunks = table.column("shard").to_pylist(), table.column("chunk")
         out = answer(table.column("blob").to_pylist())
         return pa.table([chunks.cast(pa.int64()), pa.array([kind] * len(out), pa.int32()), pa.array(shards, pa.int64()), pa.array(out, pa.binary())], names=["chunk", "kind", "shard", "blob"])
 
-    return stage(messages.groupBy("shard").applyInArrow(run, ANSWER))
+    found = messages.groupBy("shard").applyInArrow(run, ANSWER)
+    return stage(found if size is None else tasks(found, size))
 
 
 class Exchange(Protocol):
@@ -146,10 +148,10 @@ class Exchange(Protocol):
         """The answer to one table, of what was told to the merged one."""
 
 
-def exchanged(messages: DataFrame, work: Exchange, kind: int, shards: int, chunks: int, fan: int = FAN) -> DataFrame:
-    """ANSWER rows, staged, to messages for min(shards, fan) ranges (of each row of exchanges)."""
+def exchanged(messages: DataFrame, work: Exchange, kind: int, shards: int, chunks: int, fan: int = FAN, size: int | None = None) -> DataFrame:
+    """ANSWER rows, staged, to messages for min(shards, fan) ranges (of each row of exchanges); size: see answers."""
     if shards <= fan:
-        return answers(messages, work.judge, kind)
+        return answers(messages, work.judge, kind, size)
     mergers = -(-chunks // fan)
     spark = messages.sparkSession
     messages = stage(messages.withColumn("merger", F.col("shard") * mergers + F.pmod(F.xxhash64("chunk"), F.lit(mergers))))

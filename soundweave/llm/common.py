@@ -41,6 +41,16 @@ def files(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // FILE_ROWS)))
 
 
+#: Bytes of text for each task that works on a small corpus.
+TASK_BYTES = 8 << 20
+
+
+def tasks(df: DataFrame, size: int) -> DataFrame:
+    """df in a partition for each TASK_BYTES of the size bytes of text it comes from, one a core at least, at most those it
+    has: however many partitions a small corpus is dealt to, its files are few (see files)."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
 def stage(df: DataFrame, codec: str = "zstd", rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and a lost executor loses nothing.
 

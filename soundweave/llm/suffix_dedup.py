@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import FAN, MESSAGE, bits, bounds, chunked, compress, compressed, exchanged, expand, expanded, flags, mix, order_ids, powers, prefix_hash, spread, told_bits, total, unpack, with_answers
-from .common import arrow_schema, map_groups
+from .common import arrow_schema, map_groups, tasks
 
 SIZE, GRAM = 50, 16
 ANCHOR_BITS = 40
@@ -569,7 +569,7 @@ def dedup(docs: DataFrame, hot: int = HOT, fan: int = FAN, shard_bytes: int = SH
                 out["blob"].append(blob)
         return out
 
-    both = exchanged(map_groups(chunks.select("chunk", "payload"), send_anchors, MESSAGE, "payload", 1), anchors, REPEATED, shards, n_chunks, fan)
+    both = exchanged(map_groups(chunks.select("chunk", "payload"), send_anchors, MESSAGE, "payload", 1), anchors, REPEATED, shards, n_chunks, fan, size)
 
     def send_runs(number: int, payload: bytes, own: dict) -> dict:
         found = Chunk(payload).runs(own, ranges)
@@ -577,7 +577,7 @@ def dedup(docs: DataFrame, hot: int = HOT, fan: int = FAN, shard_bytes: int = SH
         return {"shard": [s for s, _ in made], "chunk": [number] * len(made), "blob": [b for _, b in made]}
 
     sent = with_answers(chunks, both, send_runs, MESSAGE, arrow_schema(spark, MESSAGE))
-    judged = exchanged(sent, runs, RUNS, shards, n_chunks, fan)
+    judged = exchanged(sent, runs, RUNS, shards, n_chunks, fan, size)
 
     def finish(number: int, payload: bytes, own: dict) -> dict:
         chunk = Chunk(payload)
@@ -597,7 +597,7 @@ def dedup(docs: DataFrame, hot: int = HOT, fan: int = FAN, shard_bytes: int = SH
         return out
 
     schema = SCHEMA + ", kept binary"
-    return with_answers(chunks, both.unionByName(judged), finish, schema, arrow_schema(spark, schema))
+    return tasks(with_answers(chunks, both.unionByName(judged), finish, schema, arrow_schema(spark, schema)), size)
 
 
 def removed(chunk: Chunk, own: dict[tuple[int, int], bytes], ranges: int) -> np.ndarray:

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from soundweave.llm import chunks, substring_dedup, suffix_dedup
+from soundweave.llm import chunks, common, substring_dedup, suffix_dedup
 
 from .cases import empty, frame, sort, texts
 
@@ -137,6 +137,25 @@ def test_large_shards_are_judged_in_parts(spark):
     assert sort(got) == sort(brute_bytes(rows))
 
 
+def test_small_corpora_make_few_files(spark, tmp_path, monkeypatch):
+    """Every file that is made starts processes beside an executor; a small corpus makes few, however it is dealt."""
+    rows = texts()
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = suffix_dedup.dedup(frame(spark, rows).repartition(5), 2, shard_bytes=300)
+        assert sort(found.drop("kept").collect()) == sort(brute_bytes(rows))
+        assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    stages = [len(list(s.glob("part-*.parquet"))) for s in tmp_path.glob("stage-*")]
+    assert len(stages) == 3 and max(stages) <= spark.sparkContext.defaultParallelism
+
+
 def test_parts_of_a_shard_answer_as_the_whole():
     rng = np.random.default_rng(8)
     blobs = []
